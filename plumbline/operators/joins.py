@@ -54,8 +54,9 @@ def join_summary(audits: list[DataFrame]) -> DataFrame:
     """(lookups, matched_events, unmatched_events) over join audits, which must all have
     tried the same number of rows."""
     rows = reduce(DataFrame.unionByName, audits)
-    same = F.assert_true(F.min("rows_attempted") == F.max("rows_attempted"), "audits of different row counts")
-    return rows.agg(F.count("*").alias("lookups"), F.sum("matched").alias("matched_events"), F.sum("unmatched").alias("unmatched_events"), same.alias("_ok")).drop("_ok")
+    same = F.min("rows_attempted") == F.max("rows_attempted")
+    matched = F.when(same, F.sum("matched")).otherwise(F.raise_error(F.lit("audits of different row counts")).cast("long"))
+    return rows.agg(F.count("*").alias("lookups"), matched.alias("matched_events"), F.sum("unmatched").alias("unmatched_events"))
 
 
 def unmatched_rows(df: DataFrame, lookup: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -82,10 +82,10 @@ def knn_predict(train: DataFrame, queries: DataFrame, vector: str, y: str, query
     return ranked.groupBy(F.col("_q").alias(query_id)).agg(value.alias("prediction"))
 
 
-def _needs_finite(*columns: str) -> Column:
+def _if_finite(value: Column, *columns: str) -> Column:
+    """An aggregate that raises if a value of the columns is missing or not finite."""
     bad = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in columns]
-    test = F.count_if(bad[0] | bad[-1]) == 0
-    return F.assert_true(test, "values must be finite")
+    return F.when(F.count_if(bad[0] | bad[-1]) == 0, value).otherwise(F.raise_error(F.lit("values must be finite")).cast("double"))
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted_: str, digits: int = 4) -> DataFrame:
@@ -93,8 +93,8 @@ def regression_metrics(df: DataFrame, actual: str, predicted_: str, digits: int
     a, p = F.col(actual).cast("double"), F.col(predicted_).cast("double")
     e = a - p
     sst = F.var_pop(a) * F.count("*")
-    one = df.agg(_needs_finite(actual, predicted_).alias("_ok"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), F.percentile(F.abs(e), 0.5).alias("median_ae"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
-    return one.select(*[F.round(c, digits).alias(c) for c in one.columns if c != "_ok"])
+    one = df.agg(_if_finite(F.avg(F.abs(e)), actual, predicted_).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), F.percentile(F.abs(e), 0.5).alias("median_ae"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
+    return one.select(*[F.round(c, digits).alias(c) for c in one.columns])
 
 
 def binary_metrics(df: DataFrame, actual: str, score: str, threshold: float, digits: int = 4) -> DataFrame:
