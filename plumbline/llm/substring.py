@@ -51,19 +51,22 @@ def anchors(words: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ..
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _d (doc_id, never null) and _r (a hash of doc_id and text): equal only for
-    rows that repeat each other, which share all places."""
+    """docs with _d (doc_id, never null) and _t (a hash of the text): equal only for rows
+    that repeat each other, which share all places."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(F.col("doc_id"), text).alias("_r"))
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("_t"))
 
 
 def repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
-    """(_d, _r, marks): for each distinct row of ``docs`` with repeated windows, structs of
+    """(_d, _t, marks): for each distinct row of ``docs`` with repeated windows, structs of
     the first window of a run and a mask of its windows (bit i: window first + i) whose
-    word sequence also starts anywhere else."""
+    word sequence also starts anywhere else.
+
+    A place is one number: the text's tag, then the first window, then how many follow.
+    """
     if not 2 <= spread <= min(window, 62):
         raise ValueError("spread: 2 to 62, and at most the window")
-    rows = _keyed(docs).select("_d", "_r", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = _keyed(docs).select("_d", "_t", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def hashed(text: bytes) -> np.ndarray:
         return common.word_hashes(text, *common.word_spans(text))
@@ -73,38 +76,44 @@ def repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
             found = [anchors(hashed(t), window, spread) for t in common.texts_of(b.column(2))]
             n = [len(f[0]) for f in found]
             h, s, first, last = (np.concatenate([f[k] for f in found]) for k in range(4))
-            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(first * 64 + (last - first))], ["_d", "_r", "seed", "stretch", "at"])
+            tag = np.repeat(b.column(1).to_numpy(), n) << 38
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(tag + first * 64 + (last - first))], ["_d", "seed", "stretch", "at"])
 
-    seeds = common.stored(rows.mapInArrow(seed, "_d long, _r long, seed long, stretch long, at long"), "seeds")
-    busy = seeds.groupBy("seed").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("alike")).filter("n > 1").drop("n")
+    # both uses compute the seeds anew: cheaper than to keep a row for every tenth word
+    seeds = rows.mapInArrow(seed, "_d long, seed long, stretch long, at long")
+    # small results are checkpointed before they are joined: Spark can then split hot keys
+    busy = common.checkpoint(seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
     shared = common.checkpoint(seeds.join(busy, "seed"))
+    alike = common.checkpoint(shared.groupBy("seed").agg((F.min("stretch") == F.max("stretch")).alias("alike")))
+    shared = common.checkpoint(shared.join(alike, "seed").select("_d", "stretch", "at", "alike"))
     full = F.expr("shiftleft(1L, cast(at % 64 as int) + 1) - 1")
-    whole = shared.filter("alike").select("_d", "_r", "at", full.alias("mask"))
+    whole = shared.filter("alike").select("_d", "at", full.alias("mask"))
 
     # stretches of a seed that differ: one occurrence of each stands for all
-    kinds = shared.filter(~F.col("alike")).groupBy("seed", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_r", "at")).alias("rep"))
-    kinds = common.checkpoint(kinds.select("seed", "stretch", "n", "rep._d", "rep._r", "rep.at"))
-    asked = kinds.groupBy("_d", "_r").agg(F.collect_list(F.struct("seed", "stretch", "n", "at")).alias("asked"))
+    kinds = shared.filter(~F.col("alike")).groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("_d", "at")).alias("rep"))
+    asked = kinds.select("stretch", "n", "rep._d", "rep.at").groupBy("_d", F.expr("shiftright(at, 38)").alias("_t")).agg(F.collect_list(F.struct("stretch", "n", "at")).alias("asked"))
 
     def extend(batches):
         for b in batches:
-            out = []
+            parts = []
             for text, want in zip(common.texts_of(b.column(0)), b.column(1).to_pylist()):
                 prefix = _prefix(hashed(text))
                 for w in want:
-                    first, more = divmod(w["at"], 64)
+                    first, more = divmod(w["at"] & ((1 << 38) - 1), 64)
                     a = np.arange(first, first + more + 1)
-                    out += [(w["seed"], w["stretch"], w["n"], i, h) for i, h in enumerate(_stretch(prefix, a, a + window).view(np.int64).tolist())]
-            c = list(zip(*out)) if out else [()] * 5
-            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64())], ["seed", "stretch", "n", "i", "hash"])
-
-    # rows that repeat each other answer alike: distinct() leaves one answer
-    windows = common.checkpoint(rows.join(asked, ["_d", "_r"]).select("text", "asked").mapInArrow(extend, "seed long, stretch long, n long, i int, hash long").distinct())
+                    parts.append((w["stretch"], w["n"], _stretch(prefix, a, a + window).view(np.int64)))
+            n = [len(p[2]) for p in parts]
+            place = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0, np.int64)
+            hashes = np.concatenate([p[2] for p in parts]) if n else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(np.repeat(np.array([p[0] for p in parts], np.int64), n)), pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), n)), pa.array(place.astype(np.int32)), pa.array(hashes)], ["stretch", "n", "i", "hash"])
+
+    # rows that repeat each other answer alike, but their stretches count twice already
+    windows = common.checkpoint(rows.join(asked, ["_d", "_t"]).select("text", "asked").mapInArrow(extend, "stretch long, n long, i int, hash long"))
     twice = windows.groupBy("hash").agg(F.sum("n").alias("times")).filter("times > 1").select("hash")
-    masks = windows.join(twice, "hash").groupBy("seed", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    # a seed that many documents hold: Spark splits its side of this join
-    parts = shared.filter(~F.col("alike")).join(masks, ["seed", "stretch"]).select("_d", "_r", "at", "mask")
-    return whole.union(parts).groupBy("_d", "_r").agg(F.collect_set(F.struct((F.col("at") / 64).cast("long").alias("first"), "mask")).alias("marks"))
+    masks = common.checkpoint(windows.join(twice, "hash").groupBy("stretch").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")))
+    parts = shared.filter(~F.col("alike")).join(masks, "stretch").select("_d", "at", "mask")
+    first = F.expr("shiftright(at & 274877906943, 6)").alias("first")
+    return whole.union(parts).groupBy("_d", F.expr("shiftright(at, 38)").alias("_t")).agg(F.collect_set(F.struct(first, "mask")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
@@ -115,18 +124,18 @@ def remove_repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataF
     covers it that also starts anywhere else, in its own document included, as judged on
     the input. A null text has no words; shorter texts lose none; rows that repeat each
     other lose what they share; an empty table gives none. Columns of ``docs`` by the
-    names added here are replaced.
+    names added here are replaced; names with a leading underscore are reserved.
     """
     common.small_batches(docs.sparkSession)
     added = {"n_words", "n_removed", "kept", "spans"}
     columns = [c for c in docs.columns if c not in added]
-    marked = _keyed(docs.select(columns)).join(repeats(docs, window, spread), ["_d", "_r"], "left")
+    marked = _keyed(docs.select(columns)).join(repeats(docs, window, spread).withColumnRenamed("marks", "_marks"), ["_d", "_t"], "left")
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
         for b in batches:
             out = []
-            for text, marks in zip(common.texts_of(b.column(b.schema.get_field_index("_text"))), b.column(b.schema.get_field_index("marks")).to_pylist()):
+            for text, marks in zip(common.texts_of(b.column(b.schema.get_field_index("_text"))), b.column(b.schema.get_field_index("_marks")).to_pylist()):
                 a, z = common.word_spans(text)
                 cover = np.zeros(len(a) + 1, dtype=np.int64)
                 for m in marks or ():
@@ -142,4 +151,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in columns), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], kinds)], [*columns, "n_words", "n_removed", "kept", "spans"])
 
     schema = marked.select(columns).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string").add("spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
-    return marked.select(*columns, F.col("text").cast("string").alias("_text"), "marks").mapInArrow(cut, schema)
+    return marked.select(*columns, F.col("text").cast("string").alias("_text"), "_marks").mapInArrow(cut, schema)
