@@ -34,13 +34,13 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2,
     A null text counts as empty and gives one piece with the end id. Rows that repeat a
     doc_id each give their pieces. An empty table gives none.
     """
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 2500)
 
     def cut(batches):
         enc, end = encoder(tokenizer, kind), struct.pack("<I", end_id)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([x or "" for x in b.column(1).to_pylist()])):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 ids += end
                 at = 0
                 for k, n in enumerate(cut_lengths(len(ids) // 4, capacity)):

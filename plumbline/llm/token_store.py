@@ -83,15 +83,14 @@ def read_blocks(stream, id_of: np.ndarray) -> Iterator[tuple[list, list[np.ndarr
 
 def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
     """(doc_id, ids binary): ids of each whole text and ``end_id``, zstd-compressed."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 2500)
 
     def encode(batches):
         import zstandard
 
         enc, end, pack = encoder(tokenizer, kind), struct.pack("<I", end_id), zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([pack(x + end) for x in enc.encode(texts)], pa.binary())], ["doc_id", "ids"])
+            yield pa.record_batch([b.column(0), pa.array([pack(x + end) for x in enc.encode(b.column(1))], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary")
 

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_MARKS = ".,!?"
 _cached: dict[tuple[str, str], CachedEncoder] = {}
 
 
@@ -29,53 +35,86 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.most, self.longest = kind, most, longest
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: set[str]) -> None:
         new = [x for x in chunks if x not in self.known and len(x) <= self.longest]
+        # both tokenizers part letters from a mark behind them
+        marked = [x for x in new if x[-1:] in _MARKS and x[:-1].isalpha()]
+        if marked:
+            bases = {x: self._base(x[:-1]) for x in marked}
+            self._add([x for x in {*bases.values()} if x not in self.known])
+            signs = dict(zip(_MARKS, self._ids(list(_MARKS))))
+            self.known.update((x, self.known[base] + signs[x[-1]]) for x, base in bases.items() if self.known.get(base))
+            new = [x for x in new if x not in bases]
+        lower = {x: base for x in new if (base := self._base(x)) != x}
+        self._add([x for x in {*new, *lower.values()} if x not in self.known and x not in lower])
+        self.known.update((x, self.known[base]) for x, base in lower.items())
+
+    def _base(self, word: str) -> str:
+        """What has the same ids, where the tokenizer ignores case."""
+        return word.lower() if self.kind == "word" and word.isascii() else word
+
+    def _add(self, new: list[str]) -> None:
         if self.kind == "word":
             self.known.update(zip(new, self._ids(new)))
             return
         plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
+        self.known.update(dict.fromkeys(new, b""))  # not to be cut here
         self.known.update(zip(plain, self._ids([" " + x for x in plain])))
 
-    def encode(self, texts: list[str], block: int = 1 << 21) -> list[bytes]:
-        """Ids of each text; works through about ``block`` characters at a time."""
+    def encode(self, texts: list[str] | pa.Array, block: int = 1 << 23) -> list[bytes]:
+        """Ids of each text (null: empty); works through about ``block`` bytes at a time."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        column = pc.fill_null(column, "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
         out: list[bytes] = []
-        part: list[str] = []
-        size = 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size >= block:
-                out += self._encode(part)
-                part, size = [], 0
-        return out + self._encode(part)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t.replace("\n", " ") if self.kind == "word" else t).split(" ") for t in texts]
-        need: set[str] = set()
-        for words in split:
-            need.update(words if self.kind == "word" else words[1:])
-        if len(self.known) + len(need) > self.most:
-            self.known.clear()
-        self._learn(need)
-        look = self.known.get
-        if self.kind == "word":
-            return [b"".join(ids) if None not in (ids := list(map(look, words))) else b"".join(x if x is not None else self._ids([w])[0] for x, w in zip(ids, words)) for words in split]
-        firsts = self._ids([words[0] for words in split])
-        out: list[bytes] = []
-        for text, words, first in zip(texts, split, firsts):
-            ids = list(map(look, words[1:]))
-            if None in ids or (ids and (not words[0] or words[0][-1].isspace())):
-                first, ids = b"", self._ids(_CUT.split(text))
-            out.append(first + b"".join(ids))
+        at = 0
+        while at < len(column):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + block, "right")))
+            out += self._encode(column.slice(at, stop - at))
+            at = stop
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        word = self.kind == "word"
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if word else texts, " ")
+        cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            missing = {w for w, x in zip(distinct, found) if x is None}
+            if len(self.known) + len(missing) > self.most:
+                self.known.clear()
+                missing = set(distinct)
+            self._learn(missing)
+            # what is too long to keep is encoded each time
+            found = [x if x is not None else self.known[w] if w in self.known else self._ids([w])[0] if word else b"" for x, w in zip(found, distinct)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        n = sizes[place]
+        if not word:
+            # the first word of a text has no blank before it, and needs no one behind a blank
+            heads = [distinct[k] for k in place[cuts[:-1]].tolist()]
+            firsts = self._ids(heads)
+            bad = n == 0
+            n[cuts[:-1]] = 0
+            bad[cuts[:-1]] = [bool(k > 1 and (not h or h[-1].isspace())) for h, k in zip(heads, np.diff(cuts).tolist())]
+            again = np.add.reduceat(bad, cuts[:-1]) > 0
+        begin = np.concatenate([[0], np.cumsum(n)])
+        # token t of word w stands at the word's place in flat plus t
+        ids = flat[np.arange(begin[-1]) + np.repeat((np.cumsum(sizes) - sizes)[place] - begin[:-1], n)]
+        ends = begin[cuts].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        if not word:
+            out = [first + x for first, x in zip(firsts, out)]
+            for i in np.flatnonzero(again).tolist():
+                out[i] = b"".join(self._ids(_CUT.split(texts[i].as_py())))
         return out
 
 
