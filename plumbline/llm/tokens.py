@@ -36,6 +36,9 @@ class CachedEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kind, self.most, self.longest = kind, most, longest
         self.known: dict[str, bytes] = {}
+        # pieces that end a word, or that begin with a blank
+        pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.edges = np.array([x.endswith("</w>") if kind == "word" else x.startswith("Ġ") for x in pieces])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,6 +62,16 @@ class CachedEncoder:
         return word.lower() if self.kind == "word" and word.isascii() else word
 
     def _add(self, new: list[str]) -> None:
+        letters = [x for x in new if x.isalpha()]
+        if letters:
+            # words of letters stand apart in one text: an end (or a blank in front) shows where
+            ids = np.array(self.tokenizer.encode(" " + " ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+            edge = np.flatnonzero(self.edges[ids])
+            if len(edge) == len(letters):
+                cuts = [0, *(edge + 1).tolist()] if self.kind == "word" else [*edge.tolist(), len(ids)]
+                raw = ids.tobytes()
+                self.known.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(letters, cuts, cuts[1:]))
+                new = [x for x in new if not x.isalpha()]
         if self.kind == "word":
             self.known.update(zip(new, self._ids(new)))
             return
@@ -90,8 +103,8 @@ class CachedEncoder:
         if None in found:
             missing = {w for w, x in zip(distinct, found) if x is None}
             if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = set(distinct)
+                # what this batch holds stays: common words among it
+                self.known = {w: x for w, x in zip(distinct, found) if x is not None}
             self._learn(missing)
             # what is too long to keep is encoded each time
             found = [x if x is not None else self.known[w] if w in self.known else self._ids([w])[0] if word else b"" for x, w in zip(found, distinct)]
