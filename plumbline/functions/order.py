@@ -46,8 +46,22 @@ def sample_n(df: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
 
 
 def per_group(df: DataFrame, group: str, keys: list[str], seed: int, name: str = "rank") -> DataFrame:
-    """Add the row's random rank (from 1) within its group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(hash_of(keys, seed), *keys)))
+    """Add the row's random rank (from 1) within its group.
+
+    Ranks come from one order over all rows, by group and then by hash, so that a group
+    which holds most rows is spread over many tasks.
+    """
+    placed = global_index(df.withColumn("_h", hash_of(keys, seed)), F.asc_nulls_first(group), "_h", *keys, name="_place").drop("_h")
+    starts = checkpoint(placed.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_start")))
+    met = placed.join(starts, placed[group].eqNullSafe(starts["_group"]))
+    return met.withColumn(name, F.col("_place") - F.col("_start") + 1).drop("_place", "_group", "_start")
+
+
+def first_per_group(df: DataFrame, group: str, k: int, keys: list[str], seed: int) -> DataFrame:
+    """At most k random rows of each group; Spark keeps k of a group in each task before
+    the groups meet."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(hash_of(keys, seed), *keys)))
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
 def quotas(sizes: DataFrame, total: int, order: str) -> DataFrame:

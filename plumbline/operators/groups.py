@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantile
+
 
 def k_rows():
     """A window of all rows of a small result (one per group) together."""
@@ -47,9 +49,9 @@ def baseline_group_range(df: DataFrame, group: str, y: str) -> DataFrame:
     return group_stats(df, group, y).agg(F.max("mean").alias("hi"), F.min("mean").alias("lo")).select(F.when(F.col("hi").isNull(), F.raise_error(F.lit("no group"))).otherwise(F.col("hi") - F.col("lo")).alias("value"))
 
 
-def baseline_regression(df: DataFrame, y: str) -> DataFrame:
+def baseline_regression(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
     """(mean, median, mae_mean, mae_median): errors of two constant predictions."""
-    one = df.agg(F.avg(y).alias("mean"), F.percentile(y, 0.5).alias("median"))
+    one = df.agg(F.avg(y).alias("mean"), quantile(y, 0.5, approx).alias("median"))
     met = df.select(F.col(y).alias("_y")).join(F.broadcast(one))
     return met.groupBy("mean", "median").agg(F.avg(F.abs(F.col("_y") - F.col("mean"))).alias("mae_mean"), F.avg(F.abs(F.col("_y") - F.col("median"))).alias("mae_median"))
 
@@ -67,27 +69,27 @@ def improvement(df: DataFrame, baseline: str, candidate: str, task: str = "regre
     return df.withColumn("improvement", F.when(F.col(baseline) != 0, gain / F.col(baseline)))
 
 
-def modified_zscores(df: DataFrame, columns: list[str]) -> DataFrame:
+def modified_zscores(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Add <c>_mz: 0.6745 times the distance from the median in units of the median
     absolute deviation; 0 where that is 0."""
-    medians = df.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
+    medians = df.agg(*[quantile(c, 0.5, approx).alias(f"_m_{c}") for c in columns])
     met = df.join(F.broadcast(medians))  # one row
-    spreads = met.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"_m_{c}")), 0.5).alias(f"_d_{c}") for c in columns])
+    spreads = met.agg(*[quantile(F.abs(F.col(c) - F.col(f"_m_{c}")), 0.5, approx).alias(f"_d_{c}") for c in columns])
     out = met.join(F.broadcast(spreads))
     z = {f"{c}_mz": F.when(F.col(f"_d_{c}") > 0, 0.6745 * (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}")).when(F.col(c).isNotNull(), 0.0) for c in columns}
     return out.withColumns(z).drop(*[f"_{k}_{c}" for k in "md" for c in columns])
 
 
-def outlier_mask(df: DataFrame, columns: list[str], threshold: float = 3.5) -> DataFrame:
+def outlier_mask(df: DataFrame, columns: list[str], threshold: float = 3.5, approx: bool = False) -> DataFrame:
     """Add outlier: whether any column's modified z-score is beyond the threshold."""
-    out, test = modified_zscores(df, columns), F.lit(False)
+    out, test = modified_zscores(df, columns, approx), F.lit(False)
     for c in columns:
         test = test | F.coalesce(F.abs(F.col(f"{c}_mz")) > threshold, F.lit(False))
     return out.withColumn("outlier", test).drop(*[f"{c}_mz" for c in columns])
 
 
-def winsorize(df: DataFrame, columns: list[str], q: float) -> DataFrame:
+def winsorize(df: DataFrame, columns: list[str], q: float, approx: bool = False) -> DataFrame:
     """Clip columns at their upper quantile; null stays null."""
-    caps = df.agg(*[F.percentile(c, q).alias(f"_q_{c}") for c in columns])
+    caps = df.agg(*[quantile(c, q, approx).alias(f"_q_{c}") for c in columns])
     met = df.join(F.broadcast(caps))
     return met.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.col(f"_q_{c}"))) for c in columns}).drop(*[f"_q_{c}" for c in columns])

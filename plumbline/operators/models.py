@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import global_index, hash_index
+from ..functions.quantiles import quantile
 from .regress import fit, predicted
 
 MODELS = ("linear", "random_forest", "boosted_trees")
@@ -88,12 +89,12 @@ def _if_finite(value: Column, *columns: str) -> Column:
     return F.when(F.count_if(bad[0] | bad[-1]) == 0, value).otherwise(F.raise_error(F.lit("values must be finite")).cast("double"))
 
 
-def regression_metrics(df: DataFrame, actual: str, predicted_: str, digits: int = 4) -> DataFrame:
+def regression_metrics(df: DataFrame, actual: str, predicted_: str, digits: int = 4, approx: bool = False) -> DataFrame:
     """One row: mae, rmse, r2, mape, max_error, median_ae, explained_var."""
     a, p = F.col(actual).cast("double"), F.col(predicted_).cast("double")
     e = a - p
     sst = F.var_pop(a) * F.count("*")
-    one = df.agg(_if_finite(F.avg(F.abs(e)), actual, predicted_).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), F.percentile(F.abs(e), 0.5).alias("median_ae"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
+    one = df.agg(_if_finite(F.avg(F.abs(e)), actual, predicted_).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), quantile(F.abs(e), 0.5, approx).alias("median_ae"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
     return one.select(*[F.round(c, digits).alias(c) for c in one.columns])
 
 
@@ -113,9 +114,9 @@ def binary_metrics(df: DataFrame, actual: str, score: str, threshold: float, dig
     return one.select("positives", "negatives", F.round(F.try_divide(F.col("u"), F.col("positives") * F.col("negatives")), digits).alias("roc_auc"), F.round(F.try_divide(F.col("ap"), F.col("positives")), digits).alias("average_precision"))
 
 
-def tail_mae(df: DataFrame, actual: str, predicted_: str, q: float) -> DataFrame:
+def tail_mae(df: DataFrame, actual: str, predicted_: str, q: float, approx: bool = False) -> DataFrame:
     """(mae, rmse, tail_mae): the last on rows from the q quantile of the actual values."""
-    cut = df.agg(F.percentile(actual, q).alias("_cut"))
+    cut = df.agg(quantile(actual, q, approx).alias("_cut"))
     e = F.abs(F.col(actual) - F.col(predicted_))
     return df.join(F.broadcast(cut)).agg(F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(F.col(actual) >= F.col("_cut"), e)).alias("tail_mae"))
 

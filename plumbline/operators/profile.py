@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.dist import norm_ppf, normal_quantile
 from ..functions.order import global_index
+from ..functions.quantiles import quantile
 from .clean import as_datetime
 
 # Limits of the diagnostic flags.
@@ -76,7 +77,7 @@ def _finite(c: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def numeric_diagnostics(df: DataFrame, columns: list[str]) -> DataFrame:
+def numeric_diagnostics(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """(column, n_valid, n_excluded, mean, std, zero_rate, skew, kurtosis, median, p99,
     max_value, distinct_count, log_skew): population moments of the finite values."""
     positive = lambda c: F.when(F.min(_finite(c)) > 0, F.skewness(F.when(_finite(c) > 0, F.log(_finite(c)))))
@@ -88,11 +89,11 @@ def numeric_diagnostics(df: DataFrame, columns: list[str]) -> DataFrame:
         "zero_rate": lambda c: F.avg((_finite(c) == 0).cast("int")),
         "skew": lambda c: F.skewness(_finite(c)),
         "kurtosis": lambda c: F.kurtosis(_finite(c)),
-        "median": lambda c: F.percentile(_finite(c), 0.5),
-        "p99": lambda c: F.percentile(_finite(c), 0.99),
+        "median": lambda c: quantile(_finite(c), 0.5, approx),
+        "p99": lambda c: quantile(_finite(c), 0.99, approx),
         "min_value": lambda c: F.min(_finite(c)),
         "max_value": lambda c: F.max(_finite(c)),
-        "distinct_count": lambda c: F.count_distinct(_finite(c)),
+        "distinct_count": lambda c: (F.approx_count_distinct if approx else F.count_distinct)(_finite(c)),
         "log_skew": positive,
     }
     out = _long(df, stats, columns)
@@ -143,10 +144,10 @@ def log_skews(df: DataFrame, group: str, y: str) -> DataFrame:
     return out.filter("_v > 0").drop("_v")
 
 
-def boxplot_stats(df: DataFrame, group: str, y: str) -> DataFrame:
+def boxplot_stats(df: DataFrame, group: str, y: str, approx: bool = False) -> DataFrame:
     """(group, q1, median, q3, low, high): whiskers are the last values within 1.5 IQR."""
     base = df.filter(F.col(group).isNotNull() & F.col(y).isNotNull()).select(group, F.col(y).cast("double").alias("_y"))
-    q = base.groupBy(group).agg(F.percentile("_y", [0.25, 0.5, 0.75]).alias("q")).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = base.groupBy(group).agg(quantile("_y", [0.25, 0.5, 0.75], approx).alias("q")).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     met = base.join(q, group)  # a row per group on the right: Spark broadcasts if it is small
     iqr = F.col("q3") - F.col("q1")
     inside = F.when((F.col("_y") >= F.col("q1") - 1.5 * iqr) & (F.col("_y") <= F.col("q3") + 1.5 * iqr), F.col("_y"))
@@ -179,22 +180,22 @@ def thin(ranked: DataFrame, most: int) -> DataFrame:
     return ranked.filter((F.col("n") <= most) | (F.floor(k * step) == F.col("rank") - 1))
 
 
-def robust_line(df: DataFrame, y: str) -> DataFrame:
+def robust_line(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
     """(slope, intercept) through the quartiles of the z-scores."""
     v = _finite(y)
-    q = F.percentile(v, [0.25, 0.75])
+    q = quantile(v, [0.25, 0.75], approx)
     span = norm_ppf(0.75) - norm_ppf(0.25)
     one = df.agg(q.alias("q"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
     z1, z3 = [(F.col("q")[k] - F.col("m")) / F.col("s") for k in (0, 1)]
     return one.select(((z3 - z1) / span).alias("slope"), (z1 - (z3 - z1) / span * norm_ppf(0.25)).alias("intercept"))
 
 
-def histogram_auto(df: DataFrame, y: str) -> DataFrame:
+def histogram_auto(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
     """(bin, low, high, count): as many equal bins as the finer of Sturges' and
     Freedman-Diaconis' rules asks for; the last bin is closed."""
     base = df.select(_finite(y).alias("_y")).filter("_y is not null")
-    q = F.percentile("_y", [0.25, 0.75])
-    one = base.agg(F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"), (q[1] - q[0]).alias("iqr"))
+    one = base.agg(F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"), quantile("_y", [0.25, 0.75], approx).alias("q"))
+    one = one.select("n", "lo", "hi", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     span = F.col("hi") - F.col("lo")
     sturges = span / (F.log2(F.col("n")) + 1)
     fd = 2 * F.col("iqr") / F.pow(F.col("n"), 1 / 3)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import build_derived
 from ..functions.filters import FilterSpec, exclude_any, filter_all
-from ..functions.order import global_index, hash_index, per_group, quotas, sample_n
+from ..functions.order import first_per_group, global_index, hash_index, per_group, quotas, sample_n
 
 
 def split_random(df: DataFrame, fraction: float, keys: list[str], seed: int) -> DataFrame:
@@ -48,13 +48,14 @@ def split(df: DataFrame, fraction: float, keys: list[str], method: str = "random
 
 def sample_per_group(df: DataFrame, group: str, k: int, keys: list[str], seed: int) -> DataFrame:
     """At most k rows of each group, chosen at random."""
-    return per_group(df, group, keys, seed, "_r").filter(F.col("_r") <= k).drop("_r")
+    return first_per_group(df, group, k, keys, seed)
 
 
 def sample_frac(df: DataFrame, group: str, fraction: float, keys: list[str], seed: int) -> DataFrame:
     """round(n * fraction) rows of each group."""
-    n = F.count("*").over(Window.partitionBy(group))
-    return per_group(df, group, keys, seed, "_r").withColumn("_n", n).filter(F.col("_r") <= F.bround(F.col("_n") * fraction)).drop("_r", "_n")
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    ranked = per_group(df, group, keys, seed, "_r")
+    return ranked.join(sizes, ranked[group].eqNullSafe(F.col("_g"))).filter(F.col("_r") <= F.bround(F.col("_n") * fraction)).drop("_r", "_n", "_g")
 
 
 def sample_balanced(df: DataFrame, group: str, keys: list[str], seed: int) -> DataFrame:
