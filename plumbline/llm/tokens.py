@@ -98,7 +98,7 @@ class CachedEncoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if word else texts, " ")
         cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         found = list(map(self.known.get, distinct))
         if None in found:
             missing = {w for w, x in zip(distinct, found) if x is None}
