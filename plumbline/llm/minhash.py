@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
                 left = rest
         return edges
 
-    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     edges = dealt.mapInArrow(bucket_runs(links, ("key", "i", "j")), "a long, b long").distinct()
     several = found.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("doc_id")
     same = found.join(several, "doc_id").join(reps, "cls").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -196,8 +196,9 @@ def links(classes: DataFrame, radius: int, sets: list[tuple[int, ...]], least: i
         fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint8).reshape(t.num_rows, -1)
         return groups(fps, t.column("rep").to_numpy(), t.column("own").to_numpy(), cuts, marks[2])
 
-    # groups are runs of sorted rows, so that many small ones cost no call each
-    dealt = met.select("rep", "fp", "key", "own", F.col("p.i").alias("i"), F.col("p.j").alias("j")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # groups are runs of sorted rows, so that many small ones cost no call each; the smallest
+    # member opens each search, so that the buckets of a group yield the same few links
+    dealt = met.select("rep", "fp", "key", "own", F.col("p.i").alias("i"), F.col("p.j").alias("j")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     return dealt.mapInArrow(bucket_runs(found, ("key", "i", "j"), several=True), "a long, b long").distinct()
 
 
