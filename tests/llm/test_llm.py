@@ -5,6 +5,7 @@ import hashlib
 import io
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import common, components, hilbert, maxscore, minhash, packing, piece_lattice, queries, simhash, substring, token_store, tokens, toxicity, warc
+from plumbline.llm import common, components, hilbert, maxscore, minhash, packing, piece_lattice, queries, shingle_join, simhash, substring, token_store, tokens, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, size long, marks string, fp string"
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -516,3 +517,67 @@ def test_pipeline_odd_rows(spark, docs, nothing):
         for _, stage in cp.STAGES:
             out = common.stored(stage(spark, out, d), "s")
         assert out.count() > 0 or table is nothing
+
+
+def shifted_pairs(n, more, at=0):
+    """Pairs (id, text) of texts of which the second starts some words later than the first;
+    the shingle similarity is the least of 0.8 or more, and with ``more`` words below it."""
+    rng, out = np.random.default_rng(11 + more), []
+    for i in range(n):
+        size = int(rng.integers(60, 200))
+        k = size // 9 + more
+        words = [f"w{x}" for x in rng.integers(0, 10**9, size + 4 + k)]
+        assert ((size - k) / (size + k) >= 0.8) == (not more)
+        out += [(at + 2 * i, " ".join(words[: size + 4])), (at + 2 * i + 1, " ".join(words[k:]))]
+    return out
+
+
+def pipeline_docs(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_finds_every_near_copy(spark):
+    import corpus_pipeline as cp
+
+    docs = pipeline_docs(spark, shifted_pairs(400, 0))
+    left = [r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left) == list(range(0, 800, 2))
+
+
+def test_shingle_join(spark, docs, nothing, monkeypatch):
+    monkeypatch.setattr(shingle_join, "HOT", 30)
+    got = shingle_join.near_duplicates(docs, 2, Fraction(3, 10)).collect()
+    kinds = [r for r in rows() if r[0] is not None]
+    sets = [set(minhash.shingles((r[1] or "").encode().lower(), 2).tolist()) for r in kinds]
+    group = list(range(len(kinds)))
+    for a in range(len(kinds)):
+        for b in range(a):
+            if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    names = spark.createDataFrame([(r[1] or "",) for r in kinds], "t string").select("t", F.xxhash64("t").alias("tag")).collect()
+    tags = {r.t: r.tag for r in names}
+    found = {(r.doc_id, r.tag): r.component_id for r in got}
+    assert len(got) == len(kinds) and len(set(group)) < len(set(found)) > 60
+    at = [found[r[0], tags[r[1] or ""]] for r in kinds]
+    assert len(set(zip(group, at))) == len(set(group)) == len(set(at))
+    assert shingle_join.near_duplicates(nothing).count() == 0
+
+
+def test_bucket_links():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[: rng.integers(150, 201)], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)])) for b in base for _ in range(12)]
+    side = rng.integers(0, 2, len(sets))
+    for sides in (None, side):
+        near = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+        every = {(a, b) for a in range(len(sets)) for b in range(a) if near(a, b) and (sides is None or sides[a] != sides[b])}
+        got = shingle_join.bucket_links(sets, sides, Fraction(4, 5))
+        assert len(got) < len(sets) and {(max(e), min(e)) for e in got} <= every
+        assert joined(got, len(sets)) == joined(every, len(sets))
+
+
+def joined(edges, n):
+    group = list(range(n))
+    for a, b in edges:
+        group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    return group
