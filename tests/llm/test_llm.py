@@ -544,9 +544,24 @@ def test_pipeline_finds_every_near_copy(spark):
     assert sorted(left) == list(range(0, 800, 2))
 
 
-def test_shingle_join(spark, docs, nothing, monkeypatch):
+def test_pipeline_keeps_what_is_no_near_copy(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    template = [f"t{i}" for i in range(140)]
+    own = [[f"o{x}" for x in rng.integers(0, 10**9, 30)] for _ in range(60)]
+    pairs = shifted_pairs(200, 1) + [(1000 + i, " ".join(template + w)) for i, w in enumerate(own)]  # no two at 0.8, many at 0.7
+    pairs += [(2000 + i, " ".join(f"s{x}" for x in rng.integers(0, 10**9, 6))) for i in range(100)] + [(2100, ""), (2101, None)]
+    again = [(0, "another text of the first id"), (0, pairs[0][1]), (2100, ""), (None, pairs[0][1]), (2099, pairs[0][1].upper())]
+    left = cp.drop_near_copies(spark, pipeline_docs(spark, pairs + again), "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left) == collections.Counter(pairs[:-1] + [again[0], again[3]])
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_shingle_join(spark, docs, nothing, monkeypatch, block):
     monkeypatch.setattr(shingle_join, "HOT", 30)
-    got = shingle_join.near_duplicates(docs, 2, Fraction(3, 10)).collect()
+    monkeypatch.setattr(shingle_join, "SMALL", 2)
+    got = shingle_join.near_duplicates(docs, 2, Fraction(3, 10), block).collect()
     kinds = [r for r in rows() if r[0] is not None]
     sets = [set(minhash.shingles((r[1] or "").encode().lower(), 2).tolist()) for r in kinds]
     group = list(range(len(kinds)))
@@ -563,17 +578,20 @@ def test_shingle_join(spark, docs, nothing, monkeypatch):
     assert shingle_join.near_duplicates(nothing).count() == 0
 
 
-def test_bucket_links():
+def test_bucket_pairs():
     rng = np.random.default_rng(5)
-    base = [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(4)]
-    sets = [np.unique(np.concatenate([b[: rng.integers(150, 201)], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)])) for b in base for _ in range(12)]
-    side = rng.integers(0, 2, len(sets))
-    for sides in (None, side):
-        near = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
-        every = {(a, b) for a in range(len(sets)) for b in range(a) if near(a, b) and (sides is None or sides[a] != sides[b])}
-        got = shingle_join.bucket_links(sets, sides, Fraction(4, 5))
-        assert len(got) < len(sets) and {(max(e), min(e)) for e in got} <= every
-        assert joined(got, len(sets)) == joined(every, len(sets))
+    base = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 60, 200, 255, 600)]
+    sets = [np.unique(np.concatenate([b[: rng.integers(len(b) * 3 // 4, len(b) + 1)], rng.integers(0, 2**63, rng.integers(0, 1 + len(b) // 5), dtype=np.uint64)])) for b in base for _ in range(12)]
+    size, maps = np.array([len(s) for s in sets]), [shingle_join.shingle_map(s).tobytes() for s in sets]
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if shingle_join.alike(sets[a], [sets[b]], Fraction(4, 5))[0]}
+    assert near == {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    side, known = rng.integers(0, 2, len(sets)), rng.integers(0, 5, len(sets))
+    for s, k in ((None, None), (side, None), (side, known)):
+        every = {(a, b) for a, b in near if (s is None or s[a] != s[b]) and (k is None or k[a] != k[b])}
+        got = {(max(e), min(e)) for e in shingle_join.bucket_pairs(size, maps, s, k, False, Fraction(4, 5))}
+        assert every <= got and len(got) < 3 * len(every)
+        some = shingle_join.bucket_pairs(size, maps, s, k, True, Fraction(4, 5))
+        assert len(some) < len(sets) and joined(some, len(sets)) == joined(got, len(sets))
 
 
 def joined(edges, n):
