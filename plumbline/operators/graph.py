@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.order import checkpoint
 
 
-def reachability(edges: DataFrame, start: DataFrame, max_depth: int = 50) -> DataFrame:
+def reachability(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(id, depth): ids reached from ``start`` (id) along edges (source, target), each
-    with its least depth. Every step joins the newest ids only."""
+    with its least depth. Every step joins the newest ids only; steps go on until none is new."""
     edges = edges.filter("source is not null and target is not null").select("source", "target").distinct()
     seen = checkpoint(start.select("id").distinct().withColumn("depth", F.lit(0)))
-    newest = seen
-    for depth in range(1, max_depth + 1):
+    newest, depth = seen, 0
+    while True:
+        depth += 1
         step = newest.join(edges, newest["id"] == edges["source"]).select(F.col("target").alias("id")).distinct()
         newest = checkpoint(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if newest.limit(1).count() == 0:
             return seen
         seen = checkpoint(seen.unionByName(newest))
-    return seen
 
 
 def scope(edges: DataFrame, start: DataFrame) -> DataFrame:

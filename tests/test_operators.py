@@ -443,3 +443,9 @@ def test_reachability(spark):
     assert out == {"a": 0, "b": 1, "c": 2}
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     assert [r.source for r in graph.missing_parents(edges, nodes).collect()] == ["x"]
+
+
+def test_reachability_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(53)], "source long, target long").coalesce(1)
+    out = {r.id: r.depth for r in graph.reachability(edges, spark.createDataFrame([(0,)], "id long").coalesce(1)).collect()}
+    assert out == {i: i for i in range(54)}
