@@ -5,6 +5,8 @@ least hash is its anchor (winnowing), so equal windows share an anchor at the sa
 Anchors are joined over all documents. Extension: around a shared anchor, the stretch of
 all windows that chose it is compared both ways; where the stretches of a seed differ, the
 windows in them are compared one by one. Repeated windows are merged into maximal repeats.
+Word sequences count as equal where two 64-bit hashes agree: that of the anchor in them
+and that of the whole.
 
 Texts stay out of these joins: rows carry hashes and places, and stretches that are alike
 are compared once, whatever number of documents holds them.
@@ -51,10 +53,11 @@ def anchors(words: np.ndarray, window: int, spread: int) -> tuple[np.ndarray, ..
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _d (doc_id, never null) and _t (a hash of the text): equal only for rows
-    that repeat each other, which share all places."""
+    """docs with _d and _t: 88 bits of two hashes of the row's doc_id and text, so that
+    only rows which repeat each other, and so share all places, have the same."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("_t"))
+    row = [F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text]
+    return docs.select("*", F.xxhash64(*row).alias("_d"), F.pmod(F.xxhash64(F.lit(1), *row), F.lit(1 << 24)).alias("_t"))
 
 
 def repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
@@ -62,7 +65,7 @@ def repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
     the first window of a run and a mask of its windows (bit i: window first + i) whose
     word sequence also starts anywhere else.
 
-    A place is one number: the text's tag, then the first window, then how many follow.
+    A place is one number: _t, then the first window, then how many follow.
     """
     if not 2 <= spread <= min(window, 62):
         raise ValueError("spread: 2 to 62, and at most the window")
@@ -85,13 +88,13 @@ def repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
     busy = common.checkpoint(seeds.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
     shared = common.checkpoint(seeds.join(busy, "seed"))
     alike = common.checkpoint(shared.groupBy("seed").agg((F.min("stretch") == F.max("stretch")).alias("alike")))
-    shared = common.checkpoint(shared.join(alike, "seed").select("_d", "stretch", "at", "alike"))
+    shared = common.checkpoint(shared.join(alike, "seed").select("_d", "seed", "stretch", "at", "alike"))
     full = F.expr("shiftleft(1L, cast(at % 64 as int) + 1) - 1")
     whole = shared.filter("alike").select("_d", "at", full.alias("mask"))
 
     # stretches of a seed that differ: one occurrence of each stands for all
-    kinds = shared.filter(~F.col("alike")).groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("_d", "at")).alias("rep"))
-    asked = kinds.select("stretch", "n", "rep._d", "rep.at").groupBy("_d", F.expr("shiftright(at, 38)").alias("_t")).agg(F.collect_list(F.struct("stretch", "n", "at")).alias("asked"))
+    kinds = shared.filter(~F.col("alike")).groupBy("seed", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("_d", "at")).alias("rep"))
+    asked = kinds.select("seed", "stretch", "n", "rep._d", "rep.at").groupBy("_d", F.expr("shiftright(at, 38)").alias("_t")).agg(F.collect_list(F.struct("seed", "stretch", "n", "at")).alias("asked"))
 
     def extend(batches):
         for b in batches:
@@ -101,17 +104,18 @@ def repeats(docs: DataFrame, window: int = 35, spread: int = 20) -> DataFrame:
                 for w in want:
                     first, more = divmod(w["at"] & ((1 << 38) - 1), 64)
                     a = np.arange(first, first + more + 1)
-                    parts.append((w["stretch"], w["n"], _stretch(prefix, a, a + window).view(np.int64)))
-            n = [len(p[2]) for p in parts]
-            place = np.concatenate([np.arange(k) for k in n]) if n else np.zeros(0, np.int64)
-            hashes = np.concatenate([p[2] for p in parts]) if n else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(np.repeat(np.array([p[0] for p in parts], np.int64), n)), pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), n)), pa.array(place.astype(np.int32)), pa.array(hashes)], ["stretch", "n", "i", "hash"])
+                    parts.append((w["seed"], w["stretch"], w["n"], _stretch(prefix, a, a + window).view(np.int64)))
+            n = [len(p[3]) for p in parts]
+            seed, stretch, times = (np.repeat(np.array([p[k] for p in parts], np.int64), n) for k in range(3))
+            place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in n)])
+            hashes = np.concatenate([np.zeros(0, np.int64), *(p[3] for p in parts)])
+            yield pa.record_batch([pa.array(x) for x in (seed, stretch, times, place.astype(np.int32), hashes)], ["seed", "stretch", "n", "i", "hash"])
 
     # rows that repeat each other answer alike, but their stretches count twice already
-    windows = common.checkpoint(rows.join(asked, ["_d", "_t"]).select("text", "asked").mapInArrow(extend, "stretch long, n long, i int, hash long"))
-    twice = windows.groupBy("hash").agg(F.sum("n").alias("times")).filter("times > 1").select("hash")
-    masks = common.checkpoint(windows.join(twice, "hash").groupBy("stretch").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")))
-    parts = shared.filter(~F.col("alike")).join(masks, "stretch").select("_d", "at", "mask")
+    windows = common.checkpoint(rows.join(asked, ["_d", "_t"]).select("text", "asked").mapInArrow(extend, "seed long, stretch long, n long, i int, hash long"))
+    twice = windows.groupBy("seed", "hash").agg(F.sum("n").alias("times")).filter("times > 1").select("seed", "hash")
+    masks = common.checkpoint(windows.join(twice, ["seed", "hash"]).groupBy("seed", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")))
+    parts = shared.filter(~F.col("alike")).join(masks, ["seed", "stretch"]).select("_d", "at", "mask")
     first = F.expr("shiftright(at & 274877906943, 6)").alias("first")
     return whole.union(parts).groupBy("_d", F.expr("shiftright(at, 38)").alias("_t")).agg(F.collect_set(F.struct(first, "mask")).alias("marks"))
 
