@@ -17,8 +17,9 @@ _cached: dict[tuple[str, str], CachedEncoder] = {}
 
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, equal to those of
-    ``Tokenizer.encode(text, add_special_tokens=False)``; strings of special tokens in a
-    text are ordinary text.
+    ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizer as it is in its
+    file: strings of its added tokens in a text become these tokens, and such texts are
+    encoded as they are.
 
     Both tokenizers split a text before they merge, never across the cuts used here, so
     the ids of a text are those of its chunks, one after another, and a chunk that comes
@@ -33,7 +34,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # strings of added tokens, and whether they are sought after the text is normalised
+        self.added = sorted((t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kind, self.most, self.longest = kind, most, longest
         self.known: dict[str, bytes] = {}
         # pieces that end a word, or that begin with a blank
@@ -59,7 +61,8 @@ class CachedEncoder:
 
     def _base(self, word: str) -> str:
         """What has the same ids, where the tokenizer ignores case."""
-        return word.lower() if self.kind == "word" and word.isascii() else word
+        low = word.lower() if self.kind == "word" and word.isascii() else word
+        return word if low != word and any(content in low for content, _ in self.added) else low
 
     def _add(self, new: list[str]) -> None:
         letters = [x for x in new if x.isalpha()]
@@ -120,6 +123,12 @@ class CachedEncoder:
             bad[cuts[:-1]] = [bool(k > 1 and (not h or h[-1].isspace())) for h, k in zip(heads, np.diff(cuts).tolist())]
             again = np.add.reduceat(bad, cuts[:-1]) > 0
         begin = np.concatenate([[0], np.cumsum(n)])
+        special = np.zeros(len(texts), dtype=bool)
+        bound, raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :], texts.buffers()[2]
+        raw = raw.slice(bound[0], bound[len(texts)] - bound[0]).to_pybytes() if raw else b""
+        for content, loose in self.added:
+            if loose or content.encode() in raw:
+                special |= pc.match_substring(texts, content, ignore_case=loose).to_numpy(zero_copy_only=False)
         # token t of word w stands at the word's place in flat plus t
         ids = flat[np.arange(begin[-1]) + np.repeat((np.cumsum(sizes) - sizes)[place] - begin[:-1], n)]
         ends = begin[cuts].tolist()
@@ -128,6 +137,8 @@ class CachedEncoder:
             out = [first + x for first, x in zip(firsts, out)]
             for i in np.flatnonzero(again).tolist():
                 out[i] = b"".join(self._ids(_CUT.split(texts[i].as_py())))
+        for i in np.flatnonzero(special).tolist():
+            out[i] = self._ids([texts[i].as_py()])[0]
         return out
 
 
