@@ -21,6 +21,10 @@ from . import common
 from .tokens import encoder
 
 
+WEIGHTS = (1.0, 1.0, 1.0)
+"""Of tokens, documents and attention cost in the score."""
+
+
 def cut_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of a document's pieces: whole if it fits, else full pieces behind a first
     one that takes what is left over."""
@@ -54,42 +58,35 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: int, weights=(1.0, 0.0, 0.0), rule: str = "norm") -> np.ndarray:
+def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: int, weights=WEIGHTS, rule: str = "norm") -> np.ndarray:
     """Bin of each piece, in the order given (longest first packs best).
 
     Capacities are scaled to 1. ``rule`` "norm" takes the bin whose weighted residual
     after the piece is least; "dot" the one with the greatest weighted dot product of
-    demand and residual. Ties go to the fullest bin, then to the oldest one.
+    demand and residual. Ties go to the oldest bin.
     """
     out = np.empty(len(lengths), dtype=np.int64)
-    room = np.zeros((3, 64), dtype=np.int64)  # residual capacities of open bins
+    room = np.zeros((3, 64))  # residual capacities of open bins: whole numbers far below 2**53
     label = np.zeros(64, dtype=np.int64)
     used = bins = 0
-    scale = np.array([tokens, max(documents, 1), max(cost, 1)], dtype=float)
-    w = np.asarray(weights, dtype=float)[:, None] / scale[:, None] ** 2
-    only_tokens = not (w[1:].any() or rule == "dot")
+    a, b, c = (w / s**2 for w, s in zip(weights, (tokens, max(documents, 1), max(cost, 1))))
     least = int(lengths.min(initial=0))
     for i, n in enumerate(lengths.tolist()):
-        need = np.array([n, 1, n * n], dtype=np.int64)[:, None]
-        best = -1
-        if used:
-            have = room[:, :used]
-            fits = np.flatnonzero((have[0] >= n) & (have[1] >= 1) & (have[2] >= n * n))
-            if len(fits):
-                rest = have[:, fits] - need
-                if only_tokens:
-                    best = int(fits[rest[0].argmin()])
-                else:
-                    score = (w * rest.astype(float) ** 2).sum(0) if rule == "norm" else -(w * need * have[:, fits]).sum(0)
-                    best = int(fits[np.lexsort((fits, rest[0], score))[0]])
-        if best < 0:
+        x, y, z = room[:, :used]
+        if rule == "norm":
+            score = a * np.square(x - n) + b * np.square(y - 1) + c * np.square(z - n * n)
+        else:
+            score = -(a * n * x + b * y + c * n * n * z)
+        score[(x < n) | (y < 1) | (z < n * n)] = np.inf
+        best = int(score.argmin()) if used else -1
+        if best < 0 or score[best] == np.inf:
             if used == room.shape[1]:
                 room, label = np.concatenate([room, np.zeros_like(room)], 1), np.concatenate([label, np.zeros_like(label)])
             best, used = used, used + 1
             room[:, best] = (tokens, documents, cost)
             label[best] = bins
             bins += 1
-        room[:, best] -= need[:, 0]
+        room[:, best] -= (n, 1, n * n)
         out[i] = label[best]
         if room[0, best] < least or room[1, best] < 1 or room[2, best] < least * least:  # closed: keep the order of the others
             room[:, best : used - 1] = room[:, best + 1 : used].copy()
@@ -98,8 +95,10 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: int, weight
     return out
 
 
-def pack(items: DataFrame, tokens: int = 1024, documents: int | None = None, cost: int | None = None, weights=(1.0, 0.0, 0.0), rule: str = "norm", group_rows: int = 20_000, waste: float = 1 / 64) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...).
+def pack(items: DataFrame, tokens: int = 1024, documents: int = 256, cost: int | None = None, weights=WEIGHTS, rule: str = "norm", group_rows: int = 20_000, waste: float = 1 / 64) -> DataFrame:
+    """Add sequence_id and offset to pieces (doc_id, piece, length, ...). A sequence holds at
+    most ``tokens``, ``documents`` pieces and a ``cost`` (default: that of one full piece,
+    so that every piece fits somewhere; no set of pieces that fits by tokens exceeds it).
 
     Pieces are dealt at random into groups of about ``group_rows``, each packed in one
     task, longest first. The sequences of the first round that stay emptier than
@@ -107,7 +106,6 @@ def pack(items: DataFrame, tokens: int = 1024, documents: int | None = None, cos
     take a sequence of their own. Rows with a null length or one over ``tokens`` are an
     error of the caller's and raise; repeated rows are packed as often as they come.
     """
-    documents = tokens if documents is None else documents
     cost = tokens * tokens if cost is None else cost
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
     items = common.checkpoint(items.select(*columns, F.monotonically_increasing_id().alias("_row")))
