@@ -66,17 +66,25 @@ def shard(docs: DataFrame, shards: int = 8, law: str = "rows", dimensions: tuple
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 1. Law "rows": shards are
     runs of the curve whose counts differ by one at most; "bytes": runs cut at equal
-    shares of the bytes. Equal texts of one language and source lie next to each other.
-    A slot is the place in the shard, gapless from 0. Null metadata falls in cell 0, rows
-    that repeat are kept, and an empty table gives none. The rows are sorted by ranges,
-    counted per range, and only one count per range meets in one task.
+    shares of the bytes. Equal texts lie next to each other, in the cell of the least
+    metadata among them; a group of them falls in two shards only where a cut that the
+    law demands runs through it. A slot is the place in the shard, gapless from 0. Null
+    metadata falls in cell 0, rows that repeat are kept, and an empty table gives none.
+    The rows are sorted by ranges, counted per range, and only one count per range meets
+    in one task.
     """
-    text = F.col("text").cast("string")
-    rows = docs.withColumn("size", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = [c for c, kind in dimensions if c != "size"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), F.struct(*names).alias("_own"))
+    rows = common.stored(rows, "rows")
+    # most texts stand alone or with the same metadata: only the others are joined
+    mixed = rows.groupBy("_text", "size", "text_crc32").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last")).filter(~F.col("_first").eqNullSafe(F.col("_last"))).drop("_last")
+    rows = rows.join(mixed, ["_text", "size", "text_crc32"], "left").withColumn("_own", F.coalesce("_first", "_own"))
+    rows = rows.select("doc_id", "size", "text_crc32", "_text", "_own.*")
     curve = hilbert_index([quantised(c, kind, bits) for c, kind in dimensions], bits)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), curve.alias("curve"))
-    rows = common.stored(rows, "curve")
-    ordered = rows.repartitionByRange(common.parts_for(docs.sparkSession), "curve", "text_crc32", "doc_id").sortWithinPartitions("curve", "text_crc32", "doc_id")
+    rows = common.stored(rows.select("doc_id", "size", "text_crc32", "_text", curve.alias("curve")), "curve")
+    order = ("curve", "_text", "text_crc32", "doc_id")
+    ordered = rows.repartitionByRange(common.parts_for(docs.sparkSession), *order).sortWithinPartitions(*order)
     placed = common.stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part, place = F.call_function("shiftright", F.col("_at"), F.lit(33)), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     placed = placed.withColumn("_part", part).withColumn("_place", place)
