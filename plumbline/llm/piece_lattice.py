@@ -6,10 +6,11 @@ distinct words are exploded into substrings of bounded length and joined to the
 table: these are the lattice's edges, grouped by word and folded by Spark's higher-order
 ``aggregate``.
 
-``objective`` "viterbi" folds for the best sum of scores, as unigram models do. The scores
-of a byte-pair model are merge orders, whose best sum is another segmentation than the
-model's own; for these "merges" folds the same edges in merge order: each edge whose two
-parts are the current symbols joins them. A symbol arises from the merges of its own
+Objective "viterbi" folds for the best sum of scores, as unigram models do: edges come
+by their end, and each extends the best segmentation up to its start. The scores of a
+byte-pair model are merge orders, whose best sum is another segmentation than the model's
+own; for the model's own ids "merges" folds the same edges in merge order: each edge whose
+two parts are the current symbols joins them. A symbol arises from the merges of its own
 characters alone; where these take ever lower scores, one pass over the edges by score
 makes the model's merges. Words that hold a piece for which this is not so search the
 next merge anew each time.
@@ -61,17 +62,25 @@ def marked_words(text: Column) -> Column:
     return F.when(F.length(body) > 0, F.regexp_extract_all(F.concat(F.lit(MARK), body), F.lit(f"({MARK}+[^{MARK}]*)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
+UNKNOWN_COST = 1e10
+"""Of a character in no piece, so that it stands alone only where no piece covers it."""
+
+
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, edges): for distinct ``words`` (word), all pieces in them as structs of
-    score (negated), start, end (from 1, the end exclusive), id and ordered."""
+    """(word, edges): for distinct ``words`` (word), all pieces in them as structs of end
+    (exclusive), start (from 1), cost (the score negated), id and ordered, by their ends.
+    A character in no piece is an edge with id -1.
+
+    The substrings of a word stay in its task, so grouping them moves nothing.
+    """
     normal = pieces.filter("kind = 'normal'").select("piece", "id", "score", "ordered")
     longest = normal.agg(F.max(F.length("piece"))).first()[0] or 1
     start = F.sequence(F.lit(1), F.length("word"))
     parts = words.select("word", F.explode(start).alias("start")).select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("n"))
     parts = parts.select("word", "start", "n", F.substring(F.col("word"), F.col("start"), F.col("n")).alias("piece"))
-    met = parts.join(F.broadcast(normal), "piece")  # bounded by the vocabulary
-    edge = F.struct((-F.col("score")).alias("cost"), "start", (F.col("start") + F.col("n")).alias("end"), "id", "ordered")
-    return words.join(met.groupBy("word").agg(F.collect_list(edge).alias("edges")), "word", "left").select("word", F.coalesce("edges", F.expr("cast(array() as array<struct<cost:double,start:int,end:int,id:int,ordered:boolean>>)")).alias("edges"))
+    met = parts.join(F.broadcast(normal), "piece", "left").filter("id is not null or n = 1")  # bounded by the vocabulary
+    edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", F.coalesce(-F.col("score"), F.lit(UNKNOWN_COST)).alias("cost"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("ordered", F.lit(True)).alias("ordered"))
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _merged(ends: Column, e: Column) -> Column:
@@ -86,44 +95,57 @@ def _open(ends: Column, e: Column) -> Column:
     return (middle > 0) & (middle < e["end"]) & (F.element_at(ends, F.greatest(middle, F.lit(1))) == e["end"])
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, objective: str = "merges") -> DataFrame:
-    """(word, ids) of distinct ``words``. Characters in no piece give their UTF-8 bytes'
-    pieces, or the unknown one where the model has none."""
-    edges = lattice(words, pieces)
+def _merge_cuts(edges: DataFrame) -> DataFrame:
+    """``edges`` with cuts: the model's own merges."""
+    first = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: i + 1)
+    many = F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), e["end"].alias("end")))
+    one_pass = F.aggregate(F.array_sort(many), first, lambda ends, e: F.when(_open(ends, e), _merged(ends, e)).otherwise(ends))
+
+    def step(ends, _):
+        best = F.array_min(F.filter(many, lambda e: _open(ends, e)))
+        return F.when(best.isNull(), ends).otherwise(F.transform(F.array(best), lambda e: _merged(ends, e))[0])
+
+    anew = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step)
+    edges = edges.withColumn("ends", F.when(F.forall("edges", lambda e: e["ordered"]), one_pass).otherwise(anew))
+    cuts = F.filter(F.transform("ends", lambda e, i: F.struct((i + 1).alias("start"), e.alias("end"))), lambda c: c["end"] > 0)
+    return edges.withColumn("cuts", cuts).drop("ends")
+
+
+def _best_cuts(edges: DataFrame) -> DataFrame:
+    """``edges`` with cuts: those of least cost. Ties go to the longest last piece."""
+    n = F.length("word")
+
+    def extend(best, e):
+        # best[p]: cost of the characters before place p, and the start of the last piece
+        new = F.struct((F.element_at(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"))
+        other = F.when(new < F.element_at(best, -1), F.concat(F.slice(best, 1, F.size(best) - 1), F.array(new))).otherwise(best)
+        return F.when(F.size(best) < e["end"], F.concat(best, F.array(new))).otherwise(other)
+
+    edges = edges.withColumn("best", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start"))), extend))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+
+    def back(s, _):
+        step = F.transform(F.array(F.element_at("best", s["at"])["start"]), lambda x: F.struct(x.alias("at"), F.concat(F.array(F.struct(x.alias("start"), s["at"].alias("end"))), s["cuts"]).alias("cuts")))
+        return F.when(s["at"] < 2, s).otherwise(step[0])
+
+    found = F.aggregate(F.sequence(F.lit(1), n), F.struct((n + 1).alias("at"), none.alias("cuts")), back)
+    return edges.withColumn("cuts", found["cuts"]).drop("best")
+
+
+OBJECTIVES = {"viterbi": _best_cuts, "merges": _merge_cuts}
+
+
+def encode_words(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("viterbi",)) -> DataFrame:
+    """(word, ids) of distinct ``words``, by the first objective; those of further ones
+    are columns of their names. Characters in no piece give their UTF-8 bytes' pieces, or
+    the unknown one where the model has none."""
+    if not objectives or set(objectives) - set(OBJECTIVES):
+        raise ValueError("objectives: viterbi, merges")
     special = pieces.filter("kind in ('byte', 'unknown')").select("piece", "id", "kind").collect()  # 257 rows at most
-    byte_id = {r["piece"]: r["id"] for r in special if r["kind"] == "byte"}
+    base = next((r["id"] for r in special if r["piece"] == "<0x00>" and r["kind"] == "byte"), None)
     unknown = next((r["id"] for r in special if r["kind"] == "unknown"), 0)
-    n = F.length("word")
-    if objective == "merges":
-        first = F.transform(F.sequence(F.lit(1), n), lambda i: i + 1)
-        many = F.filter("edges", lambda e: e["end"] - e["start"] > 1)
-        one_pass = F.aggregate(F.array_sort(many), first, lambda ends, e: F.when(_open(ends, e), _merged(ends, e)).otherwise(ends))
-
-        def step(ends, _):
-            best = F.array_min(F.filter(many, lambda e: _open(ends, e)))
-            return F.when(best.isNull(), ends).otherwise(F.transform(F.array(best), lambda e: _merged(ends, e))[0])
-
-        anew = F.aggregate(F.sequence(F.lit(1), n), first, step)
-        ends = F.when(F.forall("edges", lambda e: e["ordered"]), one_pass).otherwise(anew)
-        cuts = F.filter(F.transform("ends", lambda e, i: F.struct((i + 1).alias("start"), e.alias("end"))), lambda c: c["end"] > 0)
-        folded = edges.withColumn("ends", ends).withColumn("cuts", cuts)
-    elif objective == "viterbi":
-        # best[i]: least cost of the first i characters and the start of the last piece
-        zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start")))
-
-        def extend(best, i):
-            options = F.transform(F.filter("edges", lambda e: e["end"] == i + 1), lambda e: F.struct((F.element_at(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start")))
-            fallback = F.array(F.struct((F.element_at(best, i)["cost"] + 1e10).alias("cost"), i.alias("start")))
-            return F.concat(best, F.array(F.array_min(F.when(F.exists(options, lambda o: o["cost"].isNotNull()), options).otherwise(fallback))))
-
-        best = F.aggregate(F.sequence(F.lit(1), n), zero, extend)
-        back = F.aggregate(F.sequence(F.lit(1), n), F.struct(n.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("cuts")), lambda s, _: F.when(s["at"] < 1, s).otherwise(F.transform(F.array(F.element_at("best", s["at"] + 1)), lambda b: F.struct((b["start"] - 1).alias("at"), F.concat(F.array(F.struct(b["start"].alias("start"), (s["at"] + 1).alias("end"))), s["cuts"]).alias("cuts")))[0]))
-        folded = edges.withColumn("best", best).withColumn("cuts", back["cuts"])
-    else:
-        raise ValueError("objective: merges or viterbi")
-    known = F.map_from_arrays(F.transform("edges", lambda e: e["start"] * 65536 + (e["end"] - e["start"])), F.transform("edges", lambda e: e["id"]))
-    folded = folded.withColumn("known", known)
-    base = byte_id.get("<0x00>")
+    met = F.filter("edges", lambda e: e["id"] >= 0)
+    folded = lattice(words, pieces).withColumn("known", F.map_from_arrays(F.transform(met, lambda e: e["start"] * 65536 + (e["end"] - e["start"])), F.transform(met, lambda e: e["id"])))
 
     def bytes_of(c):
         code = F.hex(F.encode(F.substring(F.col("word"), c["start"], c["end"] - c["start"]), "UTF-8"))
@@ -135,23 +157,26 @@ def encode_words(words: DataFrame, pieces: DataFrame, objective: str = "merges")
         found = F.try_element_at("known", c["start"] * 65536 + (c["end"] - c["start"]))
         return F.when(found.isNotNull(), F.array(found)).otherwise(bytes_of(c))
 
-    return folded.select("word", F.flatten(F.transform("cuts", ids_of)).alias("ids"))
+    names = ["ids", *objectives[1:]]
+    for name, objective in zip(names, objectives):
+        folded = OBJECTIVES[objective](folded).withColumn(name, F.flatten(F.transform("cuts", ids_of))).drop("cuts")
+    return folded.select("word", *names)
 
 
-def encode(docs: DataFrame, pieces: DataFrame, objective: str = "merges") -> DataFrame:
-    """(doc_id, ids) for each row of ``docs`` (doc_id, text; others are ignored).
+def encode(docs: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("viterbi",)) -> DataFrame:
+    """(doc_id, ids and a column of each further objective) for each row of ``docs``
+    (doc_id, text; others are ignored).
 
     A null or empty text has no ids; rows that repeat a doc_id give a row each; an empty
     table gives none. A word is encoded once, however often it comes, and is joined to
     its places; Spark splits the places of a hot word.
     """
-    rows = common.stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), marked_words(F.col("text")).alias("words")), "words")
-    places = rows.select("_row", F.posexplode("words").alias("pos", "word"))
-    coded = encode_words(places.select("word").distinct(), pieces, objective)
-    coded = common.stored(coded, "coded")
-    parts = places.join(coded, "word").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    return rows.select("_row", "doc_id").join(parts.select("_row", ids.alias("ids")), "_row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked_words(F.col("text")).alias("words"))
+    coded = common.stored(encode_words(split.select(F.explode("words").alias("word")).distinct(), pieces, objectives), "coded")
+    names = [c for c in coded.columns if c != "word"]
+    places = split.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
+    met = places.join(coded, "word", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", *names)))).alias("parts"))
+    return met.select("doc_id", *[F.flatten(F.transform("parts", lambda p: p[c])).alias(c) for c in names])  # noqa: B023
 
 
 def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:

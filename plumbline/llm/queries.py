@@ -51,7 +51,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _learnt(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     labels = _table(spark, sf_dir, "labels").filter(remainder != HELD_OUT).select("doc_id", "toxic")
-    return toxicity.train(_table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.train(_table(spark, sf_dir, "documents"), labels)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +68,9 @@ def op7_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document: the best sum of scores, and the model's own merges."""
     table = common.checkpoint(piece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model")))
-    return piece_lattice.encode(_table(spark, sf_dir, "documents"), table)
+    return piece_lattice.encode(_table(spark, sf_dir, "documents"), table, ("viterbi", "merges"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

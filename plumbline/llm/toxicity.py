@@ -34,7 +34,6 @@ _OTHER = re.compile(r"[\W\d_]+")
 _LOOKALIKE = re.compile("[" + "".join(HOMOGLYPHS) + "！-～]")
 _DIGIT = re.compile(r"[^\W\d_][01345780@$]+[^\W\d_]|[01345780@$][^\W\d_]{2}")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$](?=[^\W_]))*|[@$](?:[^\W_]|[@$](?=[^\W_]))+")
-MAX_PREFIX = 10
 
 
 def _spell(match: re.Match) -> str:
@@ -113,22 +112,27 @@ def fit_logistic(f: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[floa
     return tuple(beta.tolist())
 
 
-def train(labelled: DataFrame, rows: int = 30_000, least: int = 3, terms: int = 4000, odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from ``labelled`` (doc_id, text, toxic 0 or 1).
+def train(docs: DataFrame, labels: DataFrame, rows: int = 30_000, least: int = 3, beginnings: int = 10, odds: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
-    At most about ``rows`` labelled rows, chosen by a hash of their text, are used for
-    both the weights and the logistic function; null labels are left out. An entry needs
-    ``least`` toxic documents and log-odds of ``odds`` beyond the base rate; the
-    ``terms`` strongest stay, which bounds what is broadcast. No rows: an empty lexicon.
+    At most about ``rows`` labelled texts, chosen by a hash of the text, are used for both
+    the weights and the logistic function; null labels and ids are left out. The choice is
+    made from hashes, so only chosen texts are shuffled. Entries are whole words and
+    beginnings of 3 to ``beginnings`` letters; one needs ``least`` toxic documents and
+    log-odds of ``odds`` beyond the base rate. All such entries are kept: there are no
+    more than the chosen texts give, whatever the input. No rows: an empty lexicon.
     """
-    common.small_batches(labelled.sparkSession)
+    common.small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    labels = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 30))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
     # the same text twice says nothing new, and copies would look like evidence
-    pool = labelled.filter("toxic is not null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    pool = pool.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    pool = common.stored(pool, "labelled")
-    total = pool.agg(F.count("*").alias("n")).first()["n"]
-    if total > rows:
-        pool = pool.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+    known = common.checkpoint(texts.select("doc_id", "h").join(labels, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic")))
+    total = known.count()
+    part = min(1 << 30, int((1 << 30) * rows / max(1, total)))
+    chosen = texts.filter(place < part).join(labels.select("doc_id"), "doc_id", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    pool = common.stored(chosen.join(known.filter(place < part), "h"), "labelled")
     n, toxic = pool.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         base = (toxic + 0.5) / (n + 1)
@@ -145,20 +149,20 @@ def train(labelled: DataFrame, rows: int = 30_000, least: int = 3, terms: int =
 
     words = pool.select("text", "toxic").mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     words = common.checkpoint(words)
-    keys = F.concat(F.array(F.concat(F.lit(" "), "word", F.lit(" "))), F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(MAX_PREFIX), F.length("word") - 1))), lambda k: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), k))))
+    keys = F.concat(F.array(F.concat(F.lit(" "), "word", F.lit(" "))), F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(beginnings), F.length("word") - 1))), lambda k: F.concat(F.lit(" "), F.substring(F.col("word"), F.lit(1), k))))
     counts = words.select(F.explode(keys).alias("key"), "bad", "good").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (n - toxic + 1.0))
     # how sure: the log-odds less two standard errors
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     strong = counts.filter(F.col("bad") >= least).select("key", "bad", "good", weight.alias("w"), (weight - error).alias("sure")).filter(f"w >= {odds} and sure >= {odds / 2}")
-    found = strong.orderBy(F.desc("sure"), F.desc(F.length("key")), "key").limit(terms).toPandas()
+    found = strong.toPandas()  # from the chosen texts alone
     # of beginnings with the same counts, the longest says it all
     kept: dict[str, tuple] = {}
     for key, bad, good, sure in found[["key", "bad", "good", "sure"]].itertuples(index=False):
         kept[key] = (bad, good, sure)
     weights = {k: float(v[2]) for k, v in kept.items() if not any(kept.get(k + c, (0, 0))[:2] == v[:2] for c in _next(k, kept))}
     lexicon = Lexicon(weights, (0.0, 0.0, 0.0, 0.0), exceptions)
-    shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches):
         a = shared.value.automaton()
