@@ -34,7 +34,7 @@ def rows(n=60, seed=1):
     texts[9] = texts[8].replace("a", "b", 1)
     texts += [None, "", " \n\t ", "one", "A.  b\n\nC\r\nd ", texts[10], texts[11].upper()]
     out = [(i * 3, t, None if i % 5 == 0 else "en", f"s{i % 3}" if i % 4 else None, None, 1.0, "k", 5, "m", "f") for i, t in enumerate(texts)]
-    return out + [out[2], out[2], (None, "no id", *out[0][2:]), (out[12][0], "other text", *out[0][2:])]
+    return out + [out[2], out[2], (None, "no id", *out[0][2:]), (out[12][0], "other text", *out[0][2:]), (900, "the <|endoftext|> of it", *out[0][2:])]
 
 
 @pytest.fixture(scope="module")
@@ -57,8 +57,7 @@ def crc(ids):
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_cached_encoder(name, kind):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    texts = [r[1] or "" for r in rows()] + ["", " a", "a ", "a  b", "x\n y", " z w", "a\x1c b", "<|endoftext|> x", "It's we'll. THE the, The!", "x" * 5000, "é ́x", "İstanbul, ﬁn."]
+    texts = [r[1] or "" for r in rows()] + ["", " a", "a ", "a  b", "x\n y", " z w", "a\x1c b", "<|endoftext|> x", "end <|endoftext|> here", "<|EndOfText|>", "a<|startoftext|>b  c <|endoftext|><|endoftext|>", "It's we'll. THE the, The!", "x" * 5000, "é ́x", "İstanbul, ﬁn."]
     for most in (10, 10**6):
         got = tokens.CachedEncoder(public_tokenizers.path(name), kind, most).encode(texts * 2, block=500)
         assert got == [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(texts * 2, add_special_tokens=False)]
@@ -114,29 +113,33 @@ def test_top_k(spark, k):
 # ---- 3 ----
 
 
-def brute_fit(lengths, tokens, documents, cost):
+def brute_fit(lengths, caps, weights, rule):
     bins = []
     for n in lengths:
-        ok = [b for b in bins if b[0] >= n and b[1] >= 1 and b[2] >= n * n]
-        b = min(ok, key=lambda b: b[0]) if ok else None
-        if b is None:
-            b = [tokens, documents, cost, len(bins)]
-            bins.append(b)
-        b[0] -= n
-        b[1] -= 1
-        b[2] -= n * n
-        yield b[3]
+        need = (n, 1, n * n)
+        best = None
+        for k, b in enumerate(bins):
+            if all(x >= y for x, y in zip(b, need)):
+                part = [w / c**2 * ((x - y) ** 2 if rule == "norm" else -x * y) for w, c, x, y in zip(weights, caps, b, need)]
+                if best is None or part[0] + part[1] + part[2] < best[0] - 1e-12:
+                    best = (part[0] + part[1] + part[2], k)
+        if best is None:
+            best = (0, len(bins))
+            bins.append(list(caps))
+        bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need)]
+        yield best[1]
 
 
 @pytest.mark.parametrize("documents,cost", [(1024, 1024**2), (3, 1024**2), (1024, 400_000)])
 def test_best_fit_constraints(documents, cost):
     n = np.sort(np.random.default_rng(4).integers(1, 600, 300))[::-1].copy()
     for rule in ("norm", "dot"):
-        bins = packing.best_fit(n, 1024, documents, cost, (1.0, 0.2, 0.2), rule)
-        for b in set(bins.tolist()):
-            own = n[bins == b]
-            assert own.sum() <= 1024 and len(own) <= documents and (own**2).sum() <= cost
-    assert [int(x) for x in packing.best_fit(n, 1024, documents, cost)] == list(brute_fit(n.tolist(), 1024, documents, cost))
+        for weights in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.2, 0.5)):
+            bins = packing.best_fit(n, 1024, documents, cost, weights, rule)
+            for b in set(bins.tolist()):
+                own = n[bins == b]
+                assert own.sum() <= 1024 and len(own) <= documents and (own**2).sum() <= cost
+            assert bins.tolist() == list(brute_fit(n.tolist(), (1024, documents, cost), weights, rule))
 
 
 def check_packing(got, texts, capacity=1024):
@@ -165,6 +168,14 @@ def test_packing(spark, docs, nothing):
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     for group_rows in (10, 20_000):
         used = check_packing(packing.pack(cut, group_rows=group_rows).collect(), [r[:2] for r in rows()])
+    for limits in ({"documents": 3}, {"cost": 400_000}):
+        few = packing.pack(cut.filter("length < 600"), **limits).collect()
+        by = collections.defaultdict(list)
+        for r in few:
+            by[r.sequence_id].append(r.length)
+        assert len(few) == cut.filter("length < 600").count()
+        assert all(sum(v) <= 1024 and len(v) <= limits.get("documents", 256) and sum(x * x for x in v) <= limits.get("cost", 1024**2) for v in by.values())
+        assert max(map(len, by.values())) == 3 or "cost" in limits
     total = sum(r.length for r in cut.collect())
     assert used <= -(-total // 1024) + 1
     assert packing.pack(packing.pieces(nothing, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
@@ -317,16 +328,44 @@ def test_toxicity_learns(spark, docs, nothing):
         data.append((i, " ".join(words), toxic))
     data += [(1000, None, None), (1001, None, 0), (1001, None, 0), (1002, "", 1)]
     df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
-    lex = toxicity.train(df)
+    lex = toxicity.train(df.withColumn("h", F.lit("clash")), df)
     out = {r.doc_id: r for r in toxicity.score(df, lex).collect()}
     assert sum(out[i].predicted == y for i, _, y in data[:300]) >= 295
     assert 0 <= out[1000].score < 0.7 and out[1000].score == out[1001].score
     clash = toxicity.score(docs, lex)
     assert clash.columns.count("score") == 1 and clash.count() == len(rows()) and clash.filter("score = 1").count() == 0
     assert toxicity.score(nothing, lex).count() == 0
-    none = toxicity.train(df.filter("toxic = 0"))
+    none = toxicity.train(df, df.filter("toxic = 0"))
     assert none.weights == {} and toxicity.score(df, none).filter("predicted = 1").count() == 0
-    assert toxicity.train(df.limit(0)).weights == {}
+    assert toxicity.train(df.limit(0), df).weights == {} == toxicity.train(df, df.limit(0)).weights
+
+
+def plain_score(text, lex):
+    """The score by looking up every word and beginning, word by word."""
+    words = toxicity.fold(text or "").split()
+    free = [True] * len(words)
+    for phrase in lex.exceptions:
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                free[i : i + len(p)] = [False] * len(p)
+    best = []
+    for w, ok in zip(words, free):
+        found = [lex.weights.get(f" {w} ", 0.0)] + [lex.weights.get(" " + w[:k], 0.0) for k in range(1, len(w) + 1)]
+        best.append(max(found) if ok else 0.0)
+    f = (np.log1p(sum(best)), min(1.0, sum(best) / max(1, len(words))), max(best, default=0.0))
+    return 1 / (1 + np.exp(-np.clip(lex.beta[0] + np.dot(f, lex.beta[1:]), -30, 30)))
+
+
+def test_toxicity_against_plain_lookup(spark, docs):
+    d = "/root/testdata/sf0.01"
+    lex = queries._learnt(spark, d)
+    assert len(lex.weights) > 5
+    table = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text"))
+    extra = spark.createDataFrame([(10**6 + i, f"{x} and {y} clown fish {x} pond scum") for i, (x, y) in enumerate(zip(map(str.strip, lex.weights), toxicity.EXCEPTIONS * 50))], "doc_id long, text string")
+    for r in toxicity.score(table.union(extra), lex).collect():
+        want = plain_score(r.text, lex)
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.7)
 
 
 def test_toxicity_held_out(spark):
@@ -350,6 +389,57 @@ def test_hilbert_curve(spark, n, bits):
     assert (out.drop(columns="h").diff().abs().sum(axis=1)[1:] == 1).all()
 
 
+def brute_curve(cells, bits):
+    """Place of a cell on the curve, by turning it to the index bit by bit."""
+    x, n = list(cells), len(cells)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[-1] & q:
+            t ^= q - 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out * 2 + ((v ^ t) >> b & 1)
+    return out
+
+
+def test_shards_by_brute_force(spark, docs):
+    """Every row's place, from cells and hashes of each row alone."""
+    text = F.coalesce("text", F.lit(""))
+    data = [r.asDict() for r in docs.withColumn("size", F.octet_length(text) + 1).select("doc_id", text.alias("text"), "lang", "source", F.xxhash64(text).alias("h"), F.expr("coalesce(pmod(xxhash64(lang), 32), 0)").alias("a"), F.expr("coalesce(pmod(xxhash64(source), 32), 0)").alias("b")).collect()]
+    first = {}
+    for r in data:
+        own = ((r["lang"] is not None, r["lang"] or ""), (r["source"] is not None, r["source"] or ""))
+        first[r["text"]] = min(first.get(r["text"], (own, 0, 0)), (own, r["a"], r["b"])) if r["text"] in first else (own, r["a"], r["b"])
+    want = []
+    for r in data:
+        size = len(r["text"].encode()) + 1
+        _, a, b = first[r["text"]]
+        cell = min(31, int(np.floor(2 * np.log2(size + 1))))
+        want.append((brute_curve((a, b, cell), 5), r["h"], zlib.crc32(r["text"].encode()), -1 if r["doc_id"] is None else r["doc_id"], size))
+    n, shards = len(want), 4
+    out = collections.Counter()
+    starts = [-(-k * n // shards) for k in range(shards)]
+    for i, (curve, _, crc32, doc_id, size) in enumerate(sorted(want)):
+        k = i * shards // n
+        out[doc_id, size, crc32, curve, k, i - starts[k]] += 1
+    got = hilbert.shard(docs, shards, "rows").select(F.coalesce("doc_id", F.lit(-1)), "size", "text_crc32", "curve", "shard", "slot").collect()
+    assert collections.Counter(map(tuple, got)) == out
+    places = collections.defaultdict(list)
+    for i, x in enumerate(sorted(want)):
+        places[x[1]].append(i)
+    assert all(v[-1] - v[0] == len(v) - 1 for v in places.values())  # equal texts lie together
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards(spark, docs, nothing, law):
     data = rows()
@@ -375,17 +465,43 @@ def test_shards(spark, docs, nothing, law):
 # ---- 8 ----
 
 
+def brute_viterbi(text, scores, ids, byte_id):
+    """Ids of the segmentation of least cost, word by word; ties go to the longest last piece."""
+    out = []
+    for w in re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁")) if text else []:
+        best = [(0.0, 0)]
+        for end in range(1, len(w) + 1):
+            options = [(best[a][0] - scores[w[a:end]], a) for a in range(max(0, end - 32), end) if w[a:end] in scores]
+            if w[end - 1] not in scores:
+                options.append((best[end - 1][0] + piece_lattice.UNKNOWN_COST, end - 1))
+            best.append(min(options))
+        at, own = len(w), []
+        while at:
+            a = best[at][1]
+            own = ([ids[w[a:at]]] if w[a:at] in ids else [byte_id + x for x in w[a:at].encode()]) + own
+            at = a
+        out += own
+    return out
+
+
 def test_pieces(spark, docs, nothing):
     m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     table = piece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model")).cache()
-    data = [(i, r[1][:3000] if r[1] else r[1]) for i, r in enumerate(rows(15))] + [(500 + n, " " * n + "x" + " " * (n + 3)) for n in range(1, 18)] + [(600, "😀 ▁x <s> <0x0A>"), (600, "twice")]
-    small = spark.createDataFrame(data, "doc_id long, text string")
-    coded = piece_lattice.encode(small, table).cache()
+    data = [(i, r[1]) for i, r in enumerate(rows(15))] + [(500 + n, " " * n + "x" + " " * (n + 3)) for n in range(1, 18)] + [(600, "😀 ▁x <s> <0x0A>"), (600, "twice"), (None, "no id"), (None, None), (700, "nospace" * 60)]
+    data += [(1000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    small = spark.createDataFrame(data, "doc_id long, text string").withColumn("words", F.lit("clash"))
+    coded = piece_lattice.encode(small, table, ("viterbi", "merges")).cache()
     want = collections.Counter((i, tuple(m.encode(t or ""))) for i, t in data)
-    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == want
+    assert collections.Counter((r.doc_id, tuple(r.merges)) for r in coded.collect()) == want
+    normal = {r.piece: r for r in table.collect() if r.kind == "normal"}
+    scores, ids, byte_id = {p: r.score for p, r in normal.items()}, {p: r.id for p, r in normal.items()}, m.piece_to_id("<0x00>")
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == collections.Counter((i, tuple(brute_viterbi(t or "", scores, ids, byte_id))) for i, t in data)
     plain = collections.Counter((i, (t or "").replace("▁", " ")) for i, t in data)
-    assert collections.Counter(map(tuple, piece_lattice.decode(coded, table).collect())) == plain
+    for column in ("ids", "merges"):
+        assert collections.Counter(map(tuple, piece_lattice.decode(coded.select("doc_id", F.col(column).alias("ids")), table).collect())) == plain
     assert piece_lattice.encode(nothing, table).count() == 0
+    with pytest.raises(ValueError):
+        piece_lattice.encode(nothing, table, ("other",))
 
 
 def test_viterbi(spark):
@@ -393,7 +509,7 @@ def test_viterbi(spark):
     scores = {"a": -3.0, "b": -3.5, "c": -2.0, "ab": -4.0, "bc": -5.5, "abc": -8.0, "ca": -4.9}
     table = spark.createDataFrame([("<unk>", 0, 0.0, True, "unknown")] + [(p, i + 1, s, True, "normal") for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double, ordered boolean, kind string")
     words = ["a", "abc", "abcabc", "cab", "bcca", "cabcab"]
-    out = {r.word: r.ids for r in piece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, "viterbi").collect()}
+    out = {r.word: r.ids for r in piece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), table, ("viterbi",)).collect()}
     ids = {p: i + 1 for i, p in enumerate(scores)}
 
     def best(w):
@@ -470,6 +586,21 @@ def test_repeats(docs, nothing, window, spread):
         substring.remove_repeats(docs, 5, 9)
 
 
+def test_repeats_of_rows_that_share_an_id(spark, monkeypatch):
+    """Rows of one id with different texts stay apart, whatever 24 bits of their texts' hash say."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 45)) for _ in range(6000)]
+    by = collections.defaultdict(list)
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(1 << 24)).alias("h")).collect():
+        by[r.h].append(r.t)
+    pairs = [v for v in by.values() if len(v) > 1][:3]
+    assert pairs
+    data = [(None, a) for a, _ in pairs] + [(None, b) for _, b in pairs] + [(7 + i, a) for i, (a, _) in enumerate(pairs)] + [(50, pairs[0][0]), (50, pairs[0][1])]
+    want = collections.Counter((i, *x) for (i, _), x in zip(data, brute_repeats([t for _, t in data], 35)))
+    out = substring.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == want
+
+
 # ---- the pipeline ----
 
 
@@ -585,13 +716,16 @@ def test_bucket_pairs():
     size, maps = np.array([len(s) for s in sets]), [shingle_join.shingle_map(s).tobytes() for s in sets]
     near = {(a, b) for a in range(len(sets)) for b in range(a) if shingle_join.alike(sets[a], [sets[b]], Fraction(4, 5))[0]}
     assert near == {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    got = {(max(e), min(e)) for e in shingle_join.bucket_pairs(size, maps, Fraction(4, 5))}
+    assert near <= got and len(got) < 3 * len(near)
     side, known = rng.integers(0, 2, len(sets)), rng.integers(0, 5, len(sets))
-    for s, k in ((None, None), (side, None), (side, known)):
-        every = {(a, b) for a, b in near if (s is None or s[a] != s[b]) and (k is None or k[a] != k[b])}
-        got = {(max(e), min(e)) for e in shingle_join.bucket_pairs(size, maps, s, k, False, Fraction(4, 5))}
-        assert every <= got and len(got) < 3 * len(every)
-        some = shingle_join.bucket_pairs(size, maps, s, k, True, Fraction(4, 5))
-        assert len(some) < len(sets) and joined(some, len(sets)) == joined(got, len(sets))
+    apart = np.arange(len(sets))
+    for s, k in ((None, apart), (side, apart), (side, known)):
+        every = [(a, b) for a, b in near if s is None or s[a] != s[b]]
+        some = shingle_join.group_links(sets, s, k, Fraction(4, 5))
+        assert all((max(e), min(e)) in near and (s is None or s[e[0]] != s[e[1]]) and k[e[0]] != k[e[1]] for e in some)
+        same = [(int(np.flatnonzero(k == x)[0]), int(y)) for x in np.unique(k) for y in np.flatnonzero(k == x)]
+        assert len(some) < len(sets) and joined(some + same, len(sets)) == joined(every + same, len(sets))
 
 
 def joined(edges, n):
