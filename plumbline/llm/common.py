@@ -33,12 +33,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage reliably, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
@@ -46,6 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage, as a table in the shared folder: computed once, and without what a
+    checkpointed plan keeps of its origin (in loops that grows from round to round)."""
+    return stored(df, "cut")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI such as file:///x or hdfs://host/x."""
     from pyarrow import fs

@@ -29,7 +29,7 @@ class CachedEncoder:
     The store of chunks is emptied when it holds ``most`` of them.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, kind: str, most: int = 500_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
