@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import checkpoint
+
 ACCURACY = 10_000
 """The summary's rank error is at most one part in this."""
 
@@ -13,3 +15,30 @@ def quantile(c: Column | str, q: float | list[float], approx: bool = False) -> C
     """Linear interpolation between ranks. The exact form keeps the counts of all distinct
     values of a group; for continuous columns of very many rows take ``approx``."""
     return F.percentile_approx(c, q, ACCURACY) if approx else F.percentile(c, q)
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float]) -> DataFrame:
+    """(group, distinct_count, a column of each of ``qs``): exact quantiles of the non-null
+    values of each group, interpolated linearly between ranks.
+
+    Values are counted where they stand, sorted by ranges over all tasks, and ranks are
+    running sums of the counts; only one count per range meets in one task, so neither a
+    column nor a group has to fit in one. Groups without values give no row.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ordered = checkpoint(counts.repartitionByRange(F.asc_nulls_first("_g"), "_v").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy("_part").agg(F.sum("_n").alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    run = Window.partitionBy("_part").orderBy(F.asc_nulls_first("_g"), "_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("_in", F.coalesce(F.sum("_n").over(run), F.lit(0))).join(F.broadcast(offsets), "_part")  # a row per range
+    placed = placed.select("_g", "_v", "_n", (F.col("_off") + F.col("_in")).alias("_at"))
+    totals = placed.groupBy(F.col("_g").alias("_h")).agg(F.min("_at").alias("_start"), F.sum("_n").alias("_total"))
+    met = placed.join(totals, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_at", F.col("_at") - F.col("_start"))
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("_at") <= k) & (k < F.col("_at") + F.col("_n")), F.col("_v")))
+
+    rank = {name: F.lit(q) * (F.col("_total") - 1) for name, q in qs.items()}
+    found = met.groupBy("_g", "_total").agg(F.count("*").alias("distinct_count"), *[at(f(r)).alias(f"{name}_{k}") for name, r in rank.items() for k, f in (("low", F.floor), ("high", F.ceil))])
+    between = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (r - F.floor(r))).alias(name) for name, r in rank.items()]
+    return found.select(F.col("_g").alias(group), "distinct_count", *between)

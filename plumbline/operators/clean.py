@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Tokens that stand for a missing value.
@@ -41,11 +41,16 @@ def as_number(c: str | Column, kind: str = "double") -> Column:
 
 def parse_failures(df: DataFrame, parsed: dict[str, Column], examples: int = 5) -> DataFrame:
     """(column, failures, examples): values that are not null but parse to null."""
-    aggs, names = [], list(parsed)
-    for n in names:
-        failed = F.col(n).isNotNull() & parsed[n].isNull()
-        aggs.append(F.struct(F.count_if(failed).alias("failures"), F.slice(F.sort_array(F.collect_set(F.when(failed, F.col(n).cast("string")))), 1, examples).alias("examples")).alias(n))
-    return df.agg(*aggs).unpivot([], names, "column", "v").select("column", "v.failures", "v.examples")
+    names = list(parsed)
+    wide = df.select(*[F.when(F.col(n).isNotNull() & parsed[n].isNull(), F.col(n).cast("string")).alias(n) for n in names])
+    each = wide.unpivot([], names, "column", "x").filter("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+    totals = each.groupBy("column").agg(F.sum("n").alias("failures"))
+    # the first few only: each task keeps no more of a column
+    first = each.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("x"))).filter(F.col("k") <= examples)
+    first = first.groupBy("column").agg(F.sort_array(F.collect_list("x")).alias("examples"))
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    found = every.join(totals, "column", "left").join(first, "column", "left")
+    return found.select("column", F.coalesce("failures", F.lit(0).cast("long")).alias("failures"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:

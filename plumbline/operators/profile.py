@@ -8,7 +8,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.dist import norm_ppf, normal_quantile
 from ..functions.order import global_index
-from ..functions.quantiles import quantile
+from ..functions.quantiles import group_quantiles, quantile
 from .clean import as_datetime
 
 # Limits of the diagnostic flags.
@@ -89,14 +89,18 @@ def numeric_diagnostics(df: DataFrame, columns: list[str], approx: bool = False)
         "zero_rate": lambda c: F.avg((_finite(c) == 0).cast("int")),
         "skew": lambda c: F.skewness(_finite(c)),
         "kurtosis": lambda c: F.kurtosis(_finite(c)),
-        "median": lambda c: quantile(_finite(c), 0.5, approx),
-        "p99": lambda c: quantile(_finite(c), 0.99, approx),
         "min_value": lambda c: F.min(_finite(c)),
         "max_value": lambda c: F.max(_finite(c)),
-        "distinct_count": lambda c: (F.approx_count_distinct if approx else F.count_distinct)(_finite(c)),
         "log_skew": positive,
     }
-    out = _long(df, stats, columns)
+    if approx:
+        stats |= {"distinct_count": lambda c: F.approx_count_distinct(_finite(c)), "median": lambda c: quantile(_finite(c), 0.5, True), "p99": lambda c: quantile(_finite(c), 0.99, True)}
+        out = _long(df, stats, columns)
+    else:
+        values = df.select(*[_finite(c).alias(c) for c in columns]).unpivot([], columns, "column", "v")
+        counted = group_quantiles(values, "column", "v", {"median": 0.5, "p99": 0.99})
+        out = _long(df, stats, columns).join(counted, "column", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
+    out = out.select("column", "n_valid", "n_excluded", "mean", "std", "zero_rate", "skew", "kurtosis", "median", "p99", "min_value", "max_value", "distinct_count", "log_skew")
     return out.withColumn("log_skew", F.when((F.col("skew") > 1) & (F.col("min_value") > 0), F.col("log_skew")))
 
 

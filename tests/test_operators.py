@@ -449,3 +449,29 @@ def test_reachability_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(53)], "source long, target long").coalesce(1)
     out = {r.id: r.depth for r in graph.reachability(edges, spark.createDataFrame([(0,)], "id long").coalesce(1)).collect()}
     assert out == {i: i for i in range(54)}
+
+
+def test_group_quantiles(spark):
+    """Against numpy, with ties, one row, a null group and a group of nulls only."""
+    import numpy as np
+
+    from plumbline.functions.quantiles import group_quantiles
+
+    rng = np.random.default_rng(3)
+    data = [("a", float(x)) for x in rng.integers(0, 20, 301)] + [("b", float(x)) for x in rng.normal(size=200)] + [("c", 4.0), (None, 1.0), (None, 2.0), ("d", None), ("a", None)]
+    qs = {"low": 0.0, "q1": 0.25, "median": 0.5, "p99": 0.99, "high": 1.0}
+    got = {r["g"]: r for r in group_quantiles(spark.createDataFrame(data, "g string, v double"), "g", "v", qs).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, r in got.items():
+        own = [v for k, v in data if k == g and v is not None]
+        assert r["distinct_count"] == len(set(own))
+        assert all(abs(r[name] - np.quantile(own, q)) < 1e-12 for name, q in qs.items())
+    assert group_quantiles(spark.createDataFrame([], "g string, v double"), "g", "v", qs).count() == 0
+
+
+def test_parse_failures_keeps_the_first(spark):
+    from plumbline.operators.clean import as_number, parse_failures
+
+    df = spark.createDataFrame([(str(i), f"x{i % 50:02d}", "1") for i in range(500)], "n string, bad string, good string")
+    got = {r["column"]: (r["failures"], r["examples"]) for r in parse_failures(df, {c: as_number(c, "double") for c in df.columns}).collect()}
+    assert got == {"n": (0, []), "bad": (500, ["x00", "x01", "x02", "x03", "x04"]), "good": (0, [])}
