@@ -11,10 +11,9 @@ ACCURACY = 10_000
 """The summary's rank error is at most one part in this."""
 
 
-def quantile(c: Column | str, q: float | list[float], approx: bool = False) -> Column:
-    """Linear interpolation between ranks. The exact form keeps the counts of all distinct
-    values of a group; for continuous columns of very many rows take ``approx``."""
-    return F.percentile_approx(c, q, ACCURACY) if approx else F.percentile(c, q)
+def summary_quantile(c: Column | str, q: float) -> Column:
+    """A quantile from a summary of bounded size."""
+    return F.percentile_approx(c, q, ACCURACY)
 
 
 def group_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float]) -> DataFrame:
@@ -40,5 +39,17 @@ def group_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float])
 
     rank = {name: F.lit(q) * (F.col("_total") - 1) for name, q in qs.items()}
     found = met.groupBy("_g", "_total").agg(F.count("*").alias("distinct_count"), *[at(f(r)).alias(f"{name}_{k}") for name, r in rank.items() for k, f in (("low", F.floor), ("high", F.ceil))])
-    between = [(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (r - F.floor(r))).alias(name) for name, r in rank.items()]
+    low, high = (lambda name, k=k: F.col(f"{name}_{k}") for k in ("low", "high"))
+    between = [F.when(low(name) == high(name), low(name)).otherwise(low(name) + (high(name) - low(name)) * (r - F.floor(r))).alias(name) for name, r in rank.items()]
     return found.select(F.col("_g").alias(group), "distinct_count", *between)
+
+
+def row_quantiles(df: DataFrame, values: dict[str, Column], qs: dict[str, float], approx: bool = False) -> DataFrame:
+    """One row with a column ``<value>_<q>`` for each of the values and quantiles (null
+    where there are no values): all columns at once by ``group_quantiles``, or from
+    summaries."""
+    if approx:
+        return df.agg(*[summary_quantile(v, q).alias(f"{n}_{k}") for n, v in values.items() for k, q in qs.items()])
+    long = df.select(*[v.cast("double").alias(n) for n, v in values.items()]).unpivot([], list(values), "_c", "_x")
+    found = group_quantiles(long, "_c", "_x", qs)
+    return found.agg(*[F.max(F.when(F.col("_c") == n, F.col(k))).alias(f"{n}_{k}") for n in values for k in qs])

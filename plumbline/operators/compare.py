@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf, f_sf, norm_ppf, range_sf, t_quantile, t_sf2
-from ..functions.quantiles import quantile
+from ..functions.quantiles import group_quantiles, summary_quantile
 from .groups import group_stats, k_rows
 
 
@@ -95,7 +95,10 @@ def kruskal(df: DataFrame, group: str, y: str, alpha: float = 0.05) -> DataFrame
 def levene(df: DataFrame, group: str, y: str, alpha: float = 0.05, approx: bool = False) -> DataFrame:
     """Analysis of variance of the distances from the groups' medians."""
     base = df.filter(F.col(group).isNotNull() & F.col(y).isNotNull())
-    medians = base.groupBy(F.col(group).alias("_g")).agg(quantile(y, 0.5, approx).alias("_m"))
+    if approx:
+        medians = base.groupBy(F.col(group).alias("_g")).agg(summary_quantile(y, 0.5).alias("_m"))
+    else:
+        medians = group_quantiles(base.select(F.col(group).alias("_g"), F.col(y).cast("double").alias("_y")), "_g", "_y", {"_m": 0.5}).select("_g", "_m")
     away = base.join(medians, F.col(group) == F.col("_g")).withColumn("_d", F.abs(F.col(y) - F.col("_m")))
     return anova(away, group, "_d", alpha).select("k", "n", "statistic", "df1", "df2", "p_value", "passed")
 

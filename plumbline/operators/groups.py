@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantile
+from ..functions.quantiles import row_quantiles
 
 
 def k_rows():
@@ -51,7 +51,8 @@ def baseline_group_range(df: DataFrame, group: str, y: str) -> DataFrame:
 
 def baseline_regression(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
     """(mean, median, mae_mean, mae_median): errors of two constant predictions."""
-    one = df.agg(F.avg(y).alias("mean"), quantile(y, 0.5, approx).alias("median"))
+    median = row_quantiles(df, {"y": F.col(y)}, {"q": 0.5}, approx).select(F.col("y_q").alias("median"))
+    one = df.agg(F.avg(y).alias("mean")).join(F.broadcast(median))  # one row
     met = df.select(F.col(y).alias("_y")).join(F.broadcast(one))
     return met.groupBy("mean", "median").agg(F.avg(F.abs(F.col("_y") - F.col("mean"))).alias("mae_mean"), F.avg(F.abs(F.col("_y") - F.col("median"))).alias("mae_median"))
 
@@ -72,9 +73,9 @@ def improvement(df: DataFrame, baseline: str, candidate: str, task: str = "regre
 def modified_zscores(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Add <c>_mz: 0.6745 times the distance from the median in units of the median
     absolute deviation; 0 where that is 0."""
-    medians = df.agg(*[quantile(c, 0.5, approx).alias(f"_m_{c}") for c in columns])
+    medians = row_quantiles(df, {f"_m_{c}": F.col(c) for c in columns}, {"q": 0.5}, approx).toDF(*[f"_m_{c}" for c in columns])
     met = df.join(F.broadcast(medians))  # one row
-    spreads = met.agg(*[quantile(F.abs(F.col(c) - F.col(f"_m_{c}")), 0.5, approx).alias(f"_d_{c}") for c in columns])
+    spreads = row_quantiles(met, {f"_d_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in columns}, {"q": 0.5}, approx).toDF(*[f"_d_{c}" for c in columns])
     out = met.join(F.broadcast(spreads))
     z = {f"{c}_mz": F.when(F.col(f"_d_{c}") > 0, 0.6745 * (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}")).when(F.col(c).isNotNull(), 0.0) for c in columns}
     return out.withColumns(z).drop(*[f"_{k}_{c}" for k in "md" for c in columns])
@@ -90,6 +91,6 @@ def outlier_mask(df: DataFrame, columns: list[str], threshold: float = 3.5, appr
 
 def winsorize(df: DataFrame, columns: list[str], q: float, approx: bool = False) -> DataFrame:
     """Clip columns at their upper quantile; null stays null."""
-    caps = df.agg(*[quantile(c, q, approx).alias(f"_q_{c}") for c in columns])
+    caps = row_quantiles(df, {f"_q_{c}": F.col(c) for c in columns}, {"q": q}, approx).toDF(*[f"_q_{c}" for c in columns])
     met = df.join(F.broadcast(caps))
     return met.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.col(f"_q_{c}"))) for c in columns}).drop(*[f"_q_{c}" for c in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import global_index, hash_index
-from ..functions.quantiles import quantile
+from ..functions.quantiles import row_quantiles
 from .regress import fit, predicted
 
 MODELS = ("linear", "random_forest", "boosted_trees")
@@ -94,8 +94,9 @@ def regression_metrics(df: DataFrame, actual: str, predicted_: str, digits: int
     a, p = F.col(actual).cast("double"), F.col(predicted_).cast("double")
     e = a - p
     sst = F.var_pop(a) * F.count("*")
-    one = df.agg(_if_finite(F.avg(F.abs(e)), actual, predicted_).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), quantile(F.abs(e), 0.5, approx).alias("median_ae"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
-    return one.select(*[F.round(c, digits).alias(c) for c in one.columns])
+    one = df.agg(_if_finite(F.avg(F.abs(e)), actual, predicted_).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
+    one = one.join(F.broadcast(row_quantiles(df, {"e": F.abs(e)}, {"q": 0.5}, approx).select(F.col("e_q").alias("median_ae"))))  # one row
+    return one.select(*[F.round(c, digits).alias(c) for c in ("mae", "rmse", "r2", "mape", "max_error", "median_ae", "explained_var")])
 
 
 def binary_metrics(df: DataFrame, actual: str, score: str, threshold: float, digits: int = 4) -> DataFrame:
@@ -116,7 +117,7 @@ def binary_metrics(df: DataFrame, actual: str, score: str, threshold: float, dig
 
 def tail_mae(df: DataFrame, actual: str, predicted_: str, q: float, approx: bool = False) -> DataFrame:
     """(mae, rmse, tail_mae): the last on rows from the q quantile of the actual values."""
-    cut = df.agg(quantile(actual, q, approx).alias("_cut"))
+    cut = row_quantiles(df, {"y": F.col(actual)}, {"q": q}, approx).toDF("_cut")
     e = F.abs(F.col(actual) - F.col(predicted_))
     return df.join(F.broadcast(cut)).agg(F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(F.col(actual) >= F.col("_cut"), e)).alias("tail_mae"))
 

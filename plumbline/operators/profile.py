@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.dist import norm_ppf, normal_quantile
+from ..functions.dist import norm_ppf, norm_ppf_sql
 from ..functions.order import global_index
-from ..functions.quantiles import group_quantiles, quantile
+from ..functions.quantiles import group_quantiles, row_quantiles, summary_quantile
 from .clean import as_datetime
 
 # Limits of the diagnostic flags.
@@ -94,7 +94,7 @@ def numeric_diagnostics(df: DataFrame, columns: list[str], approx: bool = False)
         "log_skew": positive,
     }
     if approx:
-        stats |= {"distinct_count": lambda c: F.approx_count_distinct(_finite(c)), "median": lambda c: quantile(_finite(c), 0.5, True), "p99": lambda c: quantile(_finite(c), 0.99, True)}
+        stats |= {"distinct_count": lambda c: F.approx_count_distinct(_finite(c)), "median": lambda c: summary_quantile(_finite(c), 0.5), "p99": lambda c: summary_quantile(_finite(c), 0.99)}
         out = _long(df, stats, columns)
     else:
         values = df.select(*[_finite(c).alias(c) for c in columns]).unpivot([], columns, "column", "v")
@@ -151,7 +151,8 @@ def log_skews(df: DataFrame, group: str, y: str) -> DataFrame:
 def boxplot_stats(df: DataFrame, group: str, y: str, approx: bool = False) -> DataFrame:
     """(group, q1, median, q3, low, high): whiskers are the last values within 1.5 IQR."""
     base = df.filter(F.col(group).isNotNull() & F.col(y).isNotNull()).select(group, F.col(y).cast("double").alias("_y"))
-    q = base.groupBy(group).agg(quantile("_y", [0.25, 0.5, 0.75], approx).alias("q")).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    qs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = base.groupBy(group).agg(*[summary_quantile("_y", v).alias(k) for k, v in qs.items()]) if approx else group_quantiles(base, group, "_y", qs).select(group, *qs)
     met = base.join(q, group)  # a row per group on the right: Spark broadcasts if it is small
     iqr = F.col("q3") - F.col("q1")
     inside = F.when((F.col("_y") >= F.col("q1") - 1.5 * iqr) & (F.col("_y") <= F.col("q3") + 1.5 * iqr), F.col("_y"))
@@ -172,7 +173,7 @@ def ranked_positions(df: DataFrame, y: str, keys: list[str]) -> DataFrame:
 def qq_points(df: DataFrame, y: str, keys: list[str], most: int = 10_000) -> DataFrame:
     """(rank, theoretical, z, slope, intercept): thinned to evenly spaced ranks; the fitted
     line is that of all points."""
-    points = ranked_positions(df, y, keys).withColumn("theoretical", normal_quantile("position"))
+    points = ranked_positions(df, y, keys).withColumn("theoretical", F.expr(norm_ppf_sql("position")))
     line = points.agg(F.regr_slope("z", "theoretical").alias("slope"), F.regr_intercept("z", "theoretical").alias("intercept"))
     return thin(points, most).join(F.broadcast(line)).select("rank", "theoretical", "z", "slope", "intercept")
 
@@ -187,10 +188,10 @@ def thin(ranked: DataFrame, most: int) -> DataFrame:
 def robust_line(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
     """(slope, intercept) through the quartiles of the z-scores."""
     v = _finite(y)
-    q = quantile(v, [0.25, 0.75], approx)
+    q = row_quantiles(df, {"y": v}, {"q1": 0.25, "q3": 0.75}, approx)
     span = norm_ppf(0.75) - norm_ppf(0.25)
-    one = df.agg(q.alias("q"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
-    z1, z3 = [(F.col("q")[k] - F.col("m")) / F.col("s") for k in (0, 1)]
+    one = df.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).join(F.broadcast(q))  # one row
+    z1, z3 = [(F.col(k) - F.col("m")) / F.col("s") for k in ("y_q1", "y_q3")]
     return one.select(((z3 - z1) / span).alias("slope"), (z1 - (z3 - z1) / span * norm_ppf(0.25)).alias("intercept"))
 
 
@@ -198,8 +199,9 @@ def histogram_auto(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
     """(bin, low, high, count): as many equal bins as the finer of Sturges' and
     Freedman-Diaconis' rules asks for; the last bin is closed."""
     base = df.select(_finite(y).alias("_y")).filter("_y is not null")
-    one = base.agg(F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"), quantile("_y", [0.25, 0.75], approx).alias("q"))
-    one = one.select("n", "lo", "hi", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    one = base.agg(F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"))
+    quartiles = row_quantiles(base, {"y": F.col("_y")}, {"q1": 0.25, "q3": 0.75}, approx)
+    one = one.join(F.broadcast(quartiles)).select("n", "lo", "hi", (F.col("y_q3") - F.col("y_q1")).alias("iqr"))  # one row
     span = F.col("hi") - F.col("lo")
     sturges = span / (F.log2(F.col("n")) + 1)
     fd = 2 * F.col("iqr") / F.pow(F.col("n"), 1 / 3)
@@ -216,9 +218,11 @@ def histogram_auto(df: DataFrame, y: str, approx: bool = False) -> DataFrame:
 def histogram_discrete(df: DataFrame, y: str) -> DataFrame:
     """(value, low, high, count): edges half way between the values that occur."""
     counts = df.select(_finite(y).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("count"))
-    w = Window.partitionBy(F.lit(0)).orderBy("value")  # a row per distinct value
-    before, after = F.lag("value").over(w), F.lead("value").over(w)
-    v = F.col("value")
+    # neighbours meet by their index, so no task sorts all values
+    placed = global_index(counts, "value")
+    beside = [placed.select((F.col("index") + step).alias("index"), F.col("value").alias(name)) for step, name in ((1, "_before"), (-1, "_after"))]
+    counts = placed.join(beside[0], "index", "left").join(beside[1], "index", "left")
+    before, after, v = F.col("_before"), F.col("_after"), F.col("value")
     low = F.coalesce((before + v) / 2, v - (after - v) / 2, v - 0.5)
     high = F.coalesce((after + v) / 2, v + (v - before) / 2, v + 0.5)
     return counts.select("value", low.alias("low"), high.alias("high"), "count")

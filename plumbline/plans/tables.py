@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from ..functions.dist import norm_ppf_sql
 from ..functions.filters import FilterSpec, between, exclude_any, filter_all, members, slice_rows
 from ..operators import checks, clean, joins, profile
 from ..sources import tables
@@ -452,9 +453,18 @@ def qq_positions(spark, d):
     return rounded(rounded(out, "z"), "position", digits=8).select("rank", "n", "z", "position")
 
 
-@query()
+@query(f"""
+    WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem),
+    r AS (SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS rank, l_extendedprice FROM lineitem),
+    p AS (SELECT rank, n, (l_extendedprice - m) / s AS z, CASE WHEN rank = n THEN pow(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (rank - 0.3175) / (n + 0.365) END AS position FROM r, s),
+    t AS (SELECT rank, n, z, {norm_ppf_sql("position")} AS theoretical FROM p),
+    l AS (SELECT regr_slope(z, theoretical) AS slope, regr_intercept(z, theoretical) AS intercept FROM t)
+    SELECT rank, round(theoretical, 6) AS theoretical, round(z, 6) AS z, round(slope, 6) AS slope, abs(round(intercept, 6)) AS intercept
+    FROM t, l WHERE n <= 1000 OR floor(ceil((rank - 1) / ((n - 1) / 999.0)) * ((n - 1) / 999.0)) = rank - 1
+""")
 def qq_points(spark, d):
-    return profile.qq_points(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], 1000)
+    out = profile.qq_points(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], 1000)
+    return rounded(out, "theoretical", "z", "slope", "intercept").withColumn("intercept", F.abs("intercept"))  # no -0.0
 
 
 @query("""
