@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import build_derived
@@ -78,9 +79,23 @@ class FeaturePipeline:
         return df
 
     def save(self, folder: str) -> None:
-        """The mapping tables, as Parquet."""
-        for name, (table, _, fill) in self.tables.items():
-            table.withColumn("_fill", F.lit(fill)).write.mode("overwrite").parquet(f"{folder}/{name}")
+        """The mapping tables as Parquet, and the settings as one line of JSON."""
+        for name, (table, _, _) in self.tables.items():
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+            spark = table.sparkSession
+        if not self.tables:
+            raise ValueError("fit the pipeline before it is saved")
+        settings = {k: getattr(self, k) for k in ("target", "derived", "frequencies", "targets", "smoothing")}
+        settings["tables"] = {name: [columns, fill] for name, (_, columns, fill) in self.tables.items()}
+        spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> FeaturePipeline:
+        """A fitted pipeline as ``save`` wrote it."""
+        settings = json.loads(spark.read.text(f"{folder}/settings").first()[0])
+        tables = {name: (spark.read.parquet(f"{folder}/{name}"), columns, fill) for name, (columns, fill) in settings.pop("tables").items()}
+        derived = [(name, builder, tuple(inputs)) for name, builder, inputs in settings.pop("derived")]
+        return cls(derived=derived, tables=tables, **settings)
 
 
 def auto_features(inferred: DataFrame, target: str) -> DataFrame:

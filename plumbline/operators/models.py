@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import itertools
 import random
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import global_index, hash_index
-from ..functions.quantiles import row_quantiles
-from .regress import fit, predicted
+from ..functions.order import checkpoint, global_index, hash_index
+from ..functions.quantiles import group_quantiles, row_quantiles
+from .regress import fit, fit_sums, fold_sums, predicted
 
-MODELS = ("linear", "random_forest", "boosted_trees")
+MODELS = ("linear", "random_forest", "boosted_trees", "knn", "knn_classifier")
 
 
 def _estimator(model: str, y: str, params: dict):
@@ -22,11 +25,17 @@ def _estimator(model: str, y: str, params: dict):
     if model not in kinds:
         raise ValueError(f"unknown model: {model}")
     make, defaults = kinds[model]
+    unknown = set(params) - {p.name for p in make().params}
+    if unknown:
+        raise ValueError(f"unknown parameters of {model}: {', '.join(sorted(unknown))}")
     return make(featuresCol="features", labelCol=y, predictionCol="prediction", **(defaults | params))
 
 
 def train_model(df: DataFrame, features: list[str], y: str, model: str = "linear", params: dict | None = None):
-    """A fitted Spark ML pipeline."""
+    """A fitted model: ``transform`` adds prediction to rows whose features are complete."""
+    if model in ("knn", "knn_classifier"):
+        rows = df.dropna(subset=[*features, y]).select(*features, F.col(y).cast("double").alias(y))
+        return Neighbours(checkpoint(rows.withColumn("_t", -1 - F.monotonically_increasing_id())), features, y, vote=model == "knn_classifier", **_checked(model, params or {}))
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
@@ -34,6 +43,32 @@ def train_model(df: DataFrame, features: list[str], y: str, model: str = "linear
     return Pipeline(stages=steps).fit(df.withColumn(y, F.col(y).cast("double")))
 
 
+def _checked(model: str, params: dict) -> dict:
+    unknown = set(params) - {"k", "p", "weights"}
+    if unknown:
+        raise ValueError(f"unknown parameters of {model}: {', '.join(sorted(unknown))}")
+    return params
+
+
+@dataclass
+class Neighbours:
+    """Nearest neighbours on numeric features; labels of a vote are numbers too."""
+
+    train: DataFrame
+    features: list[str]
+    y: str
+    k: int = 5
+    p: int = 2
+    weights: str = "uniform"
+    vote: bool = False
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = checkpoint(df.dropna(subset=self.features).withColumn("_q", F.monotonically_increasing_id()))
+        vector = F.array(*[F.col(c).cast("double") for c in self.features]).alias("_v")
+        found = knn_predict(self.train.select("_t", vector, F.col(self.y).alias("_y")), rows.select("_q", vector), "_v", "_y", "_q", self.k, self.p, self.vote, "_t", weights=self.weights)
+        return rows.join(found, "_q").drop("_q")
+
+
 def holdout_table(model, df: DataFrame, y: str, keys: list[str]) -> DataFrame:
     """(keys, actual, predicted) of rows the model has not seen."""
     return model.transform(df).select(*keys, F.col(y).cast("double").alias("actual"), F.col("prediction").alias("predicted"))
@@ -45,15 +80,20 @@ def feature_importances(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
 
 
-def knn_predict(train: DataFrame, queries: DataFrame, vector: str, y: str, query_id: str, k: int = 5, p: int = 2, vote: bool = False, train_id: str | None = None, block: int = 4096) -> DataFrame:
+def knn_predict(train: DataFrame, queries: DataFrame, vector: str, y: str, query_id: str, k: int = 5, p: int = 2, vote: bool = False, train_id: str | None = None, block: int = 4096, weights: str = "uniform") -> DataFrame:
     """(query_id, prediction): the mean (or the commonest, then smallest) y of the k
     nearest training rows; a row is not its own neighbour where both tables share an id.
 
+    Weights "distance": neighbours count by one over their distance; where some are at
+    distance zero, those alone count.
+
     The queries are a stated set. They and the training rows are dealt into blocks, each
     pair of blocks is searched by numpy in one task, and the k best are merged.
     """
     import math
 
+    if weights not in ("uniform", "distance"):
+        raise ValueError("weights: uniform, distance")
     n_train, n_query = train.count(), queries.count()
     tb, qb = max(1, math.ceil(n_train / block)), max(1, math.ceil(n_query / block))
     own = train_id or query_id
@@ -79,6 +119,14 @@ def knn_predict(train: DataFrame, queries: DataFrame, vector: str, y: str, query
 
     found = t.groupBy("_tb", "_qb").cogroup(q.groupBy("_tb", "_qb")).applyInPandas(near, "_q long, _t long, _d double, _y double")
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.round("_d", 12), "_t"))).filter(F.col("_r") <= k)
+    if weights == "distance":
+        zero, near_by = F.col("_d") == 0, F.when(F.col("_d") > 0, 1 / F.col("_d"))
+        if vote:
+            tally = ranked.groupBy("_q", "_y").agg(F.count_if(zero).alias("_z"), F.sum(near_by).alias("_w"))
+            best = F.max_by("_y", F.struct("_z", F.when(F.col("_z") > 0, 0.0).otherwise(F.round("_w", 9)), -F.col("_y")))
+            return tally.groupBy(F.col("_q").alias(query_id)).agg(best.alias("prediction"))
+        mean = F.coalesce(F.avg(F.when(zero, F.col("_y"))), F.sum(near_by * F.col("_y")) / F.sum(near_by))
+        return ranked.groupBy(F.col("_q").alias(query_id)).agg(mean.alias("prediction"))
     value = F.mode("_y", True) if vote else F.avg("_y")
     return ranked.groupBy(F.col("_q").alias(query_id)).agg(value.alias("prediction"))
 
@@ -128,16 +176,45 @@ def residual_summary(df: DataFrame, actual: str, predicted_: str) -> DataFrame:
     return df.agg(F.avg(F.abs(e)).alias("mean_residual"), F.stddev_pop(e).alias("std_residual"), F.max(F.abs(e)).alias("max_residual"))
 
 
-def kfold_cv(df: DataFrame, x: str, y: str, keys: list[str], k: int = 5, seed: int = 0, digits: int = 4) -> DataFrame:
-    """(folds, mae, rmse): a line is fitted without each fold and measured on it; means of
-    the folds' rounded values. Folds are equal in size, by a random order of the keys."""
-    base = df.dropna(subset=[x, y]).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *keys)
-    dealt = hash_index(base, keys, seed, "_i").select("_x", "_y", (F.col("_i") % k).alias("fold"))
-    rest = dealt.withColumn("out", F.explode(F.array_except(F.array(*[F.lit(i).cast("long") for i in range(k)]), F.array("fold"))))
-    fits = rest.groupBy("out").agg(F.regr_slope("_y", "_x").alias("b"), F.regr_intercept("_y", "_x").alias("a"))
-    e = F.col("_y") - F.col("a") - F.col("b") * F.col("_x")
-    per = dealt.join(F.broadcast(fits), F.col("fold") == F.col("out")).groupBy("fold").agg(F.round(F.avg(F.abs(e)), digits).alias("mae"), F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"))
-    return per.agg(F.count("*").alias("folds"), F.round(F.avg("mae"), digits).alias("mae"), F.round(F.avg("rmse"), digits).alias("rmse"))
+def _dealt(df: DataFrame, features: list[str], y: str, keys: list[str], k: int, seed: int, fold: Column | None) -> DataFrame:
+    """Complete rows (features, y, _fold): dealt evenly by a random order of the keys, or
+    by the column ``fold``."""
+    base = df.dropna(subset=[*features, y])
+    if fold is not None:
+        return base.select(*features, y, fold.cast("int").alias("_fold"))
+    return hash_index(base.select(*dict.fromkeys([*features, y, *keys])), keys, seed, "_i").select(*features, y, (F.col("_i") % k).cast("int").alias("_fold"))
+
+
+def _without(sums: dict[int, tuple], fold: int | None) -> tuple:
+    """The sums of all folds but one."""
+    return tuple(reduce(lambda a, b: a + b, [v[i] for f, v in sums.items() if f != fold]) for i in range(3))
+
+
+def _by_fold(values: dict[int, Column]) -> Column:
+    return reduce(lambda c, kv: c.when(F.col("_fold") == kv[0], kv[1]), values.items(), F.when(F.lit(False), F.lit(None).cast("double")))
+
+
+def kfold_cv(df: DataFrame, features: list[str] | str, y: str, keys: list[str], k: int = 5, seed: int = 0, digits: int = 4, fold: Column | None = None) -> DataFrame:
+    """(folds, mae, rmse, r2, mape, max_error, median_ae, explained_var): a linear model is
+    fitted without each fold and measured on it; means of the folds' rounded values.
+
+    One pass gathers the sums of each fold; every fit is those of the other folds. Two
+    folds with rows are needed.
+    """
+    features = [features] if isinstance(features, str) else list(features)
+    rows = _dealt(df, features, y, keys, k, seed, fold)
+    rows = checkpoint(rows) if fold is None else rows
+    means, sums = fold_sums(rows, features, y)
+    if len(sums) < 2:
+        raise ValueError("two folds with rows are needed")
+    fits = {f: predicted(fit_sums(features, features, means, *_without(sums, f))) for f in sums}
+    a = F.col(y).cast("double")
+    scored = rows.select("_fold", a.alias("_a"), (a - _by_fold(fits)).alias("_e"))
+    a, e = F.col("_a"), F.col("_e")
+    per = scored.groupBy("_fold").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(a) * F.count("*"))).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
+    medians = group_quantiles(scored.select("_fold", F.abs(e).alias("_abs")), "_fold", "_abs", {"median_ae": 0.5}).select("_fold", "median_ae")
+    names = ("mae", "rmse", "r2", "mape", "max_error", "median_ae", "explained_var")
+    return per.join(medians, "_fold").agg(F.count("*").alias("folds"), *[F.round(F.avg(F.round(c, digits)), digits).alias(c) for c in names])
 
 
 def compare_models(candidate: DataFrame, champion: DataFrame) -> DataFrame:
@@ -155,55 +232,82 @@ def promotion(compared: DataFrame, threshold: float = 0.05, higher_is_better: tu
     return compared.select("metric", rate.alias("improvement"), (F.col("champion").isNull() | F.coalesce(rate > threshold, F.lit(False))).alias("promote"))
 
 
-def permutation_importance(df: DataFrame, features: list[str], y: str, keys: list[str], repeats: int = 3, seed: int = 0) -> DataFrame:
-    """(feature, mean_drop, std_drop): how much the mean absolute error of a linear model
-    rises when a column is shuffled. Shuffling joins two random orders of the rows."""
-    base = df.dropna(subset=[*features, y]).select(*keys, *features, y)
-    b = fit(base, features, y)
-    plain = base.agg(F.avg(F.abs(F.col(y) - predicted(b))).alias("_base"))
+def permutation_importance(df: DataFrame, features: list[str], y: str, keys: list[str], repeats: int = 3, seed: int = 0, model=None) -> DataFrame:
+    """(feature, mean_drop, std_drop): how much the mean absolute error of a fitted model
+    (none given: a linear one, fitted here) rises when a column is shuffled. Shuffling
+    joins two random orders of the rows."""
+    base = df.dropna(subset=[*features, y]).select(*dict.fromkeys([*keys, *features, y]))
+    score = _scorer(base, features, y, model)
+    error = F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("_e")
+    plain = score(base).agg(error.alias("_base"))
     place = hash_index(base, keys, seed, "_i")
     drops = None
     for r in range(repeats):
         other = hash_index(base, keys, seed + 1 + r, "_i").select("_i", *[F.col(c).alias(f"_s_{c}") for c in features])
-        met = place.join(other, "_i")
-        errors = [F.avg(F.abs(F.col(y) - predicted(b) - F.lit(b[c]) * (F.col(f"_s_{c}") - F.col(c)))).alias(c) for c in features]
-        one = met.agg(*errors).unpivot([], features, "feature", "_e").join(F.broadcast(plain)).select("feature", (F.col("_e") - F.col("_base")).alias("_drop"))
-        drops = one if drops is None else drops.unionByName(one)
+        met = checkpoint(place.join(other, "_i"))
+        for c in features:
+            one = score(met.withColumn(c, F.col(f"_s_{c}"))).agg(error).join(F.broadcast(plain)).select(F.lit(c).alias("feature"), (F.col("_e") - F.col("_base")).alias("_drop"))
+            drops = one if drops is None else drops.unionByName(one)
     return drops.groupBy("feature").agg(F.avg("_drop").alias("mean_drop"), F.stddev_pop("_drop").alias("std_drop"))
 
 
-def partial_dependence(df: DataFrame, features: list[str], y: str, feature: str, grid: int = 10) -> DataFrame:
-    """(point, value, average): the mean prediction of a linear model with the feature set
-    to each of a few values. Each row meets the grid in place, without a join."""
-    b = fit(df, features, y)
-    base = df.dropna(subset=[*features, y])
+def _scorer(base: DataFrame, features: list[str], y: str, model):
+    """A function that adds prediction: by the fitted model, or by a line fitted on base."""
+    if model is not None:
+        return model.transform
+    b = fit(base, features, y)
+    return lambda rows: rows.withColumn("prediction", predicted(b))
+
+
+def _curves(df: DataFrame, features: list[str], y: str, feature: str, grid: int, model, keys: list[str] = ()) -> DataFrame:
+    """(keys, point, value, prediction): each row meets the grid in place, without a join."""
+    base = df.dropna(subset=[*features, y]).select(*dict.fromkeys([*features, y]), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
     ends = base.agg(F.min(feature).cast("double").alias("_lo"), F.max(feature).cast("double").alias("_hi"))
     points = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.struct(i.alias("point"), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / F.lit(grid - 1)).alias("value")))
-    met = base.join(F.broadcast(ends)).withColumn("_p", F.explode(points))
-    prediction = predicted(b) + F.lit(b[feature]) * (F.col("_p.value") - F.col(feature))
-    return met.groupBy(F.col("_p.point").alias("point"), F.col("_p.value").alias("value")).agg(F.avg(prediction).alias("average"))
+    met = base.join(F.broadcast(ends)).withColumn("_p", F.explode(points)).withColumn(feature, F.col("_p.value"))  # one row of ends
+    scored = _scorer(base, features, y, model)(met)
+    return scored.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keys)], F.col("_p.point").alias("point"), F.col("_p.value").alias("value"), "prediction")
 
 
-def rfe_curve(df: DataFrame, features: list[str], y: str, keys: list[str], seed: int = 0, fraction: float = 0.3) -> DataFrame:
-    """(count, dropped, mae): the feature of the least standardised coefficient goes first;
-    errors on held-out rows. The loop is over features, each step a fit on Spark."""
+def partial_dependence(df: DataFrame, features: list[str], y: str, feature: str, grid: int = 10, model=None) -> DataFrame:
+    """(point, value, average): the mean prediction of a fitted model (none given: a linear
+    one, fitted here) with the feature set to each of a few values."""
+    return _curves(df, features, y, feature, grid, model).groupBy("point", "value").agg(F.avg("prediction").alias("average"))
+
+
+def ice_curves(df: DataFrame, features: list[str], y: str, feature: str, keys: list[str], grid: int = 10, model=None) -> DataFrame:
+    """(keys, point, value, prediction): what ``partial_dependence`` averages, row by row."""
+    return _curves(df, features, y, feature, grid, model, keys)
+
+
+def rfe_curve(df: DataFrame, features: list[str], y: str, keys: list[str], seed: int = 0, folds: int = 3, fold: Column | None = None) -> DataFrame:
+    """(count, dropped, mae): the feature of the least standardised coefficient (fitted on
+    all rows) goes first; the error is the mean of the folds', each fitted on the others.
+
+    The rows are read three times, however many features there are: for means, for the
+    sums of each fold, which give every fit, and for the errors of all steps at once.
+    """
     kinds = dict(df.dtypes)
     texts = [c for c in features if kinds[c] in ("string", "boolean")]
     if texts:
         raise ValueError(f"not numeric: {', '.join(texts)}")
-    from .sample import split_random
-
-    parts = split_random(df.dropna(subset=[*features, y]), fraction, keys, seed)
-    train, val = parts.filter("part = 'train'"), parts.filter("part = 'val'")
-    sd = train.agg(*[F.stddev_samp(c).alias(c) for c in features]).first()
-    left, rows = list(features), []
+    rows = _dealt(df, features, y, keys, folds, seed, fold)
+    rows = checkpoint(rows) if fold is None else rows
+    means, sums = fold_sums(rows, features, y)
+    if len(sums) < 2:
+        raise ValueError("two folds with rows are needed")
+    total = _without(sums, None)
+    spread = dict(zip(features, (total[2] - np.outer(total[1], total[1]) / total[0]).diagonal()))
+    left, steps = list(features), []
     while left:
-        b = fit(train, left, y)
-        mae = val.agg(F.avg(F.abs(F.col(y) - predicted(b)))).first()[0]
-        weakest = min(left, key=lambda c: (abs(b[c]) * (sd[c] or 0.0), c))
-        rows.append((len(left), weakest, float(mae)))
+        b = fit_sums(features, left, means, *total)
+        weakest = min(left, key=lambda c: (abs(b[c]) * max(0.0, spread[c]) ** 0.5, c))
+        fits = {f: predicted(fit_sums(features, left, means, *_without(sums, f))) for f in sums}
+        steps.append((len(left), weakest, F.avg(F.abs(F.col(y) - _by_fold(fits)))))
         left.remove(weakest)
-    return df.sparkSession.createDataFrame(rows, "count int, dropped string, mae double")
+    per = rows.groupBy("_fold").agg(*[e.alias(f"e{i}") for i, (_, _, e) in enumerate(steps)])
+    errors = per.agg(*[F.avg(f"e{i}") for i in range(len(steps))]).first()
+    return df.sparkSession.createDataFrame([(n, c, float(e)) for (n, c, _), e in zip(steps, errors)], "count int, dropped string, mae double")
 
 
 def trial_allocation(leaderboard: DataFrame, remaining: int, top: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
+from operator import mul
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -60,6 +62,68 @@ def ols(df: DataFrame, features: list[str], y: str) -> DataFrame:
     return terms.join(F.broadcast(r)).select("term", "coefficient", (1 - F.col("rss") / F.col("tss")).alias("r2"), "n")
 
 
+WIDEST = 60
+"""The most columns that the terms of a formula may give: sums grow with their square."""
+
+
+def design(df: DataFrame, terms: list[str], y: str) -> tuple[DataFrame, dict[str, str]]:
+    """(rows with a number column for each term and y, the terms' names by column).
+
+    A term is a numeric column, ``C(g)`` for a category (a 0/1 column for each level but
+    the least, named ``C(g)[level]``), or ``a:b`` for the products of terms. Rows with a
+    null in any column named are left out. More than WIDEST columns are an error.
+    """
+    category = lambda t: t.startswith("C(") and t.endswith(")")
+    single = list(dict.fromkeys(p for t in terms for p in t.split(":")))
+    named = {t: t[2:-1] if category(t) else t for t in single}
+    base = df.dropna(subset=[*named.values(), y])
+    columns: dict[str, list[tuple[str, Column]]] = {}
+    for t, c in named.items():
+        columns[t] = [(t, F.col(c).cast("double"))]
+        if category(t):
+            levels = [r[0] for r in base.select(c).distinct().orderBy(c).limit(WIDEST + 2).collect()]
+            columns[t] = [(f"{t}[{v}]", (F.col(c) == F.lit(v)).cast("double")) for v in levels[1:]]
+    made = [(":".join(n for n, _ in parts), reduce(mul, [v for _, v in parts])) for t in terms for parts in itertools.product(*[columns[p] for p in t.split(":")])]
+    if len(made) > WIDEST:
+        raise ValueError(f"terms give more than {WIDEST} columns")
+    return base.select(*[v.alias(f"_x{i}") for i, (_, v) in enumerate(made)], F.col(y).cast("double").alias("_y")), {f"_x{i}": n for i, (n, _) in enumerate(made)}
+
+
+def ols_formula(df: DataFrame, terms: list[str], y: str) -> DataFrame:
+    """(term, coefficient, r2, n) of a fit on the terms of ``design``."""
+    rows, names = design(df, terms, y)
+    name = F.create_map(*[F.lit(x) for kv in ({"intercept": "intercept"} | names).items() for x in kv])
+    return ols(rows, list(names), "_y").withColumn("term", name[F.col("term")])
+
+
+def fold_sums(df: DataFrame, features: list[str], y: str) -> tuple[np.ndarray, dict[int, tuple]]:
+    """(means of features and y, per ``_fold`` the count, sums and products of centred
+    columns): a row per fold reaches the driver."""
+    names = [*features, y]
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    if means[0] is None:
+        raise ValueError("no complete rows")
+    x = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(names, means)]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    rows = df.groupBy("_fold").agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect()
+    out = {}
+    for r in rows:
+        m = np.zeros((len(x), len(x)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"m{i}_{j}"]
+        out[r["_fold"]] = (r["n"], np.array([r[f"s{i}"] for i in range(len(x))]), m)
+    return np.array(means, dtype=float), out
+
+
+def fit_sums(names: list[str], keep: list[str], means: np.ndarray, n: int, s: np.ndarray, m: np.ndarray) -> dict[str, float]:
+    """Coefficients of the features ``keep`` out of ``names`` from sums of centred columns."""
+    at = [names.index(c) for c in keep]
+    c = m - np.outer(s, s) / n
+    b = np.linalg.lstsq(c[np.ix_(at, at)], c[at, -1], rcond=None)[0]
+    centre = means + s / n
+    return {"intercept": float(centre[-1] - b @ centre[at])} | dict(zip(keep, b.tolist()))
+
+
 def coef_table(df: DataFrame, features: list[str], y: str, level: float = 0.95) -> DataFrame:
     """(term, coefficient, hc3_se, low, high): the HC3 covariance in two passes, products
     of features first, then leverages and weighted products."""
@@ -146,15 +210,19 @@ def scenario_impact(coefficients: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def pooled_fits(df: DataFrame, group: str, x: str, y: str, groups: list[str], order: list[str]) -> DataFrame:
-    """(scope, n, slope, intercept, r2, skew, kurtosis, jarque_bera): refitted with one
-    more group at a time, and the shape of the residuals."""
+    """(scope, n, slope, intercept, r2, skew, kurtosis, durbin_watson, jarque_bera,
+    p_value): refitted with one more group at a time, and the residuals' shape and
+    dependence in the order given."""
     at = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col(group)).cast("int")
-    base = df.filter(F.col(group).isin(*groups)).dropna(subset=[x, y]).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.explode(F.sequence(at, F.lit(len(groups)))).alias("scope"))
+    base = df.filter(F.col(group).isin(*groups)).dropna(subset=[x, y]).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *order, F.explode(F.sequence(at, F.lit(len(groups)))).alias("scope"))
     fits = base.groupBy("scope").agg(F.count("*").alias("n"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), F.regr_r2("_y", "_x").alias("r2"))
-    e = F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x")
-    shape = base.join(F.broadcast(fits), "scope").groupBy("scope").agg(F.skewness(e).alias("skew"), F.kurtosis(e).alias("kurtosis"))
+    met = base.join(F.broadcast(fits), "scope")  # a row per group named
+    placed = global_index(met.select("scope", *order, (F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x")).alias("_e")), "scope", *order).select("scope", "index", "_e")
+    before = placed.select("scope", (F.col("index") + 1).alias("index"), F.col("_e").alias("_b"))
+    steps = F.sum(F.pow(F.col("_e") - F.col("_b"), F.lit(2)))
+    shape = placed.join(before, ["scope", "index"], "left").groupBy("scope").agg(F.skewness("_e").alias("skew"), F.kurtosis("_e").alias("kurtosis"), F.try_divide(steps, F.sum(F.col("_e") ** 2)).alias("durbin_watson"))
     jb = F.col("n") / 6 * (F.pow("skew", F.lit(2)) + F.pow("kurtosis", F.lit(2)) / 4)
-    return fits.join(shape, "scope").withColumn("jarque_bera", jb)
+    return fits.join(shape, "scope").withColumn("jarque_bera", jb).withColumn("p_value", F.exp(-F.col("jarque_bera") / 2))
 
 
 def residual_bins(df: DataFrame, features: list[str], y: str, bins: int = 20) -> DataFrame:

@@ -430,6 +430,18 @@ def ols(spark, d):
     return rounded(rounded(regress.ols(table(spark, d, "lineitem"), [_X], _Y), "coefficient", digits=3), "r2")
 
 
+@query(f"""
+    WITH g AS (SELECT l_returnflag AS g, count(*) AS n, regr_slope({_Y}, {_X}) AS b, regr_intercept({_Y}, {_X}) AS a, regr_syy({_Y}, {_X}) - pow(regr_sxy({_Y}, {_X}), 2) / regr_sxx({_Y}, {_X}) AS rss FROM lineitem GROUP BY 1),
+    z AS (SELECT a AS a0, b AS b0, g AS g0 FROM g ORDER BY g LIMIT 1), t AS (SELECT sum(n) AS n, 1 - sum(rss) / (SELECT var_pop({_Y}) * count(*) FROM lineitem) AS r2 FROM g),
+    c AS (SELECT 'intercept' AS term, a0 AS c FROM z UNION ALL SELECT 'l_quantity', b0 FROM z
+          UNION ALL SELECT 'C(l_returnflag)[' || g || ']', a - a0 FROM g, z WHERE g <> g0 UNION ALL SELECT 'l_quantity:C(l_returnflag)[' || g || ']', b - b0 FROM g, z WHERE g <> g0)
+    SELECT term, round(c, 3) AS coefficient, round(r2, 6) AS r2, CAST(n AS BIGINT) AS n FROM c, t
+""")
+def ols_formula(spark, d):
+    out = regress.ols_formula(table(spark, d, "lineitem"), [_X, "C(l_returnflag)", f"{_X}:C(l_returnflag)"], _Y)
+    return rounded(rounded(out, "coefficient", digits=3), "r2")
+
+
 _MOMENT = f"SELECT avg({_X}) AS mx, var_pop({_X}) * count(*) AS sxx, count(*) AS n FROM lineitem"
 _HC3 = f"""
     e AS (SELECT {_X} AS x, mx, sxx, ({_Y} - a - b * {_X}) / (1 - 1.0 / m.n - pow({_X} - mx, 2) / sxx) AS u FROM lineitem, ({_LINE}) l, ({_MOMENT}) m),
@@ -488,16 +500,18 @@ def scenario_impact(spark, d):
 
 @query("""
     WITH g AS (SELECT unnest(['R', 'A', 'N']) AS l_returnflag, unnest([1, 2, 3]) AS k), s AS (SELECT unnest([1, 2, 3]) AS scope),
-    r AS (SELECT scope, l_quantity AS x, l_extendedprice AS y FROM lineitem JOIN g USING (l_returnflag) JOIN s ON k <= scope),
+    r AS (SELECT scope, l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y FROM lineitem JOIN g USING (l_returnflag) JOIN s ON k <= scope),
     f AS (SELECT scope, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2 FROM r GROUP BY 1),
-    e AS (SELECT scope, y - a - b * x AS e FROM r JOIN f USING (scope)),
+    e AS (SELECT scope, l_orderkey, l_linenumber, x, y, y - a - b * x AS e FROM r JOIN f USING (scope)),
     m AS (SELECT scope, avg(e) AS m, stddev_pop(e) AS sd FROM e GROUP BY 1),
-    k AS (SELECT scope, avg(pow((e - m) / sd, 3)) AS skew, avg(pow((e - m) / sd, 4)) - 3 AS kurtosis FROM e JOIN m USING (scope) GROUP BY 1)
-    SELECT CAST(scope AS INTEGER) AS scope, n, round(b, 3) AS slope, round(a, 3) AS intercept, round(r2, 6) AS r2, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis FROM f JOIN k USING (scope)
+    k AS (SELECT scope, avg(pow((e - m) / sd, 3)) AS skew, avg(pow((e - m) / sd, 4)) - 3 AS kurtosis FROM e JOIN m USING (scope) GROUP BY 1),
+    w AS (SELECT scope, sum(pow(e - b, 2)) / sum(e * e) AS dw FROM (SELECT scope, e, lag(e) OVER (PARTITION BY scope ORDER BY l_orderkey, l_linenumber, y, x) AS b FROM e) GROUP BY 1)
+    SELECT CAST(scope AS INTEGER) AS scope, n, round(b, 3) AS slope, round(a, 3) AS intercept, round(r2, 6) AS r2, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis,
+           round(dw, 6) AS durbin_watson, round(exp(-n / 12 * (skew * skew + kurtosis * kurtosis / 4)), 6) AS p_value FROM f JOIN k USING (scope) JOIN w USING (scope)
 """)
 def pooled_fits(spark, d):
-    out = regress.pooled_fits(table(spark, d, "lineitem"), "l_returnflag", _X, _Y, ["R", "A", "N"], _KEYS).drop("jarque_bera")
-    return rounded(rounded(rounded(out, "slope", "intercept", digits=3), "r2"), "skew", "kurtosis", digits=4)
+    out = regress.pooled_fits(table(spark, d, "lineitem"), "l_returnflag", _X, _Y, ["R", "A", "N"], [*_KEYS, _Y, _X]).drop("jarque_bera")
+    return rounded(rounded(rounded(out, "slope", "intercept", digits=3), "r2", "durbin_watson", "p_value"), "skew", "kurtosis", digits=4)
 
 
 @query(f"""
@@ -546,9 +560,22 @@ def residual_summary(spark, d):
     return rounded(models.residual_summary(_scored(spark, d), "y", "p"), "mean_residual", "std_residual", "max_residual", digits=4)
 
 
-@query()
+_METRICS = ("mae", "rmse", "r2", "mape", "max_error", "median_ae", "explained_var")
+
+
+@query(f"""
+    WITH d AS (SELECT l_quantity AS x, l_discount AS z, l_extendedprice AS y, (l_orderkey * 7 + l_linenumber) % 5 AS fold FROM lineitem),
+    f AS (SELECT o AS fold, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy
+          FROM d JOIN (SELECT unnest(range(5)) AS o) ON fold <> o GROUP BY 1),
+    b AS (SELECT fold, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz, mx, mz, my FROM f),
+    e AS (SELECT fold, y, y - my - bx * (x - mx) - bz * (z - mz) AS e FROM d JOIN b USING (fold)),
+    p AS (SELECT fold, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - sum(e * e) / (var_pop(y) * count(*)), 4) AS r2, round(avg(abs(e) / abs(y)), 4) AS mape,
+                 round(max(abs(e)), 4) AS max_error, round(quantile_cont(abs(e), 0.5), 4) AS median_ae, round(1 - var_pop(e) / var_pop(y), 4) AS explained_var FROM e GROUP BY 1)
+    SELECT count(*) AS folds, {", ".join(f"round(avg({m}), 4) AS {m}" for m in _METRICS)} FROM p
+""")
 def kfold_cv(spark, d):
-    return models.kfold_cv(table(spark, d, "lineitem"), _X, _Y, _KEYS)
+    fold = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 5
+    return models.kfold_cv(table(spark, d, "lineitem"), [_X, "l_discount"], _Y, _KEYS, fold=fold)
 
 
 _COMPARED = f"SELECT unnest(['mae', 'rmse']) AS metric, unnest([avg(abs(y - p)), sqrt(avg(pow(y - p, 2)))]) AS candidate, unnest([avg(abs(y - 35000)), NULL]) AS champion FROM {_SCORED}"
@@ -591,6 +618,17 @@ def knn_predict(spark, d):
     return rounded(models.knn_predict(e, e.filter("vec_id % 100 = 0"), "embedding", "label", "vec_id", 5), "prediction")
 
 
+@query("""
+    WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+    p AS (SELECT q.vec_id, e.vec_id AS other, e.label, round(sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))), 12) AS d FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM p)
+    SELECT vec_id, round(coalesce(avg(label) FILTER (d = 0), sum(label / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0)), 6) AS prediction FROM r WHERE r <= 5 GROUP BY 1
+""")
+def knn_weighted(spark, d):
+    e = table(spark, d, "embeddings")
+    return rounded(models.knn_predict(e, e.filter("vec_id % 100 = 0"), "embedding", "label", "vec_id", 5, weights="distance"), "prediction")
+
+
 @query()
 def permutation_importance(spark, d):
     return models.permutation_importance(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], _Y, _KEYS, 2)
@@ -604,6 +642,14 @@ def partial_dependence(spark, d):
     return rounded(models.partial_dependence(table(spark, d, "lineitem"), [_X], _Y, _X, 5), "average", digits=3)
 
 
+@query("""
+    WITH l AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a, min(p_size) AS lo, max(p_size) AS hi FROM part), g AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS point)
+    SELECT p_partkey, point, CAST(lo + (hi - lo) * point / 4 AS DOUBLE) AS value, round(a + b * (lo + (hi - lo) * point / 4), 3) AS prediction FROM part, l, g
+""")
+def ice_curves(spark, d):
+    return rounded(models.ice_curves(table(spark, d, "part"), ["p_size"], "p_retailprice", "p_size", ["p_partkey"], 5), "prediction", digits=3)
+
+
 @query()
 def rfe_curve(spark, d):
     return models.rfe_curve(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], _Y, _KEYS)

@@ -475,3 +475,91 @@ def test_parse_failures_keeps_the_first(spark):
     df = spark.createDataFrame([(str(i), f"x{i % 50:02d}", "1") for i in range(500)], "n string, bad string, good string")
     got = {r["column"]: (r["failures"], r["examples"]) for r in parse_failures(df, {c: as_number(c, "double") for c in df.columns}).collect()}
     assert got == {"n": (0, []), "bad": (500, ["x00", "x01", "x02", "x03", "x04"]), "good": (0, [])}
+
+
+def test_norm_ppf_sql(spark):
+    from statistics import NormalDist
+
+    data = [(p,) for p in (1e-300, 1e-12, 0.001, 0.07, 0.08, 0.5, 0.9, 0.93, 1 - 1e-9)]
+    got = spark.createDataFrame(data, "p double").select("p", F.expr(dist.norm_ppf_sql("p")).alias("z")).collect()
+    assert all(math.isclose(r["z"], NormalDist().inv_cdf(r["p"]), rel_tol=1e-12, abs_tol=1e-12) for r in got)
+
+
+def _line_rows(spark, n=240):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 3))
+    y = 2 + x @ [1.5, -0.2, 0.01] + rng.normal(size=n) * 0.3
+    return x, y, spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))] + [(n, None, 1.0, 1.0, 1.0)], "i int, a double, b double, c double, y double")
+
+
+def test_kfold_and_rfe_against_numpy(spark):
+    x, y, df = _line_rows(spark)
+    fold = np.arange(len(y)) % 3
+
+    def errors(columns):
+        out = []
+        for f in range(3):
+            m = np.column_stack([np.ones(len(y)), x[:, columns]])
+            beta = np.linalg.lstsq(m[fold != f], y[fold != f], rcond=None)[0]
+            out.append(y[fold == f] - m[fold == f] @ beta)
+        return out
+
+    got = one(models.kfold_cv(df, ["a", "b", "c"], "y", ["i"], 3, fold=F.col("i") % 3, digits=9))
+    e = errors([0, 1, 2])
+    assert got["folds"] == 3
+    assert math.isclose(got["mae"], np.mean([np.abs(v).mean() for v in e]), abs_tol=1e-8)
+    assert math.isclose(got["rmse"], np.mean([np.sqrt((v * v).mean()) for v in e]), abs_tol=1e-8)
+    assert math.isclose(got["median_ae"], np.mean([np.median(np.abs(v)) for v in e]), abs_tol=1e-8)
+    assert math.isclose(got["r2"], np.mean([1 - (v * v).sum() / (len(v) * y[fold == f].var()) for f, v in enumerate(e)]), abs_tol=1e-8)
+    curve = {r["count"]: (r["dropped"], r["mae"]) for r in models.rfe_curve(df, ["a", "b", "c"], "y", ["i"], fold=F.col("i") % 3).collect()}
+    assert [curve[k][0] for k in (3, 2, 1)] == ["c", "b", "a"]
+    for k in (1, 2, 3):
+        assert math.isclose(curve[k][1], np.mean([np.abs(v).mean() for v in errors(list(range(k)))]), abs_tol=1e-8)
+    assert models.rfe_curve(df, ["a", "b"], "y", ["i"]).count() == 2
+    assert one(models.kfold_cv(df, "a", "y", ["i"]))["folds"] == 5
+    with pytest.raises(ValueError):
+        models.kfold_cv(df.filter("i < 0"), ["a"], "y", ["i"])
+
+
+def test_formula_terms(spark):
+    df = spark.createDataFrame([("u", 1.0, 3.0), ("u", 2.0, 5.0), ("v", 1.0, 10.0), ("v", 3.0, 10.0), ("w", 0.0, 0.0), ("w", 2.0, -2.0), (None, 9.0, 9.0)], "g string, x double, y double")
+    got = {r["term"]: round(r["coefficient"], 9) for r in regress.ols_formula(df, ["x", "C(g)", "x:C(g)"], "y").collect()}
+    assert got == {"intercept": 1.0, "x": 2.0, "C(g)[v]": 9.0, "C(g)[w]": -1.0, "x:C(g)[v]": -2.0, "x:C(g)[w]": -3.0}
+    with pytest.raises(ValueError):
+        regress.ols_formula(spark.range(100).selectExpr("cast(id as string) g", "id y"), ["C(g)"], "y")
+
+
+def test_neighbours_as_models(spark):
+    train = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0), (4.0, 2.0), (10.0, 5.0), (None, 7.0)], "x double, y double")
+    rows = spark.createDataFrame([(1, 0.0), (2, 3.0), (3, None)], "i int, x double")
+    predict = lambda m, **p: {r["i"]: r["prediction"] for r in models.train_model(train, ["x"], "y", m, p).transform(rows).collect()}
+    assert predict("knn", k=2) == {1: 1.5, 2: 2.0}
+    assert predict("knn", k=2, weights="distance") == {1: 1.0, 2: 2.0}
+    assert predict("knn_classifier", k=3) == {1: 2.0, 2: 2.0}
+    assert predict("knn_classifier", k=3, weights="distance") == {1: 1.0, 2: 2.0}
+    for model in ("knn", "linear"):
+        with pytest.raises(ValueError):
+            models.train_model(train, ["x"], "y", model, {"depth": 2})
+
+
+def test_explain_any_model(spark):
+    x, y, df = _line_rows(spark, 60)
+    fitted = models.train_model(df.dropna(), ["a", "b", "c"], "y")
+    for model in (None, fitted):
+        drop = {r["feature"]: r["mean_drop"] for r in models.permutation_importance(df, ["a", "b", "c"], "y", ["i"], 2, model=model).collect()}
+        assert drop["a"] > drop["b"] > drop["c"] - 1e-3
+        curves = models.ice_curves(df, ["a", "b", "c"], "y", "a", ["i"], 3, model=model)
+        mean = {r["point"]: r["average"] for r in models.partial_dependence(df, ["a", "b", "c"], "y", "a", 3, model=model).collect()}
+        own = {r["point"]: r["m"] for r in curves.groupBy("point").agg(F.avg("prediction").alias("m")).collect()}
+        assert curves.count() == 180 and all(math.isclose(mean[p], own[p], rel_tol=1e-9) for p in (0, 1, 2))
+
+
+def test_pipeline_saved_and_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 2.0)], "g string, y double")
+    p = encode.FeaturePipeline("y", [("log_y", "log1p", ("y",))], ["g"], ["g"]).fit(rows)
+    p.save(str(tmp_path / "p"))
+    again = encode.FeaturePipeline.load(spark, str(tmp_path / "p"))
+    new = spark.createDataFrame([("a", 2.0), ("z", 2.0), (None, 2.0)], "g string, y double")
+    assert sorted(map(str, again.transform(new).collect())) == sorted(map(str, p.transform(new).collect()))
+    with pytest.raises(ValueError):
+        encode.FeaturePipeline("y").save(str(tmp_path / "q"))
