@@ -30,7 +30,7 @@ def split_stratified(df: DataFrame, fraction: float, label: str, keys: list[str]
     wanted = -(-round(total * fraction * 1e9) // 10**9)
     plan = quotas(df.groupBy(label).agg(F.count("*").alias("n")), wanted, label).select(F.col(label).alias("_l"), "quota")
     ranked = per_group(df, label, keys, seed, "_r")
-    return ranked.join(F.broadcast(plan), ranked[label].eqNullSafe(F.col("_l"))).withColumn("part", F.when(F.col("_r") <= F.col("quota"), "val").otherwise("train")).drop("_r", "_l", "quota")
+    return ranked.join(plan, ranked[label].eqNullSafe(F.col("_l"))).withColumn("part", F.when(F.col("_r") <= F.col("quota"), "val").otherwise("train")).drop("_r", "_l", "quota")
 
 
 def split(df: DataFrame, fraction: float, keys: list[str], method: str = "random", seed: int = 0, time: str | None = None, label: str | None = None) -> DataFrame:
@@ -92,4 +92,4 @@ def assign_stratified(df: DataFrame, stratum: str, n: int, keys: list[str], seed
         raise ValueError(f"cannot assign {n} of {total} rows")
     plan = assignment_quotas(df, stratum, n).select(F.col(stratum).alias("_s"), "quota")
     ranked = per_group(df, stratum, keys, seed, "_r")
-    return ranked.join(F.broadcast(plan), ranked[stratum].eqNullSafe(F.col("_s"))).withColumn("treated", (F.col("_r") <= F.col("quota")).cast("int")).drop("_r", "_s", "quota")
+    return ranked.join(plan, ranked[stratum].eqNullSafe(F.col("_s"))).withColumn("treated", (F.col("_r") <= F.col("quota")).cast("int")).drop("_r", "_s", "quota")
