@@ -111,11 +111,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "w
         import zstandard
 
         total, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
+        held: list[bytes] = []
+        size = 0
+
+        def add():
+            found = np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(total))
+            found[: len(total)] += total
+            held.clear()
+            return found
+
         for b in batches:
             for x in b.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(unpack(x), "<u4"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+                held.append(unpack(x))
+                size += len(held[-1])
+                if size >= 4 * block_ids:
+                    total, size = add(), 0
+        total = add()
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = ".,!?"
+_SIGNS = re.compile(r"[!-/:-@\[-`{-~]*")
 _cached: dict[tuple[str, str], CachedEncoder] = {}
 
 
@@ -127,7 +128,8 @@ class CachedEncoder:
         bound, raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :], texts.buffers()[2]
         raw = raw.slice(bound[0], bound[len(texts)] - bound[0]).to_pybytes() if raw else b""
         for content, loose in self.added:
-            if loose or content.encode() in raw:
+            # signs have no case: a text without those in front cannot hold the token
+            if (_SIGNS.match(content)[0] if loose else content).encode() in raw:
                 special |= pc.match_substring(texts, content, ignore_case=loose).to_numpy(zero_copy_only=False)
         # token t of word w stands at the word's place in flat plus t
         ids = flat[np.arange(begin[-1]) + np.repeat((np.cumsum(sizes) - sizes)[place] - begin[:-1], n)]
