@@ -95,41 +95,82 @@ def _open(ends: Column, e: Column) -> Column:
     return (middle > 0) & (middle < e["end"]) & (F.element_at(ends, F.greatest(middle, F.lit(1))) == e["end"])
 
 
+BITS = 60
+"""Characters of the words whose symbols are kept as bits of a long; longer ones take arrays."""
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)
+
+
+def _merged_bits(edges: Column) -> Column:
+    """Places where the symbols of a word of at most BITS characters begin, and its end,
+    after one pass over the edges by score. A bit stands for each such place."""
+    n = F.length("word")
+    many = F.transform(
+        F.filter(edges, lambda e: e["end"] - e["start"] > 1),
+        lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), _bit(e["start"]).bitwiseOR(_bit(e["end"])).alias("outer"), (_bit(e["end"] + 1) - _bit(e["start"])).alias("all")),
+    )
+
+    def join(at, e):
+        # two symbols: both outer places are set, and one between them
+        two = (at.bitwiseAND(e["outer"]) == e["outer"]) & (F.bit_count(at.bitwiseAND(e["all"])) == 3)
+        return F.when(two, at.bitwiseAND(F.bitwise_not(e["all"])).bitwiseOR(e["outer"])).otherwise(at)
+
+    def places(at):
+        return F.filter(F.sequence(F.lit(1), n + 1), lambda i: at.bitwiseAND(_bit(i)) != 0)
+
+    return F.aggregate(F.sort_array(many), _bit(n + 2) - 1, join, places)
+
+
 def _merge_cuts(edges: DataFrame) -> DataFrame:
     """``edges`` with cuts: the model's own merges."""
-    first = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: i + 1)
-    many = F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), e["end"].alias("end")))
-    one_pass = F.aggregate(F.array_sort(many), first, lambda ends, e: F.when(_open(ends, e), _merged(ends, e)).otherwise(ends))
+    n = F.length("word")
+    first = F.transform(F.sequence(F.lit(1), n), lambda i: i + 1)
+    many = F.sort_array(F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
+
+    def places(ends):
+        starts = F.filter(F.transform(ends, lambda e, i: F.when(e > 0, i + 1).otherwise(0)), lambda i: i > 0)
+        return F.concat(starts, F.array(n + 1))
+
+    one_pass = F.aggregate(many, first, lambda ends, e: F.when(_open(ends, e), _merged(ends, e)).otherwise(ends), places)
 
-    def step(ends, _):
-        best = F.array_min(F.filter(many, lambda e: _open(ends, e)))
-        return F.when(best.isNull(), ends).otherwise(F.transform(F.array(best), lambda e: _merged(ends, e))[0])
+    def anew(edges):
+        def step(ends, _):
+            best = F.array_min(F.filter(edges, lambda e: _open(ends, e)))
+            return F.when(best.isNull(), ends).otherwise(F.transform(F.array(best), lambda e: _merged(ends, e))[0])
 
-    anew = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step)
-    edges = edges.withColumn("ends", F.when(F.forall("edges", lambda e: e["ordered"]), one_pass).otherwise(anew))
-    cuts = F.filter(F.transform("ends", lambda e, i: F.struct((i + 1).alias("start"), e.alias("end"))), lambda c: c["end"] > 0)
-    return edges.withColumn("cuts", cuts).drop("ends")
+        return F.aggregate(F.sequence(F.lit(1), n), first, step, places)
+
+    ordered = F.forall("edges", lambda e: e["ordered"])
+    found = F.when(ordered & (n <= BITS), _merged_bits(F.col("edges"))).when(ordered, one_pass).otherwise(F.transform(F.array(many), anew)[0])
+    pairs = F.transform(F.array(found), lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
+    return edges.withColumn("cuts", pairs[0])
 
 
 def _best_cuts(edges: DataFrame) -> DataFrame:
     """``edges`` with cuts: those of least cost. Ties go to the longest last piece."""
     n = F.length("word")
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
 
     def extend(best, e):
-        # best[p]: cost of the characters before place p, and the start of the last piece
-        new = F.struct((F.element_at(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"))
-        other = F.when(new < F.element_at(best, -1), F.concat(F.slice(best, 1, F.size(best) - 1), F.array(new))).otherwise(best)
-        return F.when(F.size(best) < e["end"], F.concat(best, F.array(new))).otherwise(other)
+        # best[p]: cost of the characters before place p, and the start of the last piece.
+        # Edges of one end come longest first, so an equal cost changes nothing
+        cost = F.element_at(best, e["start"])["cost"] + e["cost"]
+        new = F.array(F.struct(cost.alias("cost"), e["start"].alias("start")))
+        better = cost < F.element_at(best, -1)["cost"]
+        return F.when(F.size(best) < e["end"], F.concat(best, new)).when(better, F.concat(F.slice(best, 1, F.size(best) - 1), new)).otherwise(best)
 
-    edges = edges.withColumn("best", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start"))), extend))
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    def cuts_of(best):
+        def back(cuts, _):
+            at = F.when(F.size(cuts) > 0, F.get(cuts, F.lit(0))["start"]).otherwise(n + 1)
+            cut = F.struct(F.element_at(best, at)["start"].alias("start"), at.alias("end"))
+            return F.when(at < 2, cuts).otherwise(F.concat(F.array(cut), cuts))
 
-    def back(s, _):
-        step = F.transform(F.array(F.element_at("best", s["at"])["start"]), lambda x: F.struct(x.alias("at"), F.concat(F.array(F.struct(x.alias("start"), s["at"].alias("end"))), s["cuts"]).alias("cuts")))
-        return F.when(s["at"] < 2, s).otherwise(step[0])
+        return F.aggregate(F.sequence(F.lit(1), n), none, back)
 
-    found = F.aggregate(F.sequence(F.lit(1), n), F.struct((n + 1).alias("at"), none.alias("cuts")), back)
-    return edges.withColumn("cuts", found["cuts"]).drop("best")
+    # the way back is the fold's last step: as a column of its own it would fold anew for each cut
+    return edges.withColumn("cuts", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start"))), extend, cuts_of))
 
 
 OBJECTIVES = {"viterbi": _best_cuts, "merges": _merge_cuts}
@@ -153,13 +194,16 @@ def encode_words(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...
             return F.array(F.lit(unknown))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.lit(base) + F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int"))
 
-    def ids_of(c):
-        found = F.try_element_at("known", c["start"] * 65536 + (c["end"] - c["start"]))
-        return F.when(found.isNotNull(), F.array(found)).otherwise(bytes_of(c))
+    def ids_of(known):
+        def of(c):
+            found = F.try_element_at(known, c["start"] * 65536 + (c["end"] - c["start"]))
+            return F.when(found.isNotNull(), F.array(found)).otherwise(bytes_of(c))
+
+        return F.flatten(F.transform("cuts", of))
 
     names = ["ids", *objectives[1:]]
     for name, objective in zip(names, objectives):
-        folded = OBJECTIVES[objective](folded).withColumn(name, F.flatten(F.transform("cuts", ids_of))).drop("cuts")
+        folded = OBJECTIVES[objective](folded).withColumn(name, F.transform(F.array("known"), ids_of)[0]).drop("cuts")
     return folded.select("word", *names)
 
 
