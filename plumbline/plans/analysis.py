@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions.filters import FilterSpec
+from ..functions.order import new_path
 from ..operators import compare, encode, graph, groups, models, profile, regress, sample
+from ..sources import tables
 from .tables import ORACLES, QUERIES, query, rounded, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -229,6 +231,29 @@ def split_time(spark, d):
     return sample.split_time(table(spark, d, "events").select("event_id", "ts"), 0.3, "ts", ["event_id"]).select("event_id", "part")
 
 
+_PARTS = " UNION ALL ".join(f"SELECT '{m}' AS method, unnest(['val', 'train']) AS part, unnest([v, n - v]) AS n FROM (SELECT count(*) AS n, CAST({v} AS BIGINT) AS v FROM events)" for m, v in (("random", "ceil(count(*) * 0.3)"), ("time", "count(*) - floor(count(*) * 0.7)"), ("stratified", "ceil(count(*) * 0.3)")))
+
+
+@query(_PARTS)
+def split_methods(spark, d):
+    """Sizes of the parts by each way of splitting."""
+    e = table(spark, d, "events").select("event_id", "ts", "event_type")
+    found = [sample.split(e, 0.3, ["event_id"], m, 5, "ts", "event_type").groupBy("part").agg(F.count("*").alias("n")).select(F.lit(m).alias("method"), "part", "n") for m in ("random", "time", "stratified")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("SELECT event_id, value, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floor(count(*) OVER () * 0.7) THEN 'train' ELSE 'val' END AS part FROM events")
+def written_splits(spark, d):
+    """Training and validation rows, written as Parquet and read back."""
+    parts = sample.split(table(spark, d, "events").select("event_id", "ts", "value"), 0.3, ["event_id"], "time", time="ts")
+    folder, back = new_path(spark, "splits"), []
+    for part in ("train", "val"):
+        path = f"{folder}/{part}.parquet"
+        tables.write_table(parts.filter(F.col("part") == part).select("event_id", "value"), path)
+        back.append(spark.read.parquet(path).withColumn("part", F.lit(part)))
+    return back[0].unionByName(back[1])
+
+
 _QUOTA = """
     WITH g AS (SELECT {c}, count(*) AS n FROM {t} GROUP BY 1), w AS (SELECT *, {total} AS total, n * {total} / sum(n) OVER () AS share FROM g),
     f AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, {c}) AS r, total - sum(floor(share)) OVER () AS rest FROM w)
@@ -401,7 +426,15 @@ def adjust_pvalues(spark, d):
     return both[0].unionByName(both[1])
 
 
-@query()
+# five kinds of event: the F distribution's tail for four degrees of freedom is a closed form
+@query(f"""
+    WITH md AS (SELECT event_type, quantile_cont(value, 0.5) AS md FROM events GROUP BY 1),
+    g AS (SELECT event_type AS g, count(*) AS n, avg(abs(value - md)) AS m, var_samp(abs(value - md)) AS v FROM events JOIN md USING (event_type) GROUP BY 1), {_F},
+    c AS (SELECT count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type)
+    SELECT 'sizes' AS flag, max(n) / min(n) > 1.5 OR count(*) < 3 AS raised FROM c
+    UNION ALL SELECT 'shape', bool_or(abs(skew) > 2 OR abs(kurtosis) > 7 OR exp(-n / 12 * (skew * skew + kurtosis * kurtosis / 4)) < 0.05) FROM ({_SHAPE.format(g='event_type', y='value', t='events')})
+    UNION ALL SELECT 'spread', pow(x, df2 / 2) * (1 + df2 / 2 * (1 - x)) < 0.05 FROM (SELECT df2, df2 / (df2 + df1 * f) AS x FROM f)
+""")
 def assumption_flags(spark, d):
     return compare.assumption_flags(table(spark, d, "events"), "event_type", "value", ["click", "view", "purchase"])
 

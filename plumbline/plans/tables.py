@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions.dist import norm_ppf_sql
 from ..functions.filters import FilterSpec, between, exclude_any, filter_all, members, slice_rows
+from ..functions.order import new_path
 from ..operators import checks, clean, joins, profile
 from ..sources import tables
 
@@ -51,6 +53,28 @@ def read_lookup(spark, d):
     return tables.as_lookup(raw, {"n_nationkey": "int", "n_regionkey": "int"}, ["FRANCE", "NATION_3", ""])
 
 
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, c_acctbal FROM customer")
+def lookup_csv(spark, d):
+    """A lookup written as CSV and read with its declared missing tokens."""
+    path = new_path(spark, "lookup")
+    table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").write.csv(path, header=True)
+    return tables.read_lookup(spark, path, {"c_custkey": "bigint", "c_acctbal": "double"}, ["BUILDING", ""])
+
+
+@query("SELECT o_orderkey, o_totalprice, true AS immutable FROM orders WHERE o_totalprice > 1000")
+def versioned_sample(spark, d):
+    """A version that is written once; writing it again is refused."""
+    folder = new_path(spark, "versions")
+    rows = table(spark, d, "orders").filter("o_totalprice > 1000").select("o_orderkey", "o_totalprice")
+    path = tables.write_version(rows, folder, "orders", 1)
+    try:
+        tables.write_version(rows, folder, "orders", 1)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).withColumn("immutable", F.lit(refused))
+
+
 @query("SELECT least(500, count(*)) AS n, least(500, count(*)) AS distinct_keys FROM orders")
 def read_sample(spark, d):
     out = tables.read_sample(table(spark, d, "orders"), 500, 7, ["o_orderkey", "o_totalprice"], ["o_orderkey"])
@@ -176,17 +200,33 @@ def simple_clean(spark, d):
     return clean.simple_clean(_dirty(spark, d), "target")
 
 
-@query(f"""
+_AUDIT = f"""
     SELECT (SELECT count(*) FROM ({_DIRTY})) AS rows_in, (SELECT count(*) FROM ({_CANONICAL})) AS rows_out,
            (SELECT count(*) FROM ({_DIRTY})) - (SELECT count(*) FROM ({_CANONICAL})) AS dropped,
            (SELECT count(*) FROM ({_DIRTY})) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_DIRTY}))) AS duplicates,
            (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_DIRTY})) WHERE target IS NULL) AS null_target, 0 AS unexplained
-""")
+"""
+
+
+@query(_AUDIT)
 def transform_audit(spark, d):
     dirty = _dirty(spark, d)
     return clean.transform_audit(dirty, "target", clean.canonicalize(dirty, "target", {"seen": ()}, {"amount": "bigint"}))
 
 
+@query(_AUDIT)
+def guarded_transform(spark, d):
+    """The audit of a cleaning that may not lose a row without a reason."""
+    return clean.guard_drops(transform_audit(spark, d), 0.0)
+
+
+@query("SELECT least(400, count(*)) AS n, least(400, count(*)) AS distinct_keys FROM documents")
+def capped_rows(spark, d):
+    """The rows of a trial run."""
+    out = clean.cap_rows(table(spark, d, "documents").select("doc_id", "lang"), 400, ["doc_id"])
+    return out.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct_keys"))
+
+
 @query(f"SELECT 'lang' AS \"column\", list_sort(list(DISTINCT lang) FILTER (lang IN ('', 'NA'))) AS tokens FROM ({_DIRTY}) UNION ALL SELECT 'amount', [] UNION ALL SELECT 'seen', []")
 def observed_tokens(spark, d):
     return clean.observed_tokens(_dirty(spark, d))
