@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,10 +78,11 @@ def _power(kind: str, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that close inputs give unrelated outputs."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -94,26 +96,39 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, equal for equal words wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * _power("r", n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("i", n)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word, equal for equal words wherever they stand.
+
+    Blocks of eight bytes are mixed in one after the other, for all words at once, so that
+    no sums of letters cancel; words of more than 64 bytes are hashed by XXH3.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _R)
+    block = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    at = np.flatnonzero(size <= 64)
+    for k in range(0, 64, 8):
+        at = at[size[at] > k] if k else at
+        if not len(at):
+            break
+        out[at] = mix((out[at] ^ block[starts[at] + k] & _LOW[np.minimum(size[at] - k, 8)]) * _R)
+    for at in np.flatnonzero(size > 64).tolist():
+        out[at] = xxhash.xxh3_64_intdigest(data[starts[at] : ends[at]], 42)
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k word hashes (fewer words: of the whole sequence)."""
+    """A hash of each run of k word hashes (fewer words: of the whole sequence). What came
+    before is mixed ahead of each further word, so that no sums of words cancel."""
     if not len(words):
         return np.zeros(0, np.uint64)
     k = min(k, len(words))
-    out = np.zeros(len(words) - k + 1, dtype=np.uint64)
-    for j in range(k):
-        out *= _R
-        out += words[j : len(words) - k + 1 + j]
-    return mix(out + np.uint64(k))
+    out = words[: len(words) - k + 1] + np.uint64(k)
+    for j in range(1, k):
+        out = mix(out) * _R + words[j : len(words) - k + 1 + j]
+    return mix(out)
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hilbert, maxscore, minhash, packing, piece_lattice, simhash, substring, token_store, toxicity, warc
+from . import common, filter_audit, hilbert, maxscore, minhash, packing, periodic, piece_lattice, simhash, substring, superminhash, token_store, toxicity, warc
 
 HELD_OUT = 1
 """Documents whose crc32 of the id leaves this remainder by 3 are never learnt from."""
@@ -85,6 +86,49 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents at a similarity of 0.85 of their 5-word shingles."""
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 5, Fraction(85, 100))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in every order, by language."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"), "toxic")
+    counted = filter_audit.masks(_table(spark, sf_dir, "documents"), filter_audit.text_failures(), "E", "lang", labels)
+    return filter_audit.audit(counted, list("ABCDE"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), in one of ten with the words from some place on replaced by
+    repeats of the first of them, as the contract of op13 draws them from the doc_id (a
+    null one: never)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", filter_audit.SPACE), lambda w: w != "")
+    a = F.pmod(F.col("g"), F.size("words"))
+    p = 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.pmod(F.col("g"), F.lit(8))))
+
+    def source(i: Column) -> Column:
+        return F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+
+    drawn = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    drawn = drawn.withColumn("a", F.when(F.size("words") > 0, a)).withColumn("p", p)
+    spread = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", source(i).cast("int")))
+    return drawn.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(spread, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more of all documents, and what is left without their repeats."""
+    found = periodic.find_runs(planted(_table(spark, sf_dir, "documents").select("doc_id", "text")), 12)
+    order = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    best = F.get(order, F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    longest = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = -F.col("b.l"), F.col("b.p")
+    return longest.select("doc_id", "n_runs", F.col("b.s").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the repository's top."""
     import corpus_pipeline
@@ -103,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_lattice": op8_piece_lattice,
     "op9_warc": op9_warc,
     "op10_substring": op10_substring,
+    "op11_superminhash": op11_superminhash,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
@@ -145,4 +192,59 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
     """,
+    "op11_superminhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+        both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reached AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT r.x, l.y FROM reached r JOIN both_ways l ON r.y = l.x),
+        components AS (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN components c ON d.doc_id = c.doc_id
+    """,
+    "op12_filter_audit": """
+        WITH t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        first AS (SELECT text, min(doc_id) AS lowest FROM t GROUP BY text),
+        flags AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        failed AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   concat(CASE WHEN len(words) < 100 THEN 'A' ELSE '' END,
+                          CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END,
+                          CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]+', '', 'g')) > 10 * length(t.text) THEN 'C' ELSE '' END,
+                          CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                          CASE WHEN t.doc_id > lowest THEN 'E' ELSE '' END) AS f
+            FROM t JOIN first ON t.text = first.text LEFT JOIN flags ON t.doc_id = flags.doc_id),
+        counted AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+        letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (
+            SELECT concat(a.l, b.l, c.l, d.l, e.l) AS o FROM letter a, letter b, letter c, letter d, letter e
+            WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        steps AS (SELECT o, step, o[step] AS l FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+        removals AS (
+            SELECT part, f, n, good, toxic, o, min(step) AS gone_at FROM counted JOIN steps ON contains(f, l) GROUP BY ALL),
+        sums AS (SELECT part, o, gone_at, sum(n) AS removed, sum(good) AS good_lost, sum(toxic) AS toxic_lost FROM removals GROUP BY ALL),
+        totals AS (SELECT part, sum(n) AS total FROM counted GROUP BY part),
+        alone AS (SELECT part, l, sum(n) AS failing, sum(CASE WHEN f = l THEN n ELSE 0 END) AS only_one FROM counted JOIN letter ON contains(f, l) GROUP BY ALL),
+        exact AS (
+            SELECT s.part, s.o AS filter_order, s.step, s.l, total, coalesce(removed, 0) AS removed, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+                   coalesce(failing, 0) AS failing, coalesce(only_one, 0) AS only_one
+            FROM (SELECT * FROM totals CROSS JOIN steps) s LEFT JOIN sums x ON s.part = x.part AND s.o = x.o AND s.step = x.gone_at LEFT JOIN alone y ON s.part = y.part AND s.l = y.l)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+               CAST(total - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step) AS BIGINT) AS kept,
+               CAST(removed AS BIGINT) AS removed, CAST(failing - removed AS BIGINT) AS redundant, CAST(only_one AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+        FROM exact
+    """,
 }
