@@ -95,10 +95,11 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: int, weight
     return out
 
 
-def pack(items: DataFrame, tokens: int = 1024, documents: int = 256, cost: int | None = None, weights=WEIGHTS, rule: str = "norm", group_rows: int = 20_000, waste: float = 1 / 64) -> DataFrame:
+def pack(items: DataFrame, tokens: int = 1024, documents: int | None = None, cost: int | None = None, weights=WEIGHTS, rule: str = "norm", group_rows: int = 20_000, waste: float = 1 / 64) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...). A sequence holds at
-    most ``tokens``, ``documents`` pieces and a ``cost`` (default: that of one full piece,
-    so that every piece fits somewhere; no set of pieces that fits by tokens exceeds it).
+    most ``tokens``, ``documents`` pieces (default: as many as tokens) and a ``cost`` (default:
+    that of one full piece, so that every piece fits somewhere). No set of pieces that fits
+    by tokens exceeds these defaults: they take part in the score and cost no sequence.
 
     Pieces are dealt at random into groups of about ``group_rows``, each packed in one
     task, longest first. The sequences of the first round that stay emptier than
@@ -106,6 +107,7 @@ def pack(items: DataFrame, tokens: int = 1024, documents: int = 256, cost: int |
     take a sequence of their own. Rows with a null length or one over ``tokens`` are an
     error of the caller's and raise; repeated rows are packed as often as they come.
     """
+    documents = tokens if documents is None else documents
     cost = tokens * tokens if cost is None else cost
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
     items = common.checkpoint(items.select(*columns, F.monotonically_increasing_id().alias("_row")))
