@@ -18,11 +18,15 @@ from . import common
 
 
 class Shard:
-    """Postings of one shard of vectors, sorted by id, in blocks."""
+    """Postings of one shard of vectors, sorted by id, in blocks. With ``exact`` all sums are
+    Python's whole numbers, for products beyond 64 bits."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int = 4096):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int = 4096, exact: bool = False):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order].T.astype(np.int32))
+        self.largest = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
+        self.kind = object if exact else np.int64
+        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order].T.astype(object if exact else np.int32 if self.largest < 1 << 31 else np.int64))
+        self.wide = None
         first = min(512, block)  # a small block first, so that the threshold rises early
         cuts = [0, *range(first, len(ids), block), len(ids)] if len(ids) > first else [0, len(ids)]
         self.blocks = []
@@ -34,10 +38,15 @@ class Shard:
             self.blocks.append((a, part, (plus, minus), impact, part.max(1, initial=0), part.min(1, initial=0)))
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, score descending, then id; without ``own``."""
+        """(ids, scores) of the k best, score descending, then id; without ``own``.
+        Scores beyond 64 bits count as the nearest number of 64 bits."""
+        if self.kind is not object and self.largest * sum(map(abs, query.tolist())) >= 1 << 62:
+            if self.wide is None:
+                self.wide = Shard(self.ids, self.vectors.T, exact=True)
+            return self.wide.search(query, own, k)
         best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         used = np.flatnonzero(query)
-        q = query.astype(np.int64)
+        q = query.astype(self.kind)
         for at, part, postings, impacts, top, low in self.blocks:
             n = part.shape[1]
             bound = np.maximum(q[used] * top[used], q[used] * low[used])
@@ -49,7 +58,7 @@ class Shard:
             essential = len(order) if floor is None else int(np.argmax(rest < floor)) if (rest < floor).any() else len(order)
             if floor is not None and floor <= 0:
                 essential = len(order)
-            score = np.zeros(n, dtype=np.int64)
+            score = np.zeros(n, dtype=self.kind)
             if essential == len(order) and (floor is None or floor <= 0):
                 score = q[order] @ part[order]
                 alive = np.arange(n)
@@ -75,20 +84,30 @@ class Shard:
                     alive = alive[score[alive] + rest[j] >= floor]
             ids = self.ids[at + alive]
             keep = ids != own
-            best_id, best = np.concatenate([best_id, ids[keep]]), np.concatenate([best, score[alive][keep]])
-            pick = np.lexsort((best_id, -best))[:k]
+            found = score[alive][keep]
+            if self.kind is object:
+                found = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in found], dtype=np.int64)
+            best_id, best = np.concatenate([best_id, ids[keep]]), np.concatenate([best, found])
+            pick = np.lexsort((best_id, ~best))[:k]  # ~x descends as -x does, and has no overflow
             best_id, best = best_id[pick], best[pick]
         return best_id, best
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v array<int>): floor(scale * x) of each component, as doubles.
+    """(vec_id, v array<long>): floor(scale * x) of each component, as doubles; beyond 64
+    bits the nearest number of 64 bits.
 
     Rows with a null id, a null vector or a null or non-finite component are left out.
     """
     x = F.col("embedding").cast("array<double>")
+    most = F.lit((1 << 63) - 1)
+
+    def whole(c):
+        y = c * scale
+        return F.when(y >= 2.0**63, most).when(y < -(2.0**63), -most - 1).otherwise(F.floor(y))
+
     good = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.filter(good).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"))
+    return vectors.filter(good).select(F.col("vec_id").cast("long"), F.transform(x, whole).alias("v"))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
@@ -110,7 +129,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: in
         def run(key, g):
             vs = g.column("v").to_pylist()
             wide = max(map(len, vs), default=0)
-            m = np.zeros((len(vs), wide), dtype="<i4")
+            m = np.zeros((len(vs), wide), dtype="<i8")
             for i, v in enumerate(vs):
                 m[i, : len(v)] = v
             return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([g.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], [name, "ids", "m"])
@@ -130,10 +149,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: in
             for key, ids, m, q_ids, q_m in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "m", "q_ids", "q_m"))):
                 if last[0] != key:
                     a = np.frombuffer(ids, "<i8")
-                    last = (key, Shard(a, np.frombuffer(m, "<i4").reshape(len(a), -1)))
+                    last = (key, Shard(a, np.frombuffer(m, "<i8").reshape(len(a), -1)))
                 shard = last[1]
                 a = np.frombuffer(q_ids, "<i8")
-                q = np.frombuffer(q_m, "<i4").reshape(len(a), -1)
+                q = np.frombuffer(q_m, "<i8").reshape(len(a), -1)
                 wide = shard.vectors.shape[0]
                 q = q[:, :wide] if q.shape[1] >= wide else np.pad(q, ((0, 0), (0, wide - q.shape[1])))
                 rows = [(qid, *shard.search(v, qid, k)) for qid, v in zip(a.tolist(), q)]
