@@ -49,7 +49,7 @@ class CachedEncoder:
     def _learn(self, chunks: set[str]) -> None:
         new = [x for x in chunks if x not in self.known and len(x) <= self.longest]
         # both tokenizers part letters from a mark behind them
-        marked = [x for x in new if x[-1:] in _MARKS and x[:-1].isalpha()]
+        marked = [x for x in new if x[-1:] in _MARKS and self._letters(x[:-1])]
         if marked:
             bases = {x: self._base(x[:-1]) for x in marked}
             self._add([x for x in {*bases.values()} if x not in self.known])
@@ -60,13 +60,19 @@ class CachedEncoder:
         self._add([x for x in {*new, *lower.values()} if x not in self.known and x not in lower])
         self.known.update((x, self.known[base]) for x, base in lower.items())
 
+    def _letters(self, word: str) -> bool:
+        """Whether a word is letters only, also as the tokenizer normalises it: a letter that
+        becomes a letter and a mark is parted from what follows in other places."""
+        rule = self.tokenizer.normalizer
+        return word.isalpha() and (rule is None or word.isascii() or rule.normalize_str(word).isalpha())
+
     def _base(self, word: str) -> str:
         """What has the same ids, where the tokenizer ignores case."""
         low = word.lower() if self.kind == "word" and word.isascii() else word
         return word if low != word and any(content in low for content, _ in self.added) else low
 
     def _add(self, new: list[str]) -> None:
-        letters = [x for x in new if x.isalpha()]
+        letters = [x for x in new if self._letters(x)]
         if letters:
             # words of letters stand apart in one text: an end (or a blank in front) shows where
             ids = np.array(self.tokenizer.encode(" " + " ".join(letters), add_special_tokens=False).ids, dtype="<u4")
@@ -75,7 +81,8 @@ class CachedEncoder:
                 cuts = [0, *(edge + 1).tolist()] if self.kind == "word" else [*edge.tolist(), len(ids)]
                 raw = ids.tobytes()
                 self.known.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(letters, cuts, cuts[1:]))
-                new = [x for x in new if not x.isalpha()]
+                parted = set(letters)
+                new = [x for x in new if x not in parted]
         if self.kind == "word":
             self.known.update(zip(new, self._ids(new)))
             return
