@@ -176,17 +176,56 @@ def _best_cuts(edges: DataFrame) -> DataFrame:
 OBJECTIVES = {"viterbi": _best_cuts, "merges": _merge_cuts}
 
 
+def cut_long(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(key, k, part): the distinct ``words`` (word) of more than BITS characters, cut between
+    all neighbouring characters that stand together in no piece. No edge of the lattice
+    crosses such a place, so a word's ids are those of its parts, one after another.
+
+    Rows of characters carry the word's digest as their key, not the word.
+    """
+    pair = F.zip_with(F.slice("chars", 1, F.size("chars") - 1), F.slice("chars", 2, F.size("chars") - 1), lambda a, b: F.concat(a, b))
+
+    def chars(c):
+        return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+
+    joined = pieces.filter("kind = 'normal' and length(piece) > 1").select(chars(F.col("piece")).alias("chars")).select(F.explode(pair).alias("pair")).distinct()
+    long = words.filter(F.length("word") > BITS).select(word_key(F.col("word")).alias("key"), chars(F.col("word")).alias("chars"))
+    places = long.select("key", F.posexplode(pair).alias("pos", "pair")).join(F.broadcast(joined), "pair", "left_anti")  # bounded by the vocabulary
+    cuts = places.groupBy("key").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("cuts"))
+    met = long.join(cuts, "key", "left").withColumn("cuts", F.coalesce("cuts", F.expr("cast(array() as array<int>)")))
+    first, end = F.concat(F.array(F.lit(0)), F.col("cuts")), F.concat(F.col("cuts"), F.array(F.size("chars")))
+    parts = F.zip_with(first, end, lambda a, b: F.array_join(F.slice("chars", a + 1, b - a), ""))
+    return met.select("key", F.posexplode(parts).alias("k", "part"))
+
+
+def word_key(word: Column) -> Column:
+    return F.unhex(F.sha2(word.cast("binary"), 256))
+
+
 def encode_words(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("viterbi",)) -> DataFrame:
     """(word, ids) of distinct ``words``, by the first objective; those of further ones
     are columns of their names. Characters in no piece give their UTF-8 bytes' pieces, or
-    the unknown one where the model has none."""
+    the unknown one where the model has none. Long words are encoded by their parts
+    (``cut_long``)."""
+    short = words.filter(F.length("word") <= BITS)
+    parts = common.stored(cut_long(words, pieces), "parts")
+    coded = common.stored(_encode_parts(short.unionByName(parts.select(F.col("part").alias("word"))).distinct(), pieces, objectives), "parts-coded")
+    names = [c for c in coded.columns if c != "word"]
+    whole = parts.join(coded, F.col("part") == F.col("word")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", *names))).alias("parts"))
+    whole = whole.select("key", *[F.flatten(F.transform("parts", lambda p: p[c])).alias(c) for c in names])  # noqa: B023
+    long = words.filter(F.length("word") > BITS).withColumn("key", word_key(F.col("word"))).join(whole, "key")
+    return coded.join(short, "word", "left_semi").unionByName(long.select("word", *names))
+
+
+def _encode_parts(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
+    """``encode_words`` without cuts."""
     if not objectives or set(objectives) - set(OBJECTIVES):
         raise ValueError("objectives: viterbi, merges")
     special = pieces.filter("kind in ('byte', 'unknown')").select("piece", "id", "kind").collect()  # 257 rows at most
     base = next((r["id"] for r in special if r["piece"] == "<0x00>" and r["kind"] == "byte"), None)
     unknown = next((r["id"] for r in special if r["kind"] == "unknown"), 0)
     met = F.filter("edges", lambda e: e["id"] >= 0)
-    folded = lattice(words, pieces).withColumn("known", F.map_from_arrays(F.transform(met, lambda e: e["start"] * 65536 + (e["end"] - e["start"])), F.transform(met, lambda e: e["id"])))
+    folded = lattice(words, pieces).withColumn("known", F.map_from_arrays(F.transform(met, lambda e: e["start"].cast("long") * 65536 + (e["end"] - e["start"])), F.transform(met, lambda e: e["id"])))
 
     def bytes_of(c):
         code = F.hex(F.encode(F.substring(F.col("word"), c["start"], c["end"] - c["start"]), "UTF-8"))
@@ -196,7 +235,7 @@ def encode_words(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...
 
     def ids_of(known):
         def of(c):
-            found = F.try_element_at(known, c["start"] * 65536 + (c["end"] - c["start"]))
+            found = F.try_element_at(known, c["start"].cast("long") * 65536 + (c["end"] - c["start"]))
             return F.when(found.isNotNull(), F.array(found)).otherwise(bytes_of(c))
 
         return F.flatten(F.transform("cuts", of))
