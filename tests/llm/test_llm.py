@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import math
 import re
 import zlib
 from fractions import Fraction
@@ -58,6 +59,7 @@ def crc(ids):
 def test_cached_encoder(name, kind):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     texts = [r[1] or "" for r in rows()] + ["", " a", "a ", "a  b", "x\n y", " z w", "a\x1c b", "<|endoftext|> x", "end <|endoftext|> here", "<|EndOfText|>", "a<|startoftext|>b  c <|endoftext|><|endoftext|>", "It's we'll. THE the, The!", "x" * 5000, "é ́x", "İstanbul, ﬁn."]
+    texts += ["ANKARA BAŞKENTİ. BAŞKENTİ, İ! İ ǰ. ŉ? ΐ. İİ.x", "ΰ. ẖ, ŀ! ẚ? Ⅸ. ª! ﷺ, ㎏."] + [f"{chr(c)}. a{chr(c)}, {chr(c)}b! {chr(c)}" for c in range(0xC0, 0x2000, 3)]
     for most in (10, 10**6):
         got = tokens.CachedEncoder(public_tokenizers.path(name), kind, most).encode(texts * 2, block=500)
         assert got == [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(texts * 2, add_special_tokens=False)]
@@ -110,6 +112,23 @@ def test_top_k(spark, k):
     assert maxscore.top_k(df.limit(0), df.limit(0), k).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    sizes = [1.0, 1e3, 3e7, 1e12, 1e17, 3e38]
+    vectors = [(i, (rng.normal(0, 1, 4) * rng.choice(sizes, 4)).tolist()) for i in range(200)] + [(300, [3e38] * 4), (320, [-3e38] * 4), (340, [0.0] * 4)]
+    df = maxscore.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    low, high = -(1 << 63), (1 << 63) - 1
+    v = {i: [min(max(math.floor(64 * x), low), high) for x in e] for i, e in vectors}
+    assert {r.vec_id: list(r.v) for r in df.collect()} == v
+    want = []
+    for q in v:
+        if q % 20 == 0:
+            best = sorted((-min(max(sum(x * y for x, y in zip(v[q], v[c])), low), high), c) for c in v if c != q)[:9]
+            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    got = maxscore.top_k(df, df.filter("vec_id % 20 = 0"), 9, shard_rows=64, query_rows=5).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # ---- 3 ----
 
 
@@ -168,13 +187,15 @@ def test_packing(spark, docs, nothing):
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     for group_rows in (10, 20_000):
         used = check_packing(packing.pack(cut, group_rows=group_rows).collect(), [r[:2] for r in rows()])
+    empty = packing.pieces(spark.range(1024).selectExpr("id as doc_id", "cast(null as string) as text"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert check_packing(packing.pack(empty).collect(), [(i, None) for i in range(1024)]) == 1
     for limits in ({"documents": 3}, {"cost": 400_000}):
         few = packing.pack(cut.filter("length < 600"), **limits).collect()
         by = collections.defaultdict(list)
         for r in few:
             by[r.sequence_id].append(r.length)
         assert len(few) == cut.filter("length < 600").count()
-        assert all(sum(v) <= 1024 and len(v) <= limits.get("documents", 256) and sum(x * x for x in v) <= limits.get("cost", 1024**2) for v in by.values())
+        assert all(sum(v) <= 1024 and len(v) <= limits.get("documents", 1024) and sum(x * x for x in v) <= limits.get("cost", 1024**2) for v in by.values())
         assert max(map(len, by.values())) == 3 or "cost" in limits
     total = sum(r.length for r in cut.collect())
     assert used <= -(-total // 1024) + 1
@@ -488,6 +509,8 @@ def test_pieces(spark, docs, nothing):
     m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     table = piece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model")).cache()
     data = [(i, r[1]) for i, r in enumerate(rows(15))] + [(500 + n, " " * n + "x" + " " * (n + 3)) for n in range(1, 18)] + [(600, "😀 ▁x <s> <0x0A>"), (600, "twice"), (None, "no id"), (None, None), (700, "nospace" * 60)]
+    rng = np.random.default_rng(5)
+    data += [(800 + i, "".join(rng.choice(list(letters), size))) for i, (letters, size) in enumerate([("的一是不了人我在有他这", 40_000), ("abc日語テキスト😀", 3000), ("aeinst", 400), ("的", 300)])]
     data += [(1000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
     small = spark.createDataFrame(data, "doc_id long, text string").withColumn("words", F.lit("clash"))
     coded = piece_lattice.encode(small, table, ("viterbi", "merges")).cache()
