@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import new_path
+from .joins import lookup_join
+
 # Tokens that stand for a missing value.
 MISSING_TOKENS = ("", "NA", "N/A", "null", "None", "nan")
 
@@ -72,18 +75,66 @@ def simple_clean(df: DataFrame, target: str) -> DataFrame:
 def transform_audit(df: DataFrame, target: str, cleaned: DataFrame, tokens=MISSING_TOKENS) -> DataFrame:
     """One row: rows_in, rows_out, dropped, duplicates, null_target, unexplained.
 
-    Two aggregates of one row each meet; the data are not joined.
+    The table is read once, as counts of its distinct rows, and ``cleaned`` once.
     """
-    before = df.agg(F.count("*").alias("rows_in"))
-    kinds = dedup_rows(df).agg(F.count("*").alias("distinct_rows"))
-    lost = standardize_missing(dedup_rows(df), tokens).agg(F.count_if(F.col(target).isNull()).alias("null_target"))
-    after = cleaned.agg(F.count("*").alias("rows_out"))
-    one = before.join(kinds).join(lost).join(after)
+    kept = standardize_missing(_counted(df), tokens).agg(*_sums(target))
+    one = kept.join(cleaned.agg(F.count("*").alias("rows_out")))  # one row each
     duplicates = F.col("rows_in") - F.col("distinct_rows")
     dropped = F.col("rows_in") - F.col("rows_out")
     return one.select("rows_in", "rows_out", dropped.alias("dropped"), duplicates.alias("duplicates"), "null_target", F.greatest(F.lit(0), dropped - duplicates - F.col("null_target")).alias("unexplained"))
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The distinct rows, with _rows: how often each comes."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("_rows"))
+
+
+def _sums(target: str) -> list[Column]:
+    return [F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_in"), F.count("*").alias("distinct_rows"), F.count_if(F.col(target).isNull()).alias("null_target")]
+
+
+def audited_canonicalize(df: DataFrame, target: str, datetimes: dict[str, tuple[str, ...]] | None = None, numbers: dict[str, str] | None = None, tokens=MISSING_TOKENS, lookup: DataFrame | None = None, keys: tuple[str, str] | None = None, drop: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, audit): a lookup joined by its keys (of the table, of the lookup), then what
+    ``canonicalize`` does, then columns dropped; and one row of rows_before_join,
+    duplicate_keys (keys that the lookup holds more than once), rows_in, rows_out, dropped,
+    duplicates, null_target, unexplained, columns_added and columns_dropped (sorted).
+
+    One job reads the table and writes its distinct rows with their counts; the cleaned
+    rows and all counts come from what it wrote. Counts are data, not observed metrics,
+    which would count a stage twice that runs again after an executor is lost. Of the rows
+    that one row meets in the lookup one is marked, so the marks count the rows before the
+    join. Without a lookup rows_before_join is rows_in and duplicate_keys 0. An empty table
+    gives zeros. Names with a leading underscore are reserved.
+    """
+    given, spark = df.columns, df.sparkSession
+    missing = set(drop) - {*df.columns, *(lookup.columns if lookup is not None else ())}
+    if missing or (lookup is None) != (keys is None):
+        raise ValueError(f"unknown columns: {', '.join(sorted(missing))}" if missing else "a lookup and its keys come together")
+    repeated = spark.range(1).select(F.lit(0).cast("long").alias("duplicate_keys"))
+    if lookup is not None:
+        within = Window.partitionBy(keys[1]).orderBy(F.xxhash64(*lookup.columns))
+        df = lookup_join(df, lookup.withColumn("_first", F.row_number().over(within) == 1), *keys)
+        held = lookup.filter(F.col(keys[1]).isNotNull()).groupBy(keys[1]).agg(F.count("*").alias("_m"))
+        repeated = held.agg(F.count_if(F.col("_m") > 1).alias("duplicate_keys"))
+    first = F.coalesce(F.col("_first"), F.lit(True)) if lookup is not None else F.lit(True)
+    names = [c for c in df.columns if c != "_first"]
+    counted = df.groupBy(*names).agg(F.count("*").alias("_rows"), F.count_if(first).alias("_before"))
+    parsed = {c: as_datetime(c, f) for c, f in (datetimes or {}).items()} | {c: as_number(c, k) for c, k in (numbers or {}).items()}
+    clean = standardize_missing(counted, tokens)
+    path = new_path(spark, "audited")
+    (clean.withColumns(parsed) if parsed else clean).write.parquet(path)
+    kept = spark.read.parquet(path)
+    cleaned = drop_null_target(kept, target).drop("_rows", "_before", *drop)
+    one = kept.agg(F.coalesce(F.sum("_before"), F.lit(0)).alias("rows_before_join"), *_sums(target)).join(repeated)  # one row each
+    out = F.col("distinct_rows") - F.col("null_target")
+    names_of = lambda x: F.array(*map(F.lit, sorted(x))).cast("array<string>")
+    audit = one.select(
+        "rows_before_join", "duplicate_keys", "rows_in", out.alias("rows_out"), (F.col("rows_in") - out).alias("dropped"), (F.col("rows_in") - F.col("distinct_rows")).alias("duplicates"), "null_target",
+        F.lit(0).alias("unexplained"), names_of(set(cleaned.columns) - set(given)).alias("columns_added"), names_of(set(given) - set(cleaned.columns)).alias("columns_dropped"),
+    )
+    return cleaned, audit
+
+
 def guard_drops(audit: DataFrame, most: float) -> DataFrame:
     """The audit; raises if the unexplained share of the rows is above ``most``."""
     row = audit.first()

@@ -214,6 +214,42 @@ def transform_audit(spark, d):
     return clean.transform_audit(dirty, "target", clean.canonicalize(dirty, "target", {"seen": ()}, {"amount": "bigint"}))
 
 
+_FANNED = """
+    WITH m AS (
+        SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS target FROM orders
+        UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END FROM orders WHERE o_orderkey % 7 = 0),
+    l AS (SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'NA' FROM customer WHERE c_custkey % 10 = 0),
+    j AS (SELECT * FROM m LEFT JOIN l ON o_custkey = c_custkey),
+    u AS (SELECT DISTINCT * FROM j)
+"""
+
+
+def _fanned(spark, d):
+    """Orders, some twice, met by customers of whom some have two rows."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("target"))
+    orders = orders.withColumn("_n", F.explode(F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_n")
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    twice = customers.filter("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("NA"))
+    return clean.audited_canonicalize(orders, "target", lookup=customers.unionByName(twice), keys=("o_custkey", "c_custkey"), drop=("o_custkey", "c_custkey"))
+
+
+@query(_FANNED + """
+    SELECT (SELECT count(*) FROM m) AS rows_before_join, (SELECT count(*) FROM (SELECT c_custkey FROM l GROUP BY 1 HAVING count(*) > 1)) AS duplicate_keys,
+           (SELECT count(*) FROM j) AS rows_in, (SELECT count(*) FROM u WHERE target IS NOT NULL) AS rows_out,
+           (SELECT count(*) FROM j) - (SELECT count(*) FROM u WHERE target IS NOT NULL) AS dropped, (SELECT count(*) FROM j) - (SELECT count(*) FROM u) AS duplicates,
+           (SELECT count(*) FROM u WHERE target IS NULL) AS null_target, 0 AS unexplained, ['c_mktsegment'] AS columns_added, ['o_custkey'] AS columns_dropped
+""")
+def audited_join(spark, d):
+    """The audit of a join that multiplies rows, and of the cleaning after it."""
+    return _fanned(spark, d)[1]
+
+
+@query(_FANNED + "SELECT o_orderkey, target, CASE WHEN c_mktsegment <> 'NA' THEN c_mktsegment END AS c_mktsegment FROM u WHERE target IS NOT NULL")
+def audited_rows(spark, d):
+    """The rows that this cleaning leaves."""
+    return _fanned(spark, d)[0]
+
+
 @query(_AUDIT)
 def guarded_transform(spark, d):
     """The audit of a cleaning that may not lose a row without a reason."""

@@ -563,3 +563,27 @@ def test_pipeline_saved_and_loaded(spark, tmp_path):
     assert sorted(map(str, again.transform(new).collect())) == sorted(map(str, p.transform(new).collect()))
     with pytest.raises(ValueError):
         encode.FeaturePipeline("y").save(str(tmp_path / "q"))
+
+
+def test_audited_canonicalize_reads_the_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(1, "a", "5"), (1, "a", "5"), (2, "b", "x"), (3, None, "7"), (4, "NA", "8"), (4, "NA", "8")]
+    df = spark.createDataFrame(rows, "k long, s string, t string").mapInArrow(seen, "k long, s string, t string")
+    lookup = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "key string, v int")
+    cleaned, audit = clean.audited_canonicalize(df, "t", numbers={"t": "bigint"}, lookup=lookup, keys=("s", "key"), drop=("key", "k"))
+    assert audit.collect() == audit.collect() and read.value == len(rows)
+    one = audit.first().asDict()
+    # "a" meets three rows, twice: six rows, two of them distinct; "x" is no number
+    assert one == {"rows_before_join": 6, "duplicate_keys": 1, "rows_in": 10, "rows_out": 4, "dropped": 6, "duplicates": 5, "null_target": 1, "unexplained": 0, "columns_added": ["v"], "columns_dropped": ["k"]}
+    assert sorted(map(tuple, cleaned.collect()), key=repr) == sorted([("a", 5, 1), ("a", 5, 2), (None, 7, None), (None, 8, None)], key=repr)
+    none = clean.audited_canonicalize(df.limit(0), "t")[1].first()
+    assert (none.rows_before_join, none.rows_in, none.rows_out, none.duplicate_keys, none.columns_added) == (0, 0, 0, 0, [])
+    for wrong in ({"drop": ("z",)}, {"lookup": lookup}):
+        with pytest.raises(ValueError):
+            clean.audited_canonicalize(df, "t", **wrong)
