@@ -6,8 +6,10 @@ import itertools
 import random
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,32 +17,100 @@ from ..functions.order import checkpoint, global_index, hash_index
 from ..functions.quantiles import group_quantiles, row_quantiles
 from .regress import fit, fit_sums, fold_sums, predicted
 
-MODELS = ("linear", "random_forest", "boosted_trees", "knn", "knn_classifier")
+REGRESSORS = ("linear", "random_forest", "boosted_trees", "knn")
+CLASSIFIERS = ("logistic", "random_forest_classifier", "boosted_trees_classifier", "knn_classifier")
+MODELS = REGRESSORS + CLASSIFIERS
+MOST_LABELS = 100
+"""Labels are part of a fitted classifier, so more than these are an error."""
 
 
 def _estimator(model: str, y: str, params: dict):
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    kinds = {"linear": (LinearRegression, {"solver": "normal"}), "random_forest": (RandomForestRegressor, {"numTrees": 20, "seed": 0}), "boosted_trees": (GBTRegressor, {"maxIter": 10, "seed": 0})}
+    forest, boosted = {"numTrees": 20, "seed": 0}, {"maxIter": 10, "seed": 0}
+    kinds = {
+        "linear": (LinearRegression, {"solver": "normal"}),
+        "random_forest": (RandomForestRegressor, forest),
+        "boosted_trees": (GBTRegressor, boosted),
+        "logistic": (LogisticRegression, {}),
+        "random_forest_classifier": (RandomForestClassifier, forest),
+        "boosted_trees_classifier": (GBTClassifier, boosted),
+    }
     if model not in kinds:
         raise ValueError(f"unknown model: {model}")
     make, defaults = kinds[model]
     unknown = set(params) - {p.name for p in make().params}
     if unknown:
         raise ValueError(f"unknown parameters of {model}: {', '.join(sorted(unknown))}")
+    if model in CLASSIFIERS:
+        return make(featuresCol="features", labelCol=y, predictionCol="_index", **(defaults | params)).setProbabilityCol("_chance").setRawPredictionCol("_raw")
     return make(featuresCol="features", labelCol=y, predictionCol="prediction", **(defaults | params))
 
 
 def train_model(df: DataFrame, features: list[str], y: str, model: str = "linear", params: dict | None = None):
-    """A fitted model: ``transform`` adds prediction to rows whose features are complete."""
+    """A fitted model: ``transform`` adds prediction to rows whose features are complete.
+
+    Regressors (and ``knn_classifier``, given numbers) predict numbers. Classifiers take
+    labels of any type and predict them as text; all but the neighbours' vote add
+    probability, an array in the order of the fitted ``labels``. Rows without a label do
+    not count.
+    """
+    params, numeric = params or {}, dict(df.dtypes)[y] not in ("string", "boolean")
+    if model in CLASSIFIERS and not (model == "knn_classifier" and numeric):
+        return _train_classifier(df.filter(F.col(y).isNotNull()), features, y, model, params)
     if model in ("knn", "knn_classifier"):
         rows = df.dropna(subset=[*features, y]).select(*features, F.col(y).cast("double").alias(y))
-        return Neighbours(checkpoint(rows.withColumn("_t", -1 - F.monotonically_increasing_id())), features, y, vote=model == "knn_classifier", **_checked(model, params or {}))
+        return Neighbours(checkpoint(rows.withColumn("_t", -1 - F.monotonically_increasing_id())), features, y, vote=model == "knn_classifier", **_checked(model, params))
+    return _fit_pipeline(df.withColumn(y, F.col(y).cast("double")), features, y, model, params)
+
+
+def _fit_pipeline(df: DataFrame, features: list[str], y: str, model: str, params: dict):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
-    steps = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), _estimator(model, y, params or {})]
-    return Pipeline(stages=steps).fit(df.withColumn(y, F.col(y).cast("double")))
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), _estimator(model, y, params)]).fit(df)
+
+
+def _train_classifier(df: DataFrame, features: list[str], y: str, model: str, params: dict) -> Classified:
+    label = F.col(y).cast("string")
+    found = df.select(label.alias("label")).distinct().orderBy("label").limit(MOST_LABELS + 1).collect()
+    labels = [r["label"] for r in found]
+    most = 2 if model == "boosted_trees_classifier" else MOST_LABELS
+    if not 2 <= len(labels) <= most:
+        raise ValueError(f"{model} takes 2 to {most} labels")
+    numbered = df.select(*features, (F.array_position(F.array(*map(F.lit, labels)), label) - 1).cast("double").alias("_label"))
+    if model == "knn_classifier":
+        return Classified(train_model(numbered, features, "_label", model, params), labels, "prediction")
+    return Classified(_fit_pipeline(numbered, features, "_label", model, params), labels, "_index")
+
+
+@dataclass
+class Classified:
+    """A fitted classifier over numbered labels; it gives their texts back."""
+
+    fitted: object
+    labels: list[str]
+    index: str
+
+    @property
+    def stages(self):
+        return self.fitted.stages
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        scored = self.fitted.transform(df)
+        if "_chance" in scored.columns:
+            scored = scored.withColumn("probability", vector_to_array("_chance")).drop("_chance", "_raw", "features")
+        text = F.element_at(F.array(*map(F.lit, self.labels)), F.col(self.index).cast("int") + 1)
+        return scored.withColumn("prediction", text).drop("_index")
+
+    def chance(self, scored: DataFrame, label: str) -> Column:
+        """The probability of one label in rows that ``transform`` returned."""
+        if "probability" not in scored.columns or label not in self.labels:
+            raise ValueError(f"no probability of {label}")
+        return scored["probability"][self.labels.index(label)]
 
 
 def _checked(model: str, params: dict) -> dict:
@@ -52,7 +122,7 @@ def _checked(model: str, params: dict) -> dict:
 
 @dataclass
 class Neighbours:
-    """Nearest neighbours on numeric features; labels of a vote are numbers too."""
+    """Nearest neighbours on numeric features, of numbers; ``Classified`` gives a vote texts."""
 
     train: DataFrame
     features: list[str]
@@ -70,13 +140,28 @@ class Neighbours:
 
 
 def holdout_table(model, df: DataFrame, y: str, keys: list[str]) -> DataFrame:
-    """(keys, actual, predicted) of rows the model has not seen."""
-    return model.transform(df).select(*keys, F.col(y).cast("double").alias("actual"), F.col("prediction").alias("predicted"))
+    """(keys, actual, predicted) of rows the model has not seen: numbers, or texts of a
+    classifier."""
+    scored = model.transform(df)
+    kind = dict(scored.dtypes)["prediction"]
+    return scored.select(*keys, F.col(y).cast(kind).alias("actual"), F.col("prediction").alias("predicted"))
+
+
+def _importances(model) -> list[float]:
+    """A number for each feature: coefficients of a line, gains of trees, and of a logistic
+    model the length of its coefficients over the labels."""
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    if hasattr(last, "coefficientMatrix"):
+        return np.sqrt((last.coefficientMatrix.toArray() ** 2).sum(0)).tolist()
+    values = getattr(last, "featureImportances", getattr(last, "coefficients", None))
+    if values is None:
+        raise ValueError("the model has no importances")
+    return [float(v) for v in values]
 
 
 def feature_importances(model, features: list[str], spark) -> DataFrame:
-    last = model.stages[-1]
-    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
+    """(feature, importance) of a fitted line, tree model or logistic model."""
+    values = _importances(model)
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
 
 
@@ -194,27 +279,86 @@ def _by_fold(values: dict[int, Column]) -> Column:
     return reduce(lambda c, kv: c.when(F.col("_fold") == kv[0], kv[1]), values.items(), F.when(F.lit(False), F.lit(None).cast("double")))
 
 
-def kfold_cv(df: DataFrame, features: list[str] | str, y: str, keys: list[str], k: int = 5, seed: int = 0, digits: int = 4, fold: Column | None = None) -> DataFrame:
-    """(folds, mae, rmse, r2, mape, max_error, median_ae, explained_var): a linear model is
-    fitted without each fold and measured on it; means of the folds' rounded values.
+REGRESSION_METRICS = ("mae", "rmse", "r2", "mape", "max_error", "median_ae", "explained_var")
+
+
+def kfold_cv(df: DataFrame, features: list[str] | str, y: str, keys: list[str], k: int = 5, seed: int = 0, digits: int = 4, fold: Column | None = None, model: str = "linear", params: dict | None = None, parallel: int = 2) -> DataFrame:
+    """(folds, mae, rmse, r2, mape, max_error, median_ae, explained_var): a model is fitted
+    without each fold and measured on it; means of the folds' rounded values. A classifier
+    gives (folds, accuracy, precision, recall, f1), as ``classification_metrics``.
 
-    One pass gathers the sums of each fold; every fit is those of the other folds. Two
-    folds with rows are needed.
+    The plain linear model takes one pass, which gathers the sums of each fold; every fit is
+    those of the other folds. Any other ``model`` of the registry, or one with ``params``, is
+    fitted once for each fold, ``parallel`` of them at a time. Two folds with rows are needed.
     """
     features = [features] if isinstance(features, str) else list(features)
     rows = _dealt(df, features, y, keys, k, seed, fold)
+    if model != "linear" or params:
+        scored = _held_out(checkpoint(rows), features, y, model, params, parallel)
+        if dict(scored.dtypes)["prediction"] == "string" or model in CLASSIFIERS:
+            return _mean_of_folds(classification_metrics(scored, "actual", "prediction", digits, "_fold"), ("accuracy", "precision", "recall", "f1"), digits)
+        return _mean_of_folds(_fold_errors(scored.select("_fold", F.col("actual").alias("_a"), (F.col("actual") - F.col("prediction")).alias("_e"))), REGRESSION_METRICS, digits)
     rows = checkpoint(rows) if fold is None else rows
     means, sums = fold_sums(rows, features, y)
     if len(sums) < 2:
         raise ValueError("two folds with rows are needed")
     fits = {f: predicted(fit_sums(features, features, means, *_without(sums, f))) for f in sums}
     a = F.col(y).cast("double")
-    scored = rows.select("_fold", a.alias("_a"), (a - _by_fold(fits)).alias("_e"))
+    return _mean_of_folds(_fold_errors(rows.select("_fold", a.alias("_a"), (a - _by_fold(fits)).alias("_e"))), REGRESSION_METRICS, digits)
+
+
+def _fold_errors(scored: DataFrame) -> DataFrame:
+    """The regression metrics of each fold, from rows (_fold, _a actual, _e error)."""
     a, e = F.col("_a"), F.col("_e")
     per = scored.groupBy("_fold").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(a) * F.count("*"))).alias("r2"), F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(2.220446049250313e-16))).alias("mape"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), F.var_pop(a))).alias("explained_var"))
     medians = group_quantiles(scored.select("_fold", F.abs(e).alias("_abs")), "_fold", "_abs", {"median_ae": 0.5}).select("_fold", "median_ae")
-    names = ("mae", "rmse", "r2", "mape", "max_error", "median_ae", "explained_var")
-    return per.join(medians, "_fold").agg(F.count("*").alias("folds"), *[F.round(F.avg(F.round(c, digits)), digits).alias(c) for c in names])
+    return per.join(medians, "_fold")
+
+
+def _mean_of_folds(per: DataFrame, names: tuple[str, ...], digits: int) -> DataFrame:
+    return per.agg(F.count("*").alias("folds"), *[F.round(F.avg(F.round(c, digits)), digits).alias(c) for c in names])
+
+
+def _fold_numbers(rows: DataFrame) -> list[int]:
+    folds = [r[0] for r in rows.filter("_fold is not null").select("_fold").distinct().orderBy("_fold").limit(1001).collect()]
+    if not 2 <= len(folds) <= 1000:
+        raise ValueError("two folds with rows are needed, and 1,000 at most")
+    return folds
+
+
+def _held_out(rows: DataFrame, features: list[str], y: str, model: str, params: dict | None, parallel: int) -> DataFrame:
+    """(_fold, actual, prediction) of every row, predicted by a model fitted on the other
+    folds. Fits are Spark jobs of their own, started from a few threads."""
+
+    def fit_without(f: int) -> DataFrame:
+        fitted = train_model(rows.filter(F.col("_fold") != f), features, y, model, params)
+        return holdout_table(fitted, rows.filter(F.col("_fold") == f), y, ["_fold"])
+
+    folds = _fold_numbers(rows)
+    with ThreadPool(max(1, min(parallel, len(folds)))) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(fit_without), folds)
+    return checkpoint(reduce(DataFrame.unionByName, parts).withColumnRenamed("predicted", "prediction"))
+
+
+def classification_metrics(df: DataFrame, actual: str, predicted_: str, digits: int = 4, *by: str) -> DataFrame:
+    """(by, accuracy, precision, recall, f1): the last three are means over the labels that
+    occur as actual or predicted; a label never predicted has precision 0, one that never
+    occurs recall 0. Rows without either are left out.
+
+    Only the counts of (actual, predicted) pairs are shuffled on.
+    """
+    cells = df.dropna(subset=[actual, predicted_]).groupBy(*by, F.col(actual).alias("_a"), F.col(predicted_).alias("_p")).agg(F.count("*").alias("_n"))
+    sides = F.array(F.struct(F.col("_a").alias("l"), F.lit(1).alias("a"), F.lit(0).alias("p")), F.struct(F.col("_p").alias("l"), F.lit(0).alias("a"), F.lit(1).alias("p")))
+    met = cells.withColumn("_s", F.explode(sides))
+    right = F.when(F.col("_a") == F.col("_p"), F.col("_n") * F.col("_s.a"))
+    per = met.groupBy(*by, F.col("_s.l").alias("_l")).agg(F.coalesce(F.sum(right), F.lit(0)).alias("r"), F.sum(F.col("_n") * F.col("_s.a")).alias("a"), F.sum(F.col("_n") * F.col("_s.p")).alias("p"))
+    share = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    return per.groupBy(*by).agg(
+        F.round(F.sum("r") / F.sum("a"), digits).alias("accuracy"),
+        F.round(F.avg(share(F.col("r"), F.col("p"))), digits).alias("precision"),
+        F.round(F.avg(share(F.col("r"), F.col("a"))), digits).alias("recall"),
+        F.round(F.avg(share(2 * F.col("r"), F.col("a") + F.col("p"))), digits).alias("f1"),
+    )
 
 
 def compare_models(candidate: DataFrame, champion: DataFrame) -> DataFrame:
@@ -280,18 +424,24 @@ def ice_curves(df: DataFrame, features: list[str], y: str, feature: str, keys: l
     return _curves(df, features, y, feature, grid, model, keys)
 
 
-def rfe_curve(df: DataFrame, features: list[str], y: str, keys: list[str], seed: int = 0, folds: int = 3, fold: Column | None = None) -> DataFrame:
-    """(count, dropped, mae): the feature of the least standardised coefficient (fitted on
-    all rows) goes first; the error is the mean of the folds', each fitted on the others.
+def rfe_curve(df: DataFrame, features: list[str], y: str, keys: list[str], seed: int = 0, folds: int = 3, fold: Column | None = None, model: str = "linear", params: dict | None = None, parallel: int = 2) -> DataFrame:
+    """(count, dropped, mae): the feature of the least importance (fitted on all rows) goes
+    first; the error is the mean of the folds', each fitted on the others.
 
-    The rows are read three times, however many features there are: for means, for the
+    Importance is the standardised coefficient of a line, and the gain of the splits of a
+    forest or of boosted trees, which are fitted for each step and fold. For the plain
+    linear model the rows are read three times, however many features there are: for means, for the
     sums of each fold, which give every fit, and for the errors of all steps at once.
     """
     kinds = dict(df.dtypes)
     texts = [c for c in features if kinds[c] in ("string", "boolean")]
     if texts:
         raise ValueError(f"not numeric: {', '.join(texts)}")
+    if model not in REGRESSORS or model == "knn":
+        raise ValueError(f"no importances of {model}")
     rows = _dealt(df, features, y, keys, folds, seed, fold)
+    if model != "linear" or params:
+        return _eliminate(checkpoint(rows), features, y, model, params, parallel)
     rows = checkpoint(rows) if fold is None else rows
     means, sums = fold_sums(rows, features, y)
     if len(sums) < 2:
@@ -310,6 +460,18 @@ def rfe_curve(df: DataFrame, features: list[str], y: str, keys: list[str], seed:
     return df.sparkSession.createDataFrame([(n, c, float(e)) for (n, c, _), e in zip(steps, errors)], "count int, dropped string, mae double")
 
 
+def _eliminate(rows: DataFrame, features: list[str], y: str, model: str, params: dict | None, parallel: int) -> DataFrame:
+    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in features]).first() if model == "linear" else None
+    left, steps = list(features), []
+    while left:
+        weights = dict(zip(left, _importances(train_model(rows, left, y, model, params))))
+        weakest = min(left, key=lambda c: (abs(weights[c]) * (spread[c] if spread else 1.0), c))
+        per = _held_out(rows, left, y, model, params, parallel).groupBy("_fold").agg(F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("_e"))
+        steps.append((len(left), weakest, float(per.agg(F.avg("_e")).first()[0])))
+        left.remove(weakest)
+    return rows.sparkSession.createDataFrame(steps, "count int, dropped string, mae double")
+
+
 def trial_allocation(leaderboard: DataFrame, remaining: int, top: int) -> DataFrame:
     """(model, best, trials): further trials split evenly over the best models, what is
     left over one each from the best on."""
@@ -327,7 +489,8 @@ def leaderboard(trials: DataFrame) -> DataFrame:
 
 def model_search(train: DataFrame, val: DataFrame, features: list[str], y: str, spaces: dict[str, dict[str, list]], initial: int, remaining: int, top: int, seed: int = 0) -> DataFrame:
     """(round, model, trial, params, objective): random trials of each model, then more of
-    the best ones; the objective is the mean absolute error on ``val``."""
+    the best ones; the objective is the mean absolute error on ``val``, and for labels as
+    text the share of wrong ones."""
     spark, rows = train.sparkSession, []
     rng = random.Random(seed)
     queues = {}
@@ -340,7 +503,10 @@ def model_search(train: DataFrame, val: DataFrame, features: list[str], y: str,
         for _ in range(min(count, len(queues[model]))):
             params = queues[model].pop()
             fitted = train_model(train, features, y, model, params)
-            error = fitted.transform(val).agg(F.avg(F.abs(F.col(y) - F.col("prediction")))).first()[0]
+            a, e = F.col("actual"), F.col("predicted")
+            scored = holdout_table(fitted, val, y, [])
+            wrong = (a != e).cast("double") if dict(scored.dtypes)["predicted"] == "string" else F.abs(a - e)
+            error = scored.agg(F.avg(wrong)).first()[0]
             rows.append((stage, model, len(rows), repr(sorted(params.items())), float(error)))
 
     kinds = "round int, model string, trial int, params string, objective double"

@@ -135,6 +135,25 @@ def limit_ratios(diagnostics: DataFrame, limits: dict[str, float] = LIMITS) -> D
     return long.select("column", "metric", F.when(ratio.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(2.0), ratio))).alias("ratio"), F.coalesce(ratio > 1, F.lit(False)).alias("exceeds"))
 
 
+def ranked_metrics(diagnostics: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """(metric, rank, column, value, exceeds): the columns by falling value of each metric,
+    those without a value left out, and whether the value is over the metric's limit."""
+    tail = F.when(F.col("p99") > 0, F.col("max_value") / F.col("p99"))
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("metric")]
+    long = diagnostics.select("column", "zero_rate", "skew", "kurtosis", tail.alias("tail")).unpivot(["column"], list(limits), "metric", "value").filter("value is not null")
+    rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "column"))  # a row per column
+    return long.select("metric", rank.alias("rank"), "column", "value", (F.col("value") > limit).alias("exceeds"))
+
+
+def log_choice(df: DataFrame, columns: list[str], limit: float = LIMITS["skew"]) -> DataFrame:
+    """(column, n, min_value, skew, show_log): whether raw values are best shown beside
+    their logarithms, which is for pooled values all above zero and skewed over the limit."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(_finite(c)).alias("n"), F.min(_finite(c)).alias("min_value"), F.skewness(_finite(c)).alias("skew")) for c in columns]
+    one = df.agg(*[p.alias(f"_{i}") for i, p in enumerate(parts)])
+    rows = one.select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("p")).select("p.*")
+    return rows.withColumn("show_log", F.coalesce((F.col("n") > 1) & (F.col("min_value") > 0) & (F.col("skew") > limit), F.lit(False)))
+
+
 def tail_ratios(diagnostics: DataFrame) -> DataFrame:
     """(column, p99_to_median, max_to_median), for positive medians."""
     ok = F.col("median") > 0

@@ -65,9 +65,11 @@ def sample_balanced(df: DataFrame, group: str, keys: list[str], seed: int) -> Da
     return per_group(base, group, keys, seed, "_r").join(F.broadcast(least)).filter(F.col("_r") <= F.col("_least")).drop("_r", "_least")
 
 
-def named_sample(df: DataFrame, columns: list[str], size: int, keys: list[str], seed: int, derived=(), filters: list[FilterSpec] = (), exclude: list[list[FilterSpec]] = ()) -> DataFrame:
-    """Prune, sample, derive, filter, exclude: filters come after the sample."""
-    out = sample_n(df.select(*columns), size, keys, seed)
+def named_sample(df: DataFrame, columns: list[str], size: int | None, keys: list[str], seed: int, derived=(), filters: list[FilterSpec] = (), exclude: list[list[FilterSpec]] = ()) -> DataFrame:
+    """Prune, sample (no ``size``: all rows), derive, filter, exclude: filters come after
+    the sample and see what it derives."""
+    out = df.select(*columns)
+    out = out if size is None else sample_n(out, size, keys, seed)
     out = build_derived(out, list(derived)) if derived else out
     return exclude_any(filter_all(out, filters), exclude)
 

@@ -282,6 +282,18 @@ def sample_balanced(spark, d):
     return sample.sample_balanced(table(spark, d, "events"), "event_type", ["event_id"], 5).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("""
+    WITH e AS (SELECT event_id, hour(ts) AS at_hour, month(ts) AS at_month, isodow(ts) - 1 AS at_weekday, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS weekend, ln(1 + value) AS log_value, user_id AS who FROM events)
+    SELECT event_id, CAST(at_hour AS BIGINT) AS at_hour, CAST(at_month AS BIGINT) AS at_month, CAST(at_weekday AS BIGINT) AS at_weekday, CAST(weekend AS BIGINT) AS weekend, round(log_value, 6) AS log_value, who
+    FROM e WHERE log_value > 3 AND NOT (weekend = 1 AND at_hour < 12)
+""")
+def derived_sample(spark, d):
+    derived = [("at_hour", "hour", ("ts",)), ("at_month", "month", ("ts",)), ("at_weekday", "weekday", ("ts",)), ("weekend", "is_weekend", ("ts",)), ("log_value", "log1p", ("value",)), ("who", "copy", ("user_id",))]
+    morning = [FilterSpec("weekend", "==", 1), FilterSpec("at_hour", "<", 12)]
+    out = sample.named_sample(table(spark, d, "events"), ["event_id", "user_id", "ts", "value"], None, ["event_id"], 0, derived, [FilterSpec("log_value", ">", 3)], [morning])
+    return rounded(out.select("event_id", *[n for n, _, _ in derived]), "log_value")
+
+
 @query()
 def named_sample(spark, d):
     return sample.named_sample(table(spark, d, "lineitem"), [*_KEYS, "l_quantity", "l_extendedprice"], 1000, _KEYS, 11, [("log_price", "log1p", ("l_extendedprice",))], [FilterSpec("l_quantity", ">", 2)], [[FilterSpec("l_quantity", ">=", 45), FilterSpec("l_extendedprice", "<", 5000)]])
@@ -611,6 +623,42 @@ def kfold_cv(spark, d):
     return models.kfold_cv(table(spark, d, "lineitem"), [_X, "l_discount"], _Y, _KEYS, fold=fold)
 
 
+@query(f"""
+    WITH d AS (SELECT l_quantity > 25 AS x, l_extendedprice AS y, (l_orderkey * 7 + l_linenumber) % 5 AS fold FROM lineitem),
+    f AS (SELECT o AS fold, x, avg(y) AS p FROM d JOIN (SELECT unnest(range(5)) AS o) ON fold <> o GROUP BY 1, 2),
+    e AS (SELECT fold, y, y - p AS e FROM d JOIN f USING (fold, x)),
+    p AS (SELECT fold, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - sum(e * e) / (var_pop(y) * count(*)), 4) AS r2, round(avg(abs(e) / abs(y)), 4) AS mape,
+                 round(max(abs(e)), 4) AS max_error, round(quantile_cont(abs(e), 0.5), 4) AS median_ae, round(1 - var_pop(e) / var_pop(y), 4) AS explained_var FROM e GROUP BY 1)
+    SELECT count(*) AS folds, {", ".join(f"round(avg({m}), 4) AS {m}" for m in _METRICS)} FROM p
+""")
+def kfold_cv_tree(spark, d):
+    fold = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 5
+    li = table(spark, d, "lineitem").withColumn("many", (F.col("l_quantity") > 25).cast("int"))
+    return models.kfold_cv(li, ["many"], _Y, _KEYS, fold=fold, model="random_forest", params={"numTrees": 1, "maxDepth": 1, "bootstrap": False})
+
+
+@query("""
+    WITH d AS (SELECT CASE WHEN l_quantity <= 10 THEN 'few' WHEN l_quantity <= 30 THEN 'some' ELSE 'many' END AS size FROM lineitem WHERE (l_orderkey * 7 + l_linenumber) % 5 = 0)
+    SELECT size AS actual, size AS predicted, count(*) AS n FROM d GROUP BY 1
+""")
+def train_classifier(spark, d):
+    size = F.when(F.col("l_quantity") <= 10, "few").when(F.col("l_quantity") <= 30, "some").otherwise("many")
+    li = table(spark, d, "lineitem").select(*_KEYS, "l_quantity", "l_discount", size.alias("size"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 5).alias("part"))
+    fitted = models.train_model(li.filter("part <> 0"), ["l_quantity", "l_discount"], "size", "random_forest_classifier", {"numTrees": 1, "maxDepth": 2, "maxBins": 64, "bootstrap": False})
+    return models.holdout_table(fitted, li.filter("part = 0"), "size", _KEYS).groupBy("actual", "predicted").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH c AS (SELECT l_linestatus AS a, CASE WHEN l_quantity > 25 THEN 'F' ELSE 'O' END AS p FROM lineitem),
+    l AS (SELECT l, sum(CASE WHEN a = l AND p = l THEN 1 ELSE 0 END) AS r, sum(CASE WHEN a = l THEN 1 ELSE 0 END) AS a, sum(CASE WHEN p = l THEN 1 ELSE 0 END) AS p
+          FROM c, (SELECT unnest(['F', 'O']) AS l) GROUP BY 1)
+    SELECT round(sum(r) / sum(a), 4) AS accuracy, round(avg(r / p), 4) AS precision, round(avg(r / a), 4) AS recall, round(avg(2 * r / (a + p)), 4) AS f1 FROM l
+""")
+def classification_metrics(spark, d):
+    li = table(spark, d, "lineitem").select("l_linestatus", F.when(F.col("l_quantity") > 25, "F").otherwise("O").alias("guess"))
+    return models.classification_metrics(li, "l_linestatus", "guess")
+
+
 _COMPARED = f"SELECT unnest(['mae', 'rmse']) AS metric, unnest([avg(abs(y - p)), sqrt(avg(pow(y - p, 2)))]) AS candidate, unnest([avg(abs(y - 35000)), NULL]) AS champion FROM {_SCORED}"
 
 
@@ -688,6 +736,11 @@ def rfe_curve(spark, d):
     return models.rfe_curve(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], _Y, _KEYS)
 
 
+@query()
+def rfe_curve_forest(spark, d):
+    return models.rfe_curve(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], _Y, _KEYS, model="random_forest", params={"numTrees": 5, "maxDepth": 4})
+
+
 _TRIALS = "(SELECT event_type AS model, abs(value - 50) + 1 AS objective FROM events)"
 
 

@@ -493,6 +493,27 @@ def diagnostics_ratio(spark, d):
     return rounded(profile.limit_ratios(_diagnostics(spark, d)), "ratio", digits=4)
 
 
+@query(f"""
+    WITH long AS (UNPIVOT (SELECT "column", zero_rate, skew, kurtosis, max_value / p99 AS tail FROM {_D}) ON zero_rate, skew, kurtosis, tail INTO NAME metric VALUE x),
+    r AS (SELECT metric, round(x, 6) AS x, CASE metric WHEN 'zero_rate' THEN 0.05 WHEN 'skew' THEN 1 WHEN 'kurtosis' THEN 3 ELSE 10 END AS top, "column" FROM long)
+    SELECT metric, CAST(row_number() OVER (PARTITION BY metric ORDER BY x DESC, "column") AS INTEGER) AS rank, "column", x AS value, x > top AS exceeds FROM r
+""")
+def ranked_metrics(spark, d):
+    return rounded(profile.ranked_metrics(_diagnostics(spark, d)), "value")
+
+
+_CHOICE = "SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS min_value, avg(pow(({c} - m) / s, 3)) AS skew FROM events, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM events)"
+
+
+@query(f"""
+    WITH e AS ({_CHOICE.format(c="value")} UNION ALL {_CHOICE.format(c="exp(value / 100)").replace("'exp(value / 100)'", "'grown'")} UNION ALL {_CHOICE.format(c="(value - 50)").replace("'(value - 50)'", "'centred'")})
+    SELECT "column", n, round(min_value, 4) AS min_value, round(skew, 4) AS skew, n > 1 AND min_value > 0 AND skew > 1 AS show_log FROM e
+""")
+def log_choice(spark, d):
+    e = table(spark, d, "events").select("value", F.exp(F.col("value") / 100).alias("grown"), (F.col("value") - 50).alias("centred"))
+    return rounded(profile.log_choice(e, ["value", "grown", "centred"]), "min_value", "skew", digits=4)
+
+
 @query(f'SELECT "column", round(p99 / median, 4) AS p99_to_median, round(max_value / median, 4) AS max_to_median FROM {_D}')
 def tail_ratios(spark, d):
     return rounded(profile.tail_ratios(_diagnostics(spark, d)), "p99_to_median", "max_to_median", digits=4)

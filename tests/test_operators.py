@@ -587,3 +587,76 @@ def test_audited_canonicalize_reads_the_table_once(spark):
     for wrong in ({"drop": ("z",)}, {"lookup": lookup}):
         with pytest.raises(ValueError):
             clean.audited_canonicalize(df, "t", **wrong)
+
+
+def test_classifiers(spark):
+    rows = [(i, float(i % 10), float(i % 3), "low" if i % 10 < 5 else "high") for i in range(200)]
+    df = spark.createDataFrame([*rows, (200, None, 1.0, "low"), (201, 1.0, 1.0, None)], "i int, x double, z double, g string")
+    for model in ("logistic", "random_forest_classifier", "boosted_trees_classifier"):
+        fitted = models.train_model(df, ["x", "z"], "g", model)
+        assert fitted.labels == ["high", "low"]
+        scored = fitted.transform(df.filter("i < 200 or i = 200"))
+        out = scored.withColumn("c", fitted.chance(scored, "low")).collect()
+        assert len(out) == 200 and all(r["prediction"] == r["g"] and (r["c"] > 0.5) == (r["g"] == "low") for r in out)
+        low = scored.select((F.col("g") == "low").cast("int").alias("y"), fitted.chance(scored, "low").alias("s"))
+        assert one(models.binary_metrics(low, "y", "s", 1))["roc_auc"] == 1.0
+        weights = {r["feature"]: r["importance"] for r in models.feature_importances(fitted, ["x", "z"], spark).collect()}
+        assert weights["x"] > weights["z"]
+        held = models.holdout_table(fitted, df.filter("i < 3"), "g", ["i"]).collect()
+        assert sorted((r["i"], r["actual"], r["predicted"]) for r in held) == [(0, "low", "low"), (1, "low", "low"), (2, "low", "low")]
+        assert one(models.kfold_cv(df, ["x", "z"], "g", ["i"], fold=F.floor(F.col("i") / 100), model=model)) == {"folds": 2, "accuracy": 1.0, "precision": 1.0, "recall": 1.0, "f1": 1.0}
+    vote = models.train_model(df, ["x"], "g", "knn_classifier", {"k": 3})
+    assert {r["prediction"] for r in vote.transform(df.filter("x = 9")).collect()} == {"high"}
+    with pytest.raises(ValueError):
+        vote.chance(vote.transform(df), "low")
+    with pytest.raises(ValueError):
+        models.feature_importances(vote, ["x"], spark)
+    numbers = models.train_model(df.withColumn("n", F.when(F.col("g") == "low", 0).otherwise(1)), ["x"], "n", "logistic")
+    assert {(r["g"], r["prediction"]) for r in numbers.transform(df.filter("i < 200")).collect()} == {("low", "0"), ("high", "1")}
+    for bad in (df.filter("g = 'low'"), df.filter("i < 0")):
+        with pytest.raises(ValueError):
+            models.train_model(bad, ["x"], "g", "logistic")
+    with pytest.raises(ValueError):
+        models.train_model(df.withColumn("g", F.col("i").cast("string")), ["x"], "g", "random_forest_classifier")
+    search = models.model_search(df, df, ["x"], "g", {"logistic": {"regParam": [0.0]}, "random_forest_classifier": {"maxDepth": [1, 2]}}, 1, 1, 1).collect()
+    assert all(r["objective"] == 0 for r in search)
+
+
+def test_classification_metrics(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b"), (None, "a"), ("a", None)], "y string, p string")
+    got = one(models.classification_metrics(df, "y", "p", 6))
+    assert got == {"accuracy": 0.5, "precision": round((1 + 1 / 3 + 0) / 3, 6), "recall": round((0.5 + 1 + 0) / 3, 6), "f1": round((2 / 3 + 0.5 + 0) / 3, 6)}
+    assert one(models.classification_metrics(df.filter("y = 'z'"), "y", "p"))["accuracy"] is None
+
+
+def test_folds_of_any_model(spark):
+    x, y, df = _line_rows(spark, 120)
+    fold = F.col("i") % 3
+    by_sums = one(models.kfold_cv(df, ["a", "b"], "y", ["i"], fold=fold, digits=6))
+    by_fits = one(models.kfold_cv(df, ["a", "b"], "y", ["i"], fold=fold, digits=6, params={"regParam": 0.0}))
+    assert all(math.isclose(by_sums[c], by_fits[c], abs_tol=1e-5) for c in by_sums)
+    one_way = models.rfe_curve(df, ["a", "b", "c"], "y", ["i"], fold=fold).collect()
+    other = models.rfe_curve(df, ["a", "b", "c"], "y", ["i"], fold=fold, params={"regParam": 0.0}).collect()
+    assert [(r["count"], r["dropped"], round(r["mae"], 6)) for r in one_way] == [(r["count"], r["dropped"], round(r["mae"], 6)) for r in other]
+    step = df.withColumn("s", (F.col("a") > 0).cast("int"))
+    got = one(models.kfold_cv(step, ["s"], "y", ["i"], fold=fold, digits=9, model="random_forest", params={"numTrees": 1, "maxDepth": 1, "bootstrap": False}))
+    s, f, errors = x[:, 0] > 0, np.arange(len(y)) % 3, []
+    for k in range(3):
+        mean = np.where(s, y[s & (f != k)].mean(), y[~s & (f != k)].mean())
+        errors.append(np.abs(y - mean)[f == k].mean())
+    assert math.isclose(got["mae"], np.mean(errors), abs_tol=1e-8)
+    curve = models.rfe_curve(df, ["a", "b", "c"], "y", ["i"], fold=fold, model="boosted_trees", params={"maxIter": 2}).collect()
+    assert [r["count"] for r in curve] == [3, 2, 1] and curve[-1]["dropped"] == "a"
+    assert one(models.kfold_cv(df, ["a"], "y", ["i"], fold=fold, model="knn", params={"k": 3}))["folds"] == 3
+    with pytest.raises(ValueError):
+        models.rfe_curve(df, ["a"], "y", ["i"], model="knn")
+    with pytest.raises(ValueError):
+        models.kfold_cv(df, ["a"], "y", ["i"], fold=F.lit(1), model="random_forest")
+
+
+def test_log_choice_and_ranked_metrics(spark):
+    df = spark.createDataFrame([(float(v), float(v) - 2, 5.0, None) for v in (1, 1, 1, 1, 40)], "a double, b double, c double, d double")
+    got = {r["column"]: (r["n"], r["show_log"]) for r in profile.log_choice(df, ["a", "b", "c", "d"]).collect()}
+    assert got == {"a": (5, True), "b": (5, False), "c": (5, False), "d": (0, False)}
+    ranked = profile.ranked_metrics(profile.numeric_diagnostics(df, ["a", "b", "c", "d"])).filter("metric = 'skew'").orderBy("rank").collect()
+    assert [(r["column"], r["exceeds"]) for r in ranked][:2] == [("a", True), ("b", True)]
