@@ -83,10 +83,12 @@ def first_per_group(df: DataFrame, group: str, k: int, keys: list[str], seed: in
 
 
 def quotas(sizes: DataFrame, total: int, order: str) -> DataFrame:
-    """Largest-remainder quotas: add quota to rows (order, n) so that they sum to ``total``."""
-    everything = Window.partitionBy(F.lit(0))
-    share = F.col("n") * F.lit(total) / F.sum("n").over(everything)
-    out = sizes.withColumn("_share", share).withColumn("_floor", F.floor("_share"))
-    out = out.withColumn("_left", F.lit(total) - F.sum("_floor").over(everything))
-    out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("_share") - F.col("_floor"), 9)), order)))
-    return out.withColumn("quota", (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).cast("long")).drop("_share", "_floor", "_left", "_rank")
+    """Largest-remainder quotas: add quota to rows (order, n) so that they sum to ``total``.
+    Equal remainders go by ``order``. However many rows there are, no task ranks them all."""
+    sizes = checkpoint(sizes)
+    whole = sizes.agg(F.sum("n").alias("_whole"))
+    share = F.col("n") * F.lit(total) / F.col("_whole")
+    out = sizes.join(F.broadcast(whole)).withColumn("_floor", F.floor(share)).withColumn("_rest", F.round(share - F.col("_floor"), 9)).drop("_whole")  # one row
+    left = out.agg((F.lit(total) - F.sum("_floor")).alias("_left"))
+    ranked = global_index(out, F.desc("_rest"), order, name="_rank").join(F.broadcast(left))  # one row
+    return ranked.withColumn("quota", (F.col("_floor") + (F.col("_rank") < F.col("_left")).cast("long")).cast("long")).drop("_floor", "_rest", "_rank", "_left")

@@ -116,12 +116,18 @@ def effect_sizes(f_rows: DataFrame) -> DataFrame:
     return f_rows.withColumn("eta_squared", eta_squared(F.col("statistic"), F.col("df1"), F.col("df2"))).withColumn("omega_squared", omega_squared(F.col("statistic"), F.col("df1"), F.col("n")))
 
 
+BLOCKS = 16
+
+
 def pairs(df: DataFrame, group: str, y: str) -> DataFrame:
-    """Each pair of groups (a < b) with their moments: a row per group meets the others."""
+    """Each pair of groups (a < b) with their moments. Groups are dealt into blocks, and
+    blocks meet by an equal pair of block numbers, so that many groups are spread over
+    tasks and none has to hold all of them."""
     stats = group_stats(df, group, y)
-    a = stats.select(*[F.col(c).alias(f"{c}_a") for c in stats.columns])
-    b = stats.select(*[F.col(c).alias(f"{c}_b") for c in stats.columns])
-    return a.join(F.broadcast(b), F.col("group_a") < F.col("group_b"))
+    own, other = F.pmod(F.xxhash64("group"), F.lit(BLOCKS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    a = stats.select(own.alias("_i"), other.alias("_j"), *[F.col(c).alias(f"{c}_a") for c in stats.columns])
+    b = stats.select(other.alias("_i"), own.alias("_j"), *[F.col(c).alias(f"{c}_b") for c in stats.columns])
+    return a.join(b, ["_i", "_j"]).filter(F.col("group_a") < F.col("group_b")).drop("_i", "_j")
 
 
 def _pooled() -> Column:

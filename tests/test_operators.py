@@ -660,3 +660,25 @@ def test_log_choice_and_ranked_metrics(spark):
     assert got == {"a": (5, True), "b": (5, False), "c": (5, False), "d": (0, False)}
     ranked = profile.ranked_metrics(profile.numeric_diagnostics(df, ["a", "b", "c", "d"])).filter("metric = 'skew'").orderBy("rank").collect()
     assert [(r["column"], r["exceeds"]) for r in ranked][:2] == [("a", True), ("b", True)]
+
+
+def test_quotas_of_many_groups(spark):
+    from plumbline.functions.order import quotas
+
+    n = [(f"g{i:04d}", i % 7 + 1) for i in range(500)] + [(None, 3)]
+    got = {r["g"]: r["quota"] for r in quotas(spark.createDataFrame(n, "g string, n long"), 300, "g").collect()}
+    whole = sum(k for _, k in n)
+    share = {g: k * 300 / whole for g, k in n}
+    rest = sorted(share, key=lambda g: (-round(share[g] - math.floor(share[g]), 9), g is not None, g or ""))
+    lucky = set(rest[: 300 - sum(math.floor(v) for v in share.values())])
+    assert got == {g: math.floor(v) + (g in lucky) for g, v in share.items()} and sum(got.values()) == 300
+    assert quotas(spark.createDataFrame([], "g string, n long"), 5, "g").count() == 0
+
+
+def test_pairs_of_many_groups(spark):
+    rows = spark.range(600).selectExpr("concat('g', cast(id % 60 as string)) as g", "cast(id as double) as y")
+    out = compare.pairs(rows, "g", "y")
+    assert "BroadcastNestedLoopJoin" not in out._jdf.queryExecution().toString()
+    met = [(r["group_a"], r["group_b"]) for r in out.collect()]
+    names = sorted(f"g{i}" for i in range(60))
+    assert sorted(met) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
