@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -34,13 +36,66 @@ def _long(df: DataFrame, stats: dict[str, Column | None], columns: list[str]) ->
     return df.agg(*[F.struct(*[f(c).alias(n) for n, f in stats.items()]).alias(c) for c in columns]).unpivot([], columns, "column", "v").select("column", "v.*")
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, distinct_count) of the values that are present, exact.
+
+    Each column is read by itself and its values are combined before they are shuffled: the
+    columns together cost one reading of the table, and no row is expanded for each of them.
+    """
+    parts = [df.select(F.col(c).alias("v")).filter("v is not null").distinct().agg(F.count("*").alias("distinct_count")).select(F.lit(c).alias("column"), "distinct_count") for c in columns or df.columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_distinct(out: DataFrame, df: DataFrame) -> DataFrame:
+    return out.join(F.broadcast(distinct_counts(df)), "column")  # a row per column
+
+
+def _kinds(dtypes: list[tuple[str, str]]) -> Column:
+    return F.create_map(*[F.lit(x) for n, t in dtypes for x in (n, "datetime" if t.startswith("timestamp") else t)])[F.col("column")]
+
+
+def _profiled(out: DataFrame, dtypes: list[tuple[str, str]]) -> DataFrame:
+    return out.select("column", _kinds(dtypes).alias("dtype"), "nulls", "distinct_count", "min_value", "max_value", F.coalesce(F.round(F.try_divide(F.col("distinct_count"), F.col("rows")), 4), F.lit(0.0)).alias("identifier_score"))
+
+
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, dtype, nulls, distinct_count, min_value, max_value, identifier_score)."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    stats = {"nulls": lambda c: F.count_if(F.col(c).isNull()), "distinct_count": lambda c: count(c), "min_value": lambda c: F.min(c).cast("string"), "max_value": lambda c: F.max(c).cast("string"), "rows": lambda c: F.count(F.lit(1))}
-    kinds = F.create_map(*[F.lit(x) for n, t in df.dtypes for x in (n, "datetime" if t.startswith("timestamp") else t)])
-    out = _long(df, stats, df.columns)
-    return out.select("column", kinds[F.col("column")].alias("dtype"), "nulls", "distinct_count", "min_value", "max_value", F.coalesce(F.round(F.try_divide(F.col("distinct_count"), F.col("rows")), 4), F.lit(0.0)).alias("identifier_score"))
+    stats = {"nulls": lambda c: F.count_if(F.col(c).isNull()), "min_value": lambda c: F.min(c).cast("string"), "max_value": lambda c: F.max(c).cast("string"), "rows": lambda c: F.count(F.lit(1))}
+    if approx:
+        return _profiled(_long(df, stats | {"distinct_count": lambda c: F.approx_count_distinct(c)}, df.columns), df.dtypes)
+    return _profiled(_with_distinct(_long(df, stats, df.columns), df), df.dtypes)
+
+
+SKETCH = 14
+"""Logarithm of a sketch's registers: a standard error of 0.8 percent in up to 16 kB."""
+
+
+def sketch_columns(df: DataFrame) -> DataFrame:
+    """One row that stands for ``df`` in later profiles: its rows and, for each column, the
+    nulls, the least and greatest value and a sketch of the distinct values. Rows of several
+    files or days, kept as a table, merge in ``merged_profile``."""
+    native = ("tinyint", "smallint", "int", "bigint", "string", "binary")
+
+    def part(c: str, kind: str) -> Column:
+        v = F.col(c) if kind in native else F.col(c).cast("string")
+        return F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).alias("low"), F.max(c).alias("high"), F.hll_sketch_agg(v, SKETCH).alias("sketch")).alias(c)
+
+    return df.agg(F.count(F.lit(1)).alias("_rows"), *[part(c, t) for c, t in df.dtypes])
+
+
+def merged_profile(sketched: DataFrame) -> DataFrame:
+    """What ``profile`` says of all the rows behind a table of ``sketch_columns`` rows, without
+    reading those again; distinct counts are estimates."""
+    columns = [c for c in sketched.columns if c != "_rows"]
+    stats = {
+        "nulls": lambda c: F.sum(f"{c}.nulls"),
+        "distinct_count": lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"{c}.sketch")), F.lit(0)),
+        "min_value": lambda c: F.min(f"{c}.low").cast("string"),
+        "max_value": lambda c: F.max(f"{c}.high").cast("string"),
+        "rows": lambda c: F.sum("_rows"),
+    }
+    kinds = dict(sketched.select(*[F.col(f"{c}.low").alias(c) for c in columns]).dtypes)
+    return _profiled(_long(sketched, stats, columns), [(c, kinds[c]) for c in columns])
 
 
 def identifier_columns(profiled: DataFrame, score: float = 0.95) -> DataFrame:
@@ -52,9 +107,9 @@ def infer_columns(df: DataFrame, share: float = 0.9, categories: int = 30) -> Da
     parse; categorical for booleans, texts and integers of few values."""
     kinds = dict(df.dtypes)
     texts = {n for n, t in kinds.items() if t == "string"}
-    stats = {"distinct_count": lambda c: F.count_distinct(c), "rows": lambda c: F.count(F.lit(1)), "parsed": lambda c: F.avg(F.when(F.col(c).isNotNull(), as_datetime(c).isNotNull().cast("int"))) if c in texts else F.lit(None).cast("double")}
+    stats = {"rows": lambda c: F.count(F.lit(1)), "parsed": lambda c: F.avg(F.when(F.col(c).isNotNull(), as_datetime(c).isNotNull().cast("int"))) if c in texts else F.lit(None).cast("double")}
     dtype = F.create_map(*[F.lit(x) for n, t in kinds.items() for x in (n, t)])[F.col("column")]
-    out = _long(df, stats, df.columns).withColumn("dtype", dtype)
+    out = _with_distinct(_long(df, stats, df.columns), df).withColumn("dtype", dtype)
     whole = F.col("dtype").isin("tinyint", "smallint", "int", "bigint")
     kind = F.when(F.col("dtype").startswith("timestamp") | (F.col("dtype") == "date") | (F.coalesce("parsed", F.lit(0.0)) > share), "datetime").when(F.col("dtype").isin("boolean", "string") | (whole & (F.col("distinct_count") <= categories)), "categorical").otherwise("numeric")
     score = F.round(F.try_divide(F.col("distinct_count"), F.col("rows")), 4)
@@ -69,7 +124,8 @@ def build_contract(df: DataFrame, target: str, datetime: str | None = None, igno
     role = None
     for name in ("ignore", "target", "datetime") if order == "discover" else ("target", "ignore", "datetime"):
         role = F.when(tests[name], name) if role is None else role.when(tests[name], name)
-    return profile(df).select("column", "dtype", F.col("nulls").alias("null_count"), role.otherwise("feature").alias("role"))
+    out = _long(df, {"nulls": lambda c: F.count_if(F.col(c).isNull())}, df.columns)
+    return out.select("column", _kinds(df.dtypes).alias("dtype"), F.col("nulls").alias("null_count"), role.otherwise("feature").alias("role"))
 
 
 def _finite(c: str) -> Column:

@@ -423,6 +423,23 @@ def profile_table(spark, d):
     return profile.profile(table(spark, d, "customer").select(*[c for c, _ in _CUSTOMER]))
 
 
+_LINES = [("l_orderkey", "bigint"), ("l_quantity", "double"), ("l_shipdate", "datetime")]
+
+
+@query(f"""
+    SELECT "column", dtype, CAST(nulls AS BIGINT) AS nulls, true AS close, CASE WHEN dtype = 'datetime' THEN NULL ELSE min_value END AS min_value, CASE WHEN dtype = 'datetime' THEN NULL ELSE max_value END AS max_value FROM ({_profile_sql('lineitem', _LINES)})
+""")
+def merged_profile(spark, d):
+    li = table(spark, d, "lineitem").select(*[c for c, _ in _LINES])
+    kept = new_path(spark, "sketches")
+    for part in range(3):  # as if they were files that come one by one
+        profile.sketch_columns(li.filter(F.col("l_orderkey") % 3 == part)).write.mode("append").parquet(kept)
+    met = profile.merged_profile(spark.read.parquet(kept)).join(profile.distinct_counts(li).withColumnRenamed("distinct_count", "exact"), "column")
+    number = F.col("dtype") != "datetime"
+    close = F.abs(F.col("distinct_count") / F.col("exact") - 1) < 0.05
+    return met.select("column", "dtype", "nulls", close.alias("close"), *[F.when(number, F.col(c)).alias(c) for c in ("min_value", "max_value")])
+
+
 @query(f"SELECT \"column\", identifier_score FROM ({_profile_sql('customer', _CUSTOMER)}) WHERE identifier_score >= 0.95")
 def identifier_columns(spark, d):
     return profile.identifier_columns(profile_table(spark, d))

@@ -682,3 +682,19 @@ def test_pairs_of_many_groups(spark):
     met = [(r["group_a"], r["group_b"]) for r in out.collect()]
     names = sorted(f"g{i}" for i in range(60))
     assert sorted(met) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def test_distinct_counts_and_sketches(spark):
+    df = spark.range(40000).selectExpr("id", "cast(id % 7 as double) as few", "if(id % 2 = 0, null, concat('t', cast(id as string))) as text", "cast(null as int) as none", "id % 2 = 0 as even")
+    out = profile.distinct_counts(df)
+    assert "Expand" not in out._jdf.queryExecution().toString()
+    assert "gid" not in profile.profile(df)._jdf.queryExecution().toString()  # the one row of results is turned, no others
+    exact = {r["column"]: r["distinct_count"] for r in out.collect()}
+    assert exact == {"id": 40000, "few": 7, "text": 20000, "none": 0, "even": 2}
+    kept = profile.sketch_columns(df.filter("id < 25000")).union(profile.sketch_columns(df.filter("id >= 20000"))).union(profile.sketch_columns(df.filter("id < 0")))
+    got = {r["column"]: r for r in profile.merged_profile(kept).collect()}
+    want = {r["column"]: r for r in profile.profile(df.union(df.filter("id >= 20000 and id < 25000"))).collect()}
+    for c, n in exact.items():
+        assert abs(got[c]["distinct_count"] - n) <= 0.03 * n
+        assert all(got[c][k] == want[c][k] for k in ("dtype", "nulls", "min_value", "max_value"))
+    assert {r["column"]: r["distinct_count"] for r in profile.profile(df.filter("id < 0")).collect()} == dict.fromkeys(exact, 0)
