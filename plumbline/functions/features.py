@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Hours of the night, and of the morning and evening rush.
 NIGHT_HOURS = (0, 1, 2, 3, 4, 5, 21, 22, 23)
 RUSH_HOURS = (7, 8, 9, 17, 18, 19)
 

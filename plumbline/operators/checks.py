@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.filters import FilterSpec, predicate
-from ..sources.tables import table_digest
+from ..sources.tables import committed_sample, definition_hash, table_digest
 
 LEVELS = ("PASS", "WARNING", "INCOMPLETE")
 
@@ -94,3 +95,11 @@ def validate_sample(df: DataFrame, rows: int, digest: tuple[str, int], definitio
     broken = check_values(df, list(rules)).filter("violations > 0").count() if rules else 0
     found = [("rows", now["rows"] == rows), ("digest", (now["digest_sum"], now["digest_xor"]) == tuple(digest)), ("definition", definition == expected_definition), ("schema", check_dtypes(df, schema).count() == 0), ("values", broken == 0)]
     return df.sparkSession.createDataFrame(found, "check string, ok boolean")
+
+
+def validate_committed(spark: SparkSession, folder: str, name: str, version: int | str, definition: dict, rules: list[FilterSpec] = ()) -> DataFrame:
+    """(check, ok) of a committed sample against its manifest, and of the manifest against
+    the definition that is wanted now."""
+    df, was = committed_sample(spark, folder, name, version)
+    schema = StructType.fromJson(json.loads(was["schema"]))
+    return validate_sample(df, was["rows"], (was["digest_sum"], was["digest_xor"]), was["definition_sha256"], definition_hash(definition), schema, rules)

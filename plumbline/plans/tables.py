@@ -343,6 +343,24 @@ def validate_sample(spark, d):
     return checks.validate_sample(orders, was["rows"], (was["digest_sum"], was["digest_xor"]), "v1", "v1", orders.schema, [FilterSpec("o_totalprice", ">=", 0)])
 
 
+@query("""
+    SELECT unnest(['rows', 'digest', 'definition', 'schema', 'values', 'refused']) AS "check", true AS ok, (SELECT count(*) FROM events WHERE value > 20 AND event_type <> 'view') AS kept
+""")
+def committed_sample(spark, d):
+    """A sample with its manifest: written once, read back and validated."""
+    folder, definition = new_path(spark, "samples"), {"filters": ["value > 20"], "exclude": ["event_type = view"], "columns": ["event_id", "event_type", "value"]}
+    rows = table(spark, d, "events").filter("value > 20 and event_type <> 'view'").select(*definition["columns"])
+    tables.commit_sample(rows, folder, "large", 1, definition)
+    try:
+        tables.commit_sample(rows, folder, "large", 1, definition)
+        refused = False
+    except ValueError:
+        refused = True
+    found = checks.validate_committed(spark, folder, "large", 1, definition, [FilterSpec("value", ">", 20)])
+    kept = tables.committed_sample(spark, folder, "large", 1)[0].agg(F.count("*").alias("kept"))
+    return found.union(spark.createDataFrame([("refused", refused)], found.schema)).join(F.broadcast(kept))  # one row
+
+
 # ---- joins ----
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -63,3 +68,42 @@ def write_version(df: DataFrame, folder: str, name: str, version: int | str) ->
     path = f"{folder}/{name}@{version}.parquet"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def definition_hash(definition: dict) -> str:
+    """SHA-256 of a definition, whatever the order of its keys."""
+    return hashlib.sha256(json.dumps(definition, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def commit_sample(df: DataFrame, folder: str, name: str, version: int | str, definition: dict) -> str:
+    """Write an immutable sample and then its manifest: definition and hash, rows, digest,
+    schema and where the rows are. Returns the manifest's path.
+
+    The manifest is what makes a version exist. One that exists is refused; rows that a lost
+    run left behind lie in a folder of their own, which no manifest names, and do no harm.
+    """
+    spark, path = df.sparkSession, f"{folder}/{name}@{version}"
+    try:
+        spark.read.parquet(f"{path}/manifest")
+    except AnalysisException:
+        pass
+    else:
+        raise ValueError(f"{name}@{version} exists")
+    data = f"{path}/rows-{uuid.uuid4().hex[:12]}"
+    df.write.mode("errorifexists").parquet(data)
+    written = spark.read.parquet(data)
+    facts = {"definition": json.dumps(definition, sort_keys=True, default=str), "definition_sha256": definition_hash(definition), "schema": written.schema.json(), "data": data}
+    manifest = table_digest(written).select("*", *[F.lit(v).alias(k) for k, v in facts.items()])
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    return f"{path}/manifest"
+
+
+def committed_sample(spark: SparkSession, folder: str, name: str, version: int | str) -> tuple[DataFrame, Row]:
+    """The rows of a committed sample and its manifest; an error for one without."""
+    try:
+        manifest = spark.read.parquet(f"{folder}/{name}@{version}/manifest").first()
+    except AnalysisException:
+        manifest = None
+    if manifest is None:
+        raise ValueError(f"{name}@{version} is not committed")
+    return spark.read.schema(StructType.fromJson(json.loads(manifest["schema"]))).parquet(manifest["data"]), manifest

@@ -698,3 +698,26 @@ def test_distinct_counts_and_sketches(spark):
         assert abs(got[c]["distinct_count"] - n) <= 0.03 * n
         assert all(got[c][k] == want[c][k] for k in ("dtype", "nulls", "min_value", "max_value"))
     assert {r["column"]: r["distinct_count"] for r in profile.profile(df.filter("id < 0")).collect()} == dict.fromkeys(exact, 0)
+
+
+def test_committed_sample(spark, tmp_path):
+    from plumbline.sources import tables
+
+    rows, folder, want = spark.range(50).selectExpr("id", "id * 2 as y"), str(tmp_path), {"size": 50, "seed": 1}
+    with pytest.raises(ValueError):
+        tables.committed_sample(spark, folder, "s", 1)
+    rows.limit(3).write.parquet(f"{folder}/s@1/rows-lost")  # a run that ended before its manifest
+    with pytest.raises(ValueError):
+        tables.committed_sample(spark, folder, "s", 1)
+    tables.commit_sample(rows, folder, "s", 1, want)
+    kept, manifest = tables.committed_sample(spark, folder, "s", 1)
+    assert kept.count() == manifest["rows"] == 50
+    with pytest.raises(ValueError):
+        tables.commit_sample(rows, folder, "s", 1, want)
+    ok = lambda d: {r["check"]: r["ok"] for r in checks.validate_committed(spark, folder, "s", 1, d).collect()}
+    assert all(ok({"seed": 1, "size": 50}).values())
+    assert [c for c, v in ok({"size": 50, "seed": 2}).items() if not v] == ["definition"]
+    rows.limit(1).write.mode("append").parquet(manifest["data"])
+    assert {c for c, v in ok(want).items() if not v} == {"rows", "digest"}
+    tables.commit_sample(rows.limit(0), folder, "s", 2, want)
+    assert tables.committed_sample(spark, folder, "s", 2)[1]["rows"] == 0
