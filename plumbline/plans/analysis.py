@@ -456,6 +456,17 @@ def omnibus(spark, d):
     return compare.omnibus(table(spark, d, "events"), "event_type", "value")
 
 
+@query(f"""
+    WITH a AS (WITH {_EVENTS}, {_F} SELECT f AS statistic, greatest(0, least(1, df1 * (f - 1) / (df1 * (f - 1) + n))) AS effect FROM f)
+    SELECT 'anova' AS method, round(statistic, 3) AS statistic, round(effect, 4) AS effect FROM a
+    UNION ALL SELECT 'welch', round(statistic, 3), round(omega_squared, 4) FROM ({ORACLES["welch_anova"]})
+    UNION ALL SELECT 'kruskal', round(statistic, 3), round(epsilon_squared, 4) FROM ({ORACLES["kruskal"]})
+""")
+def omnibus_statistics(spark, d):
+    """What SQL can say of ``omnibus``: all but the tails of the distributions."""
+    return rounded(rounded(omnibus(spark, d).select("method", "statistic", "effect"), "statistic", digits=3), "effect", digits=4)
+
+
 @query(f"""
     WITH {_GROUPS.format(g='c_mktsegment', y='c_acctbal', t='customer')}
     SELECT g AS "group", n, round(m, 4) AS mean, round(sqrt(v), 4) AS sd, round((1.959963984540054 + 0.8416212335729143) * sqrt(2 / n), 6) AS mde, CAST(63 AS BIGINT) AS n_needed FROM g
