@@ -542,6 +542,23 @@ def test_neighbours_as_models(spark):
             models.train_model(train, ["x"], "y", model, {"depth": 2})
 
 
+def test_neighbours_in_several_blocks(spark):
+    rng = np.random.default_rng(4)
+    v, y = rng.normal(size=(60, 3)), rng.integers(0, 10, 60).astype(float)
+    df = spark.createDataFrame([(i, v[i].tolist(), y[i].item()) for i in range(60)], "i long, v array<double>, y double")
+    for weights in ("uniform", "distance"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with tables too large for one partition
+        try:
+            got = {r["i"]: r["prediction"] for r in models.knn_predict(df, df.filter("i % 3 = 0"), "v", "y", "i", 4, block=7, weights=weights).collect()}
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sorted(got) == list(range(0, 60, 3))
+        for i in got:
+            d = np.sqrt(((v - v[i]) ** 2).sum(1))
+            best = [j for j in np.argsort(d) if j != i][:4]
+            assert math.isclose(got[i], np.average(y[best], weights=1 / d[best] if weights == "distance" else None), abs_tol=1e-9)
+
+
 def test_explain_any_model(spark):
     x, y, df = _line_rows(spark, 60)
     fitted = models.train_model(df.dropna(), ["a", "b", "c"], "y")
