@@ -559,6 +559,16 @@ def test_neighbours_in_several_blocks(spark):
             assert math.isclose(got[i], np.average(y[best], weights=1 / d[best] if weights == "distance" else None), abs_tol=1e-9)
 
 
+def test_weighted_neighbours_at_distance_zero_in_other_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i // 6), 1.0], float(i)) for i in range(60)], "i long, v array<double>, y double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["i"]: r["prediction"] for r in models.knn_predict(df, df, "v", "y", "i", 8, block=5, weights="distance").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: (sum(range(i // 6 * 6, i // 6 * 6 + 6)) - i) / 5 for i in range(60)}  # the five of equal vectors alone
+
+
 def test_explain_any_model(spark):
     x, y, df = _line_rows(spark, 60)
     fitted = models.train_model(df.dropna(), ["a", "b", "c"], "y")
