@@ -681,6 +681,32 @@ def test_folds_of_any_model(spark):
         models.kfold_cv(df, ["a"], "y", ["i"], fold=F.lit(1), model="random_forest")
 
 
+def _few_cells(spark, monkeypatch):
+    """(rows of 12 different features and their frame, sizes of what is fitted on)."""
+    rng = np.random.default_rng(8)
+    rows = [(int(a), float(b), float(a * b + rng.normal())) for a, b in zip(rng.integers(0, 4, 600), rng.integers(0, 3, 600))]
+    sizes, plain = [], models._fit_pipeline
+    monkeypatch.setattr(models, "_fit_pipeline", lambda df, *a: sizes.append(df.count()) or plain(df, *a))
+    return rows, spark.createDataFrame([*rows, (None, 1.0, 1.0), (1, 1.0, None)], "a int, b double, y double"), sizes
+
+
+def test_forest_is_fitted_on_cells(spark, monkeypatch):
+    rows, df, sizes = _few_cells(spark, monkeypatch)
+    forest = models.train_model(df, ["a", "b"], "y", "random_forest", {"numTrees": 40, "maxDepth": 6, "featureSubsetStrategy": "all"})
+    assert len(sizes) == 40 and max(sizes) <= 12
+    got = {(r["a"], r["b"]): r["prediction"] for r in forest.transform(df.filter("y is not null and a is not null")).collect()}
+    means = {c: np.mean([y for a, b, y in rows if (a, b) == c]) for c in got}
+    assert len(got) == 12 and all(0 < abs(got[c] - means[c]) < 0.2 for c in got)  # rows were drawn, not cells
+    weights = {r["feature"]: r["importance"] for r in models.feature_importances(forest, ["a", "b"], spark).collect()}
+    assert math.isclose(sum(weights.values()), 1) and min(weights.values()) > 0.1
+    u = spark.range(20000).select(F.rand(3).alias("u")).select(models._poisson(F.col("u"), 1.0).alias("n"))
+    drawn = u.agg(F.avg("n").alias("m"), F.var_samp("n").alias("v")).first()
+    assert abs(drawn["m"] - 1) < 0.05 and abs(drawn["v"] - 1) < 0.1
+    sizes.clear()
+    models.train_model(df, ["a", "b"], "y", "random_forest", {"numTrees": 2, "minInstancesPerNode": 5})
+    assert sizes[0] > 600  # rows count here
+
+
 def test_log_skews_of_positive_groups(spark):
     given = [("a", v) for v in (1.0, 2.0, 9.0, None)] + [("zero", v) for v in (0.0, 1.0, 5.0)] + [("same", 2.0)] * 3 + [(None, 1.0), (None, 2.0)]
     got = profile.log_skews(spark.createDataFrame(given, "g string, v double"), "g", "v").collect()
