@@ -707,6 +707,17 @@ def test_forest_is_fitted_on_cells(spark, monkeypatch):
     assert sizes[0] > 600  # rows count here
 
 
+def test_boosted_trees_are_fitted_on_cells(spark, monkeypatch):
+    rows, df, sizes = _few_cells(spark, monkeypatch)
+    params = {"maxIter": 4, "maxDepth": 2}
+    by_cells = models.train_model(df, ["a", "b"], "y", "boosted_trees", params)
+    assert sizes == [12]
+    by_rows = models._fit_pipeline(df.dropna(), ["a", "b"], "y", "boosted_trees", params)
+    same = [{(r["a"], r["b"]): round(r["prediction"], 9) for r in m.transform(df.dropna()).collect()} for m in (by_cells, by_rows)]
+    assert same[0] == same[1]
+    assert [round(v, 6) for v in models._importances(by_cells)] == [round(v, 6) for v in models._importances(by_rows)]
+
+
 def test_log_skews_of_positive_groups(spark):
     given = [("a", v) for v in (1.0, 2.0, 9.0, None)] + [("zero", v) for v in (0.0, 1.0, 5.0)] + [("same", 2.0)] * 3 + [(None, 1.0), (None, 2.0)]
     got = profile.log_skews(spark.createDataFrame(given, "g string, v double"), "g", "v").collect()
