@@ -718,6 +718,19 @@ def test_boosted_trees_are_fitted_on_cells(spark, monkeypatch):
     assert [round(v, 6) for v in models._importances(by_cells)] == [round(v, 6) for v in models._importances(by_rows)]
 
 
+def test_folds_of_a_tree_are_fitted_on_cells(spark, monkeypatch):
+    rows, df, sizes = _few_cells(spark, monkeypatch)
+    placed = df.dropna().withColumn("i", F.monotonically_increasing_id())
+    params = {"numTrees": 1, "maxDepth": 5, "bootstrap": False}
+    got = one(models.kfold_cv(placed, ["a", "b"], "y", ["i"], fold=F.pmod("i", F.lit(2)), model="random_forest", params=params, digits=9))
+    assert len(sizes) == 2 and max(sizes) <= 12
+    given, errors = [(r["a"], r["b"], r["y"], r["i"] % 2) for r in placed.collect()], []
+    for f in (0, 1):
+        mean = {c: np.mean([y for a, b, y, g in given if g != f and (a, b) == c]) for c in {x[:2] for x in given}}
+        errors.append(np.mean([abs(y - mean[a, b]) for a, b, y, g in given if g == f]))
+    assert math.isclose(got["mae"], np.mean(errors), abs_tol=1e-8)
+
+
 def test_log_skews_of_positive_groups(spark):
     given = [("a", v) for v in (1.0, 2.0, 9.0, None)] + [("zero", v) for v in (0.0, 1.0, 5.0)] + [("same", 2.0)] * 3 + [(None, 1.0), (None, 2.0)]
     got = profile.log_skews(spark.createDataFrame(given, "g string, v double"), "g", "v").collect()
