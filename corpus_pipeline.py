@@ -30,7 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the
-    document of the smallest id; of rows that repeat its id and text, one. Rows that repeat
+    document of the smallest id, by SimHash, verified, and a join for the pairs beyond its
+    radius; of rows that repeat its id and text, one. Rows that repeat
     an id with other texts are documents of their own."""
     groups = common.stored(shingle_join.near_duplicates(docs, words=5), "groups")
     row = F.struct("doc_id", "tag")

@@ -6,6 +6,10 @@ the one and of the other (their prefixes) hold one in common. The index has a ro
 shingle of a prefix. Classes that meet in it are compared by bit maps of their sets, which
 never reject a pair at the threshold, and the pairs left by the whole sets. No pair at the
 threshold or above is missed, and none below it is linked.
+
+Before that join the classes are searched by SimHash (``simhash_links``); what it links is
+verified on the whole sets and then stands as known, and the join looks only for links
+between what is not yet connected.
 """
 
 from __future__ import annotations
@@ -21,12 +25,17 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 from .minhash import shingles
-from .simhash import bucket_runs
+from .simhash import bucket_runs, guaranteed_sets, majority_bits
+from .simhash import links as fingerprint_links
 
 SAMPLE, HOT = 65_536, 1 << 18
 """Documents (about) whose shingles are counted for the order, and the most shingles that
 go last. They decide which shingles are indexed, never which pairs are found."""
 
+RADIUS = 4
+"""Differing bits of 64 that SimHash's index finds without loss: four bytes are then equal
+in place. Pairs at 0.8 differ in ten on average, so the join must follow."""
+
 SMALL = 16
 """Members of a bucket of which all pairs are verified."""
 
@@ -209,10 +218,29 @@ def cluster_links(members: DataFrame, sets: DataFrame, threshold: Fraction, bloc
     return common.checkpoint(dealt.mapInArrow(bucket_runs(found, ("cluster", "own")), "a long, b long"))
 
 
+def simhash_links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between the classes (id, fp, ...) that SimHash finds and whose whole
+    sets reach the threshold: fingerprints of eight bytes that differ in at most ``radius``
+    bits share 8 - radius bytes in place, by which they are indexed, tallied and kept.
+
+    Classes of one fingerprint are linked to the smallest of them.
+    """
+    rep = F.min("id").alias("rep")
+    prints = common.stored(classes.filter("size > 0").groupBy("fp").agg(rep, F.count("*").alias("n")), "fingerprints")
+    near = fingerprint_links(prints.select("rep", "fp"), radius, guaranteed_sets(8, 8 - radius, min(3, 8 - radius)), 8 - radius)
+    same = classes.filter("size > 0").join(prints.filter("n > 1"), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    pairs = common.stored(near.union(same), "near")
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, texts, words)
+    return verified(pairs, sets, threshold)
+
+
 def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction, block: int = 512) -> DataFrame:
-    """Links (a, b) that connect the classes (id, doc_id, tag, size, map, keys: their
+    """Links (a, b) that connect the classes (id, doc_id, tag, size, map, fp, keys: their
     prefixes) as all links at the threshold do; ``texts`` (doc_id, tag, text) holds their texts.
 
+    SimHash comes first. Its verified links are the first edges; what they connect is not
+    compared again.
+
     Buckets of the same members are searched once. In those of up to SMALL members all
     pairs that sizes and maps leave are verified. Larger buckets that overlap form a
     cluster. Its rows, with their whole sets, are searched in blocks for links between
@@ -222,17 +250,19 @@ def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
     connected parts, all pairs between these that sizes and maps leave are verified too,
     each two blocks of the bucket in a group of their own.
     """
+    first = simhash_links(classes, texts, words, threshold)
+    joined = connected_components(first).select(F.col("id").alias("_id"), F.col("component").alias("_known"))
     keyed = classes.select("id", F.explode("keys").alias("key"))
     members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     busy = common.stored(members.filter("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "low"), "busy")
     met = common.stored(keyed.join(busy, "key").select("id", "key", "n", "low"), "met")
     maps = classes.select("id", "size", "map")
     zero = F.lit(0)
-    small = met.filter(F.col("n") <= SMALL).select("id", "key", F.col("id").alias("known"), zero.alias("own"), zero.alias("i"), zero.alias("j"))
+    small = met.filter(F.col("n") <= SMALL).join(joined, F.col("id") == F.col("_id"), "left").select("id", "key", F.coalesce("_known", "id").alias("known"), zero.alias("own"), zero.alias("i"), zero.alias("j"))
     pairs = common.stored(candidates(small.join(maps, "id"), threshold), "pairs")
     large = met.filter(F.col("n") > SMALL)
     sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct(), classes, texts, words)
-    edges = verified(pairs, sets, threshold)
+    edges = common.checkpoint(first.union(verified(pairs, sets, threshold)))
     if not large.limit(1).count():
         return edges
     clusters = connected_components(large.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "cluster")
@@ -280,11 +310,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             keys = [prefix(s, hot, rank, threshold) for s in sets]
             ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingle_map(s).tobytes() for s in sets], pa.binary()), lists], ["doc_id", "tag", "cls", "size", "map", "keys"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingle_map(s).tobytes() for s in sets], pa.binary()), pa.array([majority_bits(s[:, None]).tobytes() for s in sets], pa.binary()), lists], ["doc_id", "tag", "cls", "size", "map", "fp", "keys"])
 
-    found = common.stored(rows.mapInArrow(sign, "doc_id long, tag long, cls binary, size long, map binary, keys array<long>"), "prefixes")
-    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "map", "keys")])
-    classes = common.stored(classes.select("cls", "rep.doc_id", "rep.tag", "size", "map", "keys", F.monotonically_increasing_id().alias("id")), "classes")
+    found = common.stored(rows.mapInArrow(sign, "doc_id long, tag long, cls binary, size long, map binary, fp binary, keys array<long>"), "prefixes")
+    classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "map", "fp", "keys")])
+    classes = common.stored(classes.select("cls", "rep.doc_id", "rep.tag", "size", "map", "fp", "keys", F.monotonically_increasing_id().alias("id")), "classes")
     components = connected_components(links(classes, rows, words, threshold, block))
     known = classes.select("cls", F.col("id").alias("_id")).join(components, F.col("_id") == F.col("id"), "left").select("cls", F.coalesce("component", "_id").alias("component_id"))
     return found.select("doc_id", "tag", "cls").join(known, "cls").select("doc_id", "tag", "component_id")

@@ -698,6 +698,19 @@ def test_pipeline_finds_every_near_copy(spark):
     assert sorted(left) == list(range(0, 800, 2))
 
 
+def test_pipeline_links_by_simhash_first(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(5)
+    pairs = []
+    for i in range(0, 40, 2):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 400)]
+        pairs += [(i, " ".join(words)), (i + 1, " ".join(words[:-1] + ["other"]))]
+    monkeypatch.setattr(shingle_join, "candidates", lambda *a: spark.createDataFrame([], "a long, b long"))  # nothing by the join
+    left = [r.doc_id for r in cp.drop_near_copies(spark, pipeline_docs(spark, pairs), "").collect()]
+    assert sorted(left) == list(range(0, 40, 2))
+
+
 def test_pipeline_keeps_what_is_no_near_copy(spark):
     import corpus_pipeline as cp
 
