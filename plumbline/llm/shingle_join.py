@@ -234,12 +234,13 @@ def simhash_links(classes: DataFrame, texts: DataFrame, words: int, threshold: F
     return verified(pairs, sets, threshold)
 
 
-def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction, block: int = 512) -> DataFrame:
-    """Links (a, b) that connect the classes (id, doc_id, tag, size, map, fp, keys: their
-    prefixes) as all links at the threshold do; ``texts`` (doc_id, tag, text) holds their texts.
+def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction, block: int = 512, first: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect the classes (id, doc_id, tag, size, map, keys: prefixes or
+    bands) as all links of classes that share a key do; ``texts`` (doc_id, tag, text) holds
+    their texts.
 
-    SimHash comes first. Its verified links are the first edges; what they connect is not
-    compared again.
+    ``first``: verified links (a, b) known before, such as SimHash's. They are the first
+    edges; what they connect is not compared again.
 
     Buckets of the same members are searched once. In those of up to SMALL members all
     pairs that sizes and maps leave are verified. Larger buckets that overlap form a
@@ -250,19 +251,22 @@ def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
     connected parts, all pairs between these that sizes and maps leave are verified too,
     each two blocks of the bucket in a group of their own.
     """
-    first = simhash_links(classes, texts, words, threshold)
-    joined = connected_components(first).select(F.col("id").alias("_id"), F.col("component").alias("_known"))
     keyed = classes.select("id", F.explode("keys").alias("key"))
     members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     busy = common.stored(members.filter("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "low"), "busy")
     met = common.stored(keyed.join(busy, "key").select("id", "key", "n", "low"), "met")
     maps = classes.select("id", "size", "map")
     zero = F.lit(0)
-    small = met.filter(F.col("n") <= SMALL).join(joined, F.col("id") == F.col("_id"), "left").select("id", "key", F.coalesce("_known", "id").alias("known"), zero.alias("own"), zero.alias("i"), zero.alias("j"))
+    small = met.filter(F.col("n") <= SMALL).withColumn("known", F.col("id"))
+    if first is not None:
+        joined = connected_components(first).select(F.col("id").alias("_id"), F.col("component").alias("_known"))
+        small = small.join(joined, F.col("id") == F.col("_id"), "left").withColumn("known", F.coalesce("_known", "id"))
+    small = small.select("id", "key", "known", zero.alias("own"), zero.alias("i"), zero.alias("j"))
     pairs = common.stored(candidates(small.join(maps, "id"), threshold), "pairs")
     large = met.filter(F.col("n") > SMALL)
     sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct(), classes, texts, words)
-    edges = common.checkpoint(first.union(verified(pairs, sets, threshold)))
+    edges = verified(pairs, sets, threshold)
+    edges = edges if first is None else common.checkpoint(first.union(edges))
     if not large.limit(1).count():
         return edges
     clusters = connected_components(large.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "cluster")
@@ -315,6 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     found = common.stored(rows.mapInArrow(sign, "doc_id long, tag long, cls binary, size long, map binary, fp binary, keys array<long>"), "prefixes")
     classes = found.groupBy("cls").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "map", "fp", "keys")])
     classes = common.stored(classes.select("cls", "rep.doc_id", "rep.tag", "size", "map", "fp", "keys", F.monotonically_increasing_id().alias("id")), "classes")
-    components = connected_components(links(classes, rows, words, threshold, block))
+    first = simhash_links(classes, rows, words, threshold)
+    components = connected_components(links(classes, rows, words, threshold, block, first))
     known = classes.select("cls", F.col("id").alias("_id")).join(components, F.col("_id") == F.col("id"), "left").select("cls", F.coalesce("component", "_id").alias("component_id"))
     return found.select("doc_id", "tag", "cls").join(known, "cls").select("doc_id", "tag", "component_id")

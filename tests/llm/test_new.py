@@ -134,6 +134,25 @@ def test_superminhash_large_group(spark):
     assert {r.component_id for r in out} == {5} and sum(r.kept for r in out) == 1
 
 
+def test_op11_query(spark, tmp_path):
+    given = [(r[0], r[1]) for r in rows()]
+    spark.createDataFrame(given, "doc_id long, text string").withColumn("fp", F.lit("f")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op11_superminhash(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert collections.Counter(map(tuple, out.collect())) == expected_groups(given, 5, 85, 100)
+
+
+def test_links_known_before(spark):
+    texts = [(i, i, " ".join([*(f"w{x}" for x in range(60)), f"z{i}"])) for i in range(3)]
+    sets = [shingle_join.shingle_set(t.encode(), 5) for _, _, t in texts]
+    table = [(i, i, i, len(s), bytearray(shingle_join.shingle_map(s).tobytes()), [1]) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(table, "id long, doc_id long, tag long, size long, map binary, keys array<long>")
+    whole = spark.createDataFrame(texts, "doc_id long, tag long, text string")
+    pairs = lambda *first: sorted(map(tuple, shingle_join.links(classes, whole, 5, Fraction(4, 5), 512, *first).collect()))
+    assert pairs() == [(0, 1), (0, 2), (1, 2)]
+    assert pairs(spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")) == [(0, 1), (1, 2)]
+
+
 def test_forest(spark):
     edges = [(1, 2), (2, 3), (3, 1), (7, 9), (9, 8), (5, 5), (4, 1)]
     out = superminhash.forest(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()
