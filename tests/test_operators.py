@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 from plumbline.functions import dist, features, order
 from plumbline.functions.filters import FilterSpec, exclude_any, filter_all, nan_to_null
 from plumbline.operators import checks, clean, compare, encode, graph, groups, joins, models, profile, regress, sample
+from plumbline.plans import analysis
 from plumbline.sources import tables
 
 
@@ -569,6 +571,19 @@ def test_weighted_neighbours_at_distance_zero_in_other_blocks(spark):
     assert got == {i: (sum(range(i // 6 * 6, i // 6 * 6 + 6)) - i) / 5 for i in range(60)}  # the five of equal vectors alone
 
 
+@pytest.mark.parametrize("name", ["knn_weighted", "knn_predict"])
+def test_knn_of_vectors_close_together_as_sql(spark, tmp_path, name):
+    rng = np.random.default_rng(3)
+    base = rng.random((6, 4))
+    # groups of vectors that are 0 to 5e-9, or less than the 12 places that are kept, apart
+    given = [(100 * g + i, [float(x) for x in base[g] + rng.random(4) * (3e-9 if g % 2 else 4e-13) * (i > 0)], int(rng.integers(0, 5))) for g in range(6) for i in range(9)]
+    spark.createDataFrame(given, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(duck.execute(analysis.ORACLES[name]).fetchall())
+    assert {r["vec_id"]: r["prediction"] for r in analysis.QUERIES[name](spark, str(tmp_path)).collect()} == want and len(want) == 6
+
+
 def test_explain_any_model(spark):
     x, y, df = _line_rows(spark, 60)
     fitted = models.train_model(df.dropna(), ["a", "b", "c"], "y")
