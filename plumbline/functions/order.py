@@ -42,12 +42,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+RANGE_ROWS = 1 << 20
+"""Rows of a range of a global order, about: large tables have more ranges than the session
+has shuffle partitions, so that what a task reads does not grow with the table."""
+
+
 def global_index(df: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
     """Add the row's place (from 0) in the order given, which should have no ties.
 
     Rows are sorted by ranges over all tasks; only a count per range meets in one.
     """
-    ordered = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranges = -(-df.count() // RANGE_ROWS)
+    dealt = (ranges, *order) if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else order
+    ordered = checkpoint(df.repartitionByRange(*dealt).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.call_function("shiftright", F.col("_at"), F.lit(33))
     counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

@@ -571,6 +571,26 @@ def test_weighted_neighbours_at_distance_zero_in_other_blocks(spark):
     assert got == {i: (sum(range(i // 6 * 6, i // 6 * 6 + 6)) - i) / 5 for i in range(60)}  # the five of equal vectors alone
 
 
+def test_ranges_of_a_global_order_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(order, "RANGE_ROWS", 50)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    kept = []
+    checkpoint = order.checkpoint
+    monkeypatch.setattr(order, "checkpoint", lambda d: kept.append(checkpoint(d)) or kept[-1])
+    placed = order.global_index(df, "x").collect()
+    assert sorted((r["x"], r["index"]) for r in placed) == [(i, i) for i in range(1000)]
+    assert kept[0].rdd.getNumPartitions() == 20
+    assert kept[0].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 150
+
+
+def test_model_search_reads_stored_columns(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 5), 2.0 * (i % 5), "k") for i in range(40)], "x double, y double, other string")
+    read, train = [], models.train_model
+    monkeypatch.setattr(models, "train_model", lambda d, *a: read.append((d.columns, len(d.inputFiles()) > 0)) or train(d, *a))
+    assert models.model_search(df, df, ["x"], "y", {"linear": {"regParam": [0.0]}}, 1, 1, 1).count() == 1
+    assert read == [(["x", "y"], True)]
+
+
 @pytest.mark.parametrize("name", ["knn_weighted", "knn_predict"])
 def test_knn_of_vectors_close_together_as_sql(spark, tmp_path, name):
     rng = np.random.default_rng(3)
