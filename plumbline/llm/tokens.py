@@ -75,7 +75,7 @@ class CachedEncoder:
         letters = [x for x in new if self._letters(x)]
         if letters:
             # words of letters stand apart in one text: an end (or a blank in front) shows where
-            ids = np.array(self.tokenizer.encode(" " + " ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.frombuffer(self._ids([" " + " ".join(letters)])[0], "<u4")
             edge = np.flatnonzero(self.edges[ids])
             if len(edge) == len(letters):
                 cuts = [0, *(edge + 1).tolist()] if self.kind == "word" else [*edge.tolist(), len(ids)]

@@ -76,6 +76,20 @@ def test_rank_coding():
         next(token_store.read_blocks(io.BytesIO(b"x" * 20), np.zeros(1)))
 
 
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder_asks_for_ids_only(name, kind):
+    made = tokens.CachedEncoder(public_tokenizers.path(name), kind)
+
+    class Fast:  # without the slower call, which also finds offsets and texts
+        def __getattr__(self, what, real=made.tokenizer):
+            assert what != "encode"
+            return getattr(real, what)
+
+    want = made.tokenizer.encode("some words stand here", add_special_tokens=False).ids
+    made.tokenizer = Fast()
+    assert np.frombuffer(made.encode(["some words stand here"])[0], "<u4").tolist() == want
+
+
 def test_token_files(spark, docs, nothing):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     path = common.new_path(spark, "t")
