@@ -1,10 +1,10 @@
 """Exact top-k by inner product over an inverted index of vector components, by MaxScore.
 
-A term is a dimension and a sign; its postings are the vectors whose component has that
-sign. For a query, terms of positive contribution are ordered by their greatest possible
-one. Those of the smallest bounds, as long as their sum stays below the k-th best score so
-far, are non-essential: a vector found in none but them cannot enter. Essential postings
-are traversed; what they find is probed for the other terms while it can still compete.
+A term is a dimension; its postings are the vectors whose component there is not zero. For
+each query, terms are ordered by the greatest contribution they can make. Those of the
+smallest bounds, as long as their sum stays below (a part of) the k-th best score so far,
+are non-essential: a vector found in none but them cannot enter. Essential postings are
+traversed; what they find is probed for the other terms while it can still compete.
 """
 
 from __future__ import annotations
@@ -17,80 +17,97 @@ from pyspark.sql import functions as F
 from . import common
 
 
+DENSE = 8
+"""A dimension is dense in a block where one vector in so many has a posting of it."""
+
+SLACK = 4
+"""What is left out at first can add no more than this part of the threshold. That leaves
+out fewer terms than could be, and far fewer vectors to probe for them."""
+
+TOGETHER = 128
+"""Queries searched at once."""
+
+
 class Shard:
-    """Postings of one shard of vectors, sorted by id, in blocks. With ``exact`` all sums are
-    Python's whole numbers, for products beyond 64 bits."""
+    """Postings of one shard of vectors, sorted by id, in blocks, searched for many queries
+    at once.
+
+    The postings of a block's dense dimensions, of either sign, are rows of a matrix, so
+    that traversing them for all queries is one product; others are lists of vectors. All
+    sums are whole numbers, in the shortest type exact for them, beyond 64 bits Python's.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int = 4096, exact: bool = False):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, block: int = 4096):
         order = np.argsort(ids, kind="stable")
         self.largest = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
-        self.kind = object if exact else np.int64
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order].T.astype(object if exact else np.int32 if self.largest < 1 << 31 else np.int64))
-        self.wide = None
+        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order].T)
         first = min(512, block)  # a small block first, so that the threshold rises early
-        cuts = [0, *range(first, len(ids), block), len(ids)] if len(ids) > first else [0, len(ids)]
-        self.blocks = []
-        for a, b in zip(cuts, cuts[1:]):
-            part = self.vectors[:, a:b]
-            plus = [np.flatnonzero(row > 0) for row in part]
-            minus = [np.flatnonzero(row < 0) for row in part]
-            impact = ([row[p] for row, p in zip(part, plus)], [row[p] for row, p in zip(part, minus)])
-            self.blocks.append((a, part, (plus, minus), impact, part.max(1, initial=0), part.min(1, initial=0)))
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, score descending, then id; without ``own``.
-        Scores beyond 64 bits count as the nearest number of 64 bits."""
-        if self.kind is not object and self.largest * sum(map(abs, query.tolist())) >= 1 << 62:
-            if self.wide is None:
-                self.wide = Shard(self.ids, self.vectors.T, exact=True)
-            return self.wide.search(query, own, k)
-        best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        used = np.flatnonzero(query)
-        q = query.astype(self.kind)
-        for at, part, postings, impacts, top, low in self.blocks:
-            n = part.shape[1]
-            bound = np.maximum(q[used] * top[used], q[used] * low[used])
-            order = used[np.argsort(-bound, kind="stable")]
-            bound = np.maximum(np.sort(bound)[::-1], 0)
-            rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0]])  # what terms from here on can add
-            floor = best[-1] if len(best) == k else None
-            # essential: terms until the bounds of the rest no longer reach the threshold
-            essential = len(order) if floor is None else int(np.argmax(rest < floor)) if (rest < floor).any() else len(order)
-            if floor is not None and floor <= 0:
-                essential = len(order)
-            score = np.zeros(n, dtype=self.kind)
-            if essential == len(order) and (floor is None or floor <= 0):
-                score = q[order] @ part[order]
-                alive = np.arange(n)
-            else:
-                seen = np.zeros(n, dtype=bool)
-                for t in order[:essential].tolist():
-                    sign = int(q[t] < 0)
-                    where = postings[sign][t]
-                    score[where] += q[t] * impacts[sign][t]
-                    seen[where] = True
-                alive = np.flatnonzero(seen & (score + rest[essential] >= floor))
-                # essential terms of the other sign can only take away
-                for t in order[:essential].tolist():
-                    if not len(alive):
-                        break
-                    value = q[t] * part[t, alive]
-                    score[alive] += np.minimum(value, 0)
-                    alive = alive[score[alive] + rest[essential] >= floor]
-                for j, t in enumerate(order[essential:].tolist(), essential + 1):
-                    if not len(alive):
-                        break
-                    score[alive] += q[t] * part[t, alive]
-                    alive = alive[score[alive] + rest[j] >= floor]
-            ids = self.ids[at + alive]
-            keep = ids != own
-            found = score[alive][keep]
-            if self.kind is object:
-                found = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in found], dtype=np.int64)
-            best_id, best = np.concatenate([best_id, ids[keep]]), np.concatenate([best, found])
-            pick = np.lexsort((best_id, ~best))[:k]  # ~x descends as -x does, and has no overflow
-            best_id, best = best_id[pick], best[pick]
-        return best_id, best
+        self.cuts = [0, *range(first, len(ids), block), len(ids)] if len(ids) > first else [0, len(ids)]
+        self.held: dict[type, list] = {}
+
+    def _blocks(self, kind: type) -> list:
+        if kind not in self.held:
+            self.held[kind] = out = []
+            for a, b in zip(self.cuts, self.cuts[1:]):
+                part = self.vectors[:, a:b].astype(kind)
+                filled = np.count_nonzero(part, axis=1)
+                dense = filled * DENSE >= b - a
+                lists = [(t, where, part[t, where]) for t in np.flatnonzero(~dense & (filled > 0)).tolist() for where in [np.flatnonzero(part[t])]]
+                out.append((self.ids[a:b], part, np.flatnonzero(dense), lists, part.max(1, initial=0), part.min(1, initial=0)))
+        return self.held[kind]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of the k best for each row of ``queries``, by
+        query, score descending, then id; without the query's ``own`` id. Scores beyond 64
+        bits count as the nearest number of 64 bits."""
+        most = self.largest * max((sum(map(abs, q)) for q in queries.tolist()), default=0)
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+        found = [(np.zeros(0, np.int64),) * 3]
+        for at in range(0, len(queries), TOGETHER):
+            row, ids, score = self._search(queries[at : at + TOGETHER].astype(kind), own[at : at + TOGETHER], k, kind)
+            found.append((row + at, ids, score))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _search(self, q: np.ndarray, own: np.ndarray, k: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, wide = q.shape
+        row, best_id, best = (np.zeros(0, np.int64),) * 3
+        floor, full = np.zeros(n, dtype=kind), np.zeros(n, dtype=bool)  # the k-th best score so far, where there is one
+        each = np.arange(n)
+        for ids, part, dense, lists, top, low in self._blocks(kind):
+            bound = np.maximum(q * top, q * low)
+            order = np.argsort(-bound, axis=1, kind="stable")
+            rest = np.zeros((n, wide + 1), dtype=kind)  # what terms from here on can add
+            rest[:, :wide] = np.cumsum(np.take_along_axis(bound, order, 1)[:, ::-1], axis=1)[:, ::-1]
+            # essential: terms until the rest can add but a part of the threshold
+            essential = np.where(full & (floor > 0), (rest > (floor // SLACK)[:, None]).sum(1), wide)
+            sorted_q = np.zeros((n, wide + 1), dtype=kind)
+            sorted_q[:, :wide] = np.take_along_axis(q, order, 1)
+            traversed = np.zeros((n, wide), dtype=kind)
+            np.put_along_axis(traversed, order, np.where(np.arange(wide) < essential[:, None], sorted_q[:, :wide], 0), 1)
+            score = traversed[:, dense] @ part[dense]
+            for t, where, impact in lists:
+                asks = np.flatnonzero(traversed[:, t])
+                score[asks[:, None], where] += traversed[asks, t][:, None] * impact
+            at, vector = np.nonzero(~full[:, None] | (score >= (floor - rest[each, essential])[:, None]))
+            score = score[at, vector]
+            # what can still compete is probed for the others, one after another
+            order = np.concatenate([order, np.zeros((n, 1), order.dtype)], 1)
+            for j in range(wide - int(essential.min(initial=wide))):
+                place = np.minimum(essential[at] + j, wide)
+                score = score + sorted_q[at, place] * part[order[at, place], vector]
+                alive = np.flatnonzero(~full[at] | (score + rest[at, np.minimum(place + 1, wide)] >= floor[at]))
+                at, vector, score = at[alive], vector[alive], score[alive]
+            other = ids[vector] != own[at]
+            at, vector, score = at[other], vector[other], score[other]
+            if kind is object:
+                score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score], dtype=np.int64)
+            row, best_id, best = np.concatenate([row, at]), np.concatenate([best_id, ids[vector]]), np.concatenate([best, score.astype(np.int64)])
+            pick = np.lexsort((best_id, ~best, row))  # ~x descends as -x does, and has no overflow
+            pick = pick[np.arange(len(pick)) - np.searchsorted(row[pick], row[pick]) < k]
+            row, best_id, best = row[pick], best_id[pick], best[pick]
+            full = np.bincount(row, minlength=n) >= k
+            floor[full] = best[np.searchsorted(row, each[full], "right") - 1]
+        return row, best_id, best
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -155,11 +172,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows: in
                 q = np.frombuffer(q_m, "<i8").reshape(len(a), -1)
                 wide = shard.vectors.shape[0]
                 q = q[:, :wide] if q.shape[1] >= wide else np.pad(q, ((0, 0), (0, wide - q.shape[1])))
-                rows = [(qid, *shard.search(v, qid, k)) for qid, v in zip(a.tolist(), q)]
-                yield pa.record_batch(
-                    [pa.array(np.repeat(a, [len(r[1]) for r in rows])), pa.array(np.concatenate([r[1] for r in rows]), pa.int64()), pa.array(np.concatenate([r[2] for r in rows]), pa.int64())],
-                    ["query_id", "vec_id", "score"],
-                )
+                row, found, score = shard.search(q, a, k)
+                yield pa.record_batch([pa.array(a[row]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = met.sortWithinPartitions("shard").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -143,6 +144,25 @@ def test_top_k_of_large_components(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_searches_queries_together():
+    """Many queries against a shard take no more than three plain products of whole numbers;
+    one after another they took over five."""
+    rng = np.random.default_rng(8)
+    v = np.floor(rng.normal(0, 8, (8192, 64))).astype(np.int64)
+    v[rng.random(v.shape) < np.linspace(0, 0.99, 64)] = 0
+    v[100] = v[20]
+    ids = rng.permutation(len(v))
+    t = time.process_time()
+    row, found, scores = maxscore.Shard(ids, v).search(v[::10], ids[::10], 20)
+    took = time.process_time() - t
+    t = time.process_time()
+    plain = v[::10] @ v.T
+    assert took < 3 * (time.process_time() - t)
+    for k, (i, s) in enumerate(zip(ids[::10], plain)):
+        best = [x for x in np.lexsort((ids, -s)) if ids[x] != i][:20]
+        assert found[row == k].tolist() == ids[best].tolist() and scores[row == k].tolist() == s[best].tolist()
+
+
 # ---- 3 ----
 
 
