@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_MARKS = ".,!?"
+_MARKS = string.punctuation
 _SIGNS = re.compile(r"[!-/:-@\[-`{-~]*")
 _cached: dict[tuple[str, str], CachedEncoder] = {}
 
@@ -39,6 +40,7 @@ class CachedEncoder:
         self.added = sorted((t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kind, self.most, self.longest = kind, most, longest
         self.known: dict[str, bytes] = {}
+        self.plain: set[str] = set()  # letters beyond ASCII that stay letters when normalised
         # pieces that end a word, or that begin with a blank
         pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.edges = np.array([x.endswith("</w>") if kind == "word" else x.startswith("Ġ") for x in pieces])
@@ -48,13 +50,13 @@ class CachedEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         new = [x for x in chunks if x not in self.known and len(x) <= self.longest]
-        # both tokenizers part letters from a mark behind them
-        marked = [x for x in new if x[-1:] in _MARKS and self._letters(x[:-1])]
-        if marked:
-            bases = {x: self._base(x[:-1]) for x in marked}
+        # both tokenizers part letters from the marks behind them
+        bases = {x: self._base(word) for x in new if (word := x.rstrip(_MARKS)) != x and self._letters(word)}
+        if bases:
             self._add([x for x in {*bases.values()} if x not in self.known])
-            signs = dict(zip(_MARKS, self._ids(list(_MARKS))))
-            self.known.update((x, self.known[base] + signs[x[-1]]) for x, base in bases.items() if self.known.get(base))
+            tails = [*{x[len(base) :] for x, base in bases.items()}]
+            signs = dict(zip(tails, self._ids(tails)))
+            self.known.update((x, self.known[base] + signs[x[len(base) :]]) for x, base in bases.items() if self.known.get(base))
             new = [x for x in new if x not in bases]
         lower = {x: base for x in new if (base := self._base(x)) != x}
         self._add([x for x in {*new, *lower.values()} if x not in self.known and x not in lower])
@@ -63,8 +65,13 @@ class CachedEncoder:
     def _letters(self, word: str) -> bool:
         """Whether a word is letters only, also as the tokenizer normalises it: a letter that
         becomes a letter and a mark is parted from what follows in other places."""
+        if not word.isalpha():
+            return False
+        if word.isascii() or self.plain.issuperset(word):
+            return True
         rule = self.tokenizer.normalizer
-        return word.isalpha() and (rule is None or word.isascii() or rule.normalize_str(word).isalpha())
+        self.plain.update(x for x in {*word} - self.plain if rule is None or rule.normalize_str(x).isalpha())
+        return self.plain.issuperset(word)
 
     def _base(self, word: str) -> str:
         """What has the same ids, where the tokenizer ignores case."""

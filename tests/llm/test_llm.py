@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import re
+import string
 import time
 import zlib
 from fractions import Fraction
@@ -91,6 +92,28 @@ def test_encoder_asks_for_ids_only(name, kind):
     assert np.frombuffer(made.encode(["some words stand here"])[0], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_encoder_parts_marks_from_words(name, kind):
+    """A word with any marks behind it is encoded once, and its marks by themselves."""
+    made = tokens.CachedEncoder(public_tokenizers.path(name), kind)
+    real, asked = made.tokenizer, []
+
+    class Counted:
+        def __getattr__(self, what):
+            return getattr(real, what)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split())
+            return real.encode_batch_fast(texts, **options)
+
+    made.tokenizer = Counted()
+    tails = ["###", "$$$,", ".***", "!!", "'", "'.", "<|", "_", ")\"", "...", "%%%"]
+    words = ["blümchen", "zebra", "ŉx", "ΐo", "ड़a", "word"]
+    texts = ["x " + " ".join(w + t for w in words for t in tails)] + [f"x {w}{c}{d} {c}{w}{d}'s" for w in words for c in string.punctuation for d in ".'#"]
+    assert made.encode(texts) == [np.array(real.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert asked.count("zebra") == 1 and not any("zebra" + t in asked for t in tails)
+
+
 def test_token_files(spark, docs, nothing):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     path = common.new_path(spark, "t")
