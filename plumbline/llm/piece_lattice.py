@@ -1,25 +1,27 @@
-"""SentencePiece encoding and decoding as relational work.
+"""SentencePiece encoding and decoding over a lattice of pieces.
 
 A text is marked as the model asks (a mark before it and for every blank) and cut into
 words before each mark that follows another character; no piece crosses such a cut. The
-distinct words are exploded into substrings of bounded length and joined to the piece
-table: these are the lattice's edges, grouped by word and folded by Spark's higher-order
-``aggregate``.
+distinct words of a batch of texts are laid one after another; their substrings, ever
+longer, are joined to the piece table's beginnings, and those that are pieces are the
+lattice's edges, folded for all words of the batch at once by numpy. What a task holds is
+bounded by its batch, and no word leaves its task.
 
-Objective "viterbi" folds for the best sum of scores, as unigram models do: edges come
-by their end, and each extends the best segmentation up to its start. The scores of a
+Objective "viterbi" folds for the best sum of scores, as unigram models do: edges come by
+their end, and each extends the best segmentation up to its start. The scores of a
 byte-pair model are merge orders, whose best sum is another segmentation than the model's
-own; for the model's own ids "merges" folds the same edges in merge order: each edge whose
-two parts are the current symbols joins them. A symbol arises from the merges of its own
-characters alone; where these take ever lower scores, one pass over the edges by score
-makes the model's merges. Words that hold a piece for which this is not so search the
-next merge anew each time.
+own; for the model's own ids "merges" joins, in each word, the two neighbouring symbols
+whose piece has the best score (of equal ones the first), until no two make a piece.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -27,223 +29,238 @@ MARK = "▁"
 
 
 def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
-    """(piece, id, score, ordered, kind) of a model; kind: normal, byte, control or unknown.
-
-    ``ordered``: merging the piece's own characters, best score first, takes ever lower
-    scores and ends with the piece. Bounded by the vocabulary, so it may be broadcast.
-    """
+    """(piece, id, score, kind) of a model; kind: normal, byte, control or unknown.
+    Bounded by the vocabulary, so it may be broadcast."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
     kinds = ["unknown" if m.is_unknown(i) else "control" if m.is_control(i) else "byte" if m.is_byte(i) else "normal" for i in range(m.get_piece_size())]
-    score = {m.id_to_piece(i): m.get_score(i) for i, k in enumerate(kinds) if k == "normal"}
-
-    def ordered(p: str) -> bool:
-        parts, last, was = list(p), float("inf"), ""
-        while len(parts) > 1:
-            best = max(((score[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in score), default=None)
-            if best is None:
-                return False
-            k = -best[1]
-            made = parts[k] + parts[k + 1]
-            if best[0] > last or best[0] == last and made != was:
-                return False
-            last, was = best[0], made
-            parts[k : k + 2] = [made]
-        return True
-
-    rows = [(m.id_to_piece(i), i, float(m.get_score(i)), k != "normal" or ordered(m.id_to_piece(i)), k) for i, k in enumerate(kinds)]
-    return spark.createDataFrame(rows, "piece string, id int, score double, ordered boolean, kind string")
-
-
-def marked_words(text: Column) -> Column:
-    """The words of a text, each with its marks in front. An empty text has none."""
-    body = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), " ", MARK)
-    return F.when(F.length(body) > 0, F.regexp_extract_all(F.concat(F.lit(MARK), body), F.lit(f"({MARK}+[^{MARK}]*)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    rows = [(m.id_to_piece(i), i, float(m.get_score(i)), k) for i, k in enumerate(kinds)]
+    return spark.createDataFrame(rows, "piece string, id int, score double, kind string")
 
 
 UNKNOWN_COST = 1e10
 """Of a character in no piece, so that it stands alone only where no piece covers it."""
 
-
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, edges): for distinct ``words`` (word), all pieces in them as structs of end
-    (exclusive), start (from 1), cost (the score negated), id and ordered, by their ends.
-    A character in no piece is an edge with id -1.
-
-    The substrings of a word stay in its task, so grouping them moves nothing.
-    """
-    normal = pieces.filter("kind = 'normal'").select("piece", "id", "score", "ordered")
-    longest = normal.agg(F.max(F.length("piece"))).first()[0] or 1
-    start = F.sequence(F.lit(1), F.length("word"))
-    parts = words.select("word", F.explode(start).alias("start")).select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("n"))
-    parts = parts.select("word", "start", "n", F.substring(F.col("word"), F.col("start"), F.col("n")).alias("piece"))
-    met = parts.join(F.broadcast(normal), "piece", "left").filter("id is not null or n = 1")  # bounded by the vocabulary
-    edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", F.coalesce(-F.col("score"), F.lit(UNKNOWN_COST)).alias("cost"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("ordered", F.lit(True)).alias("ordered"))
-    return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-def _merged(ends: Column, e: Column) -> Column:
-    """The symbols' ends after edge e joined its two parts."""
-    middle = F.element_at(ends, e["start"])
-    return F.transform(ends, lambda x, i: F.when(i + 1 == e["start"], e["end"]).when(i + 1 == middle, F.lit(0)).otherwise(x))
-
-
-def _open(ends: Column, e: Column) -> Column:
-    """Whether the edge spans exactly two current symbols."""
-    middle = F.element_at(ends, e["start"])
-    return (middle > 0) & (middle < e["end"]) & (F.element_at(ends, F.greatest(middle, F.lit(1))) == e["end"])
-
-
-BITS = 60
-"""Characters of the words whose symbols are kept as bits of a long; longer ones take arrays."""
-
-
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)
-
-
-def _merged_bits(edges: Column) -> Column:
-    """Places where the symbols of a word of at most BITS characters begin, and its end,
-    after one pass over the edges by score. A bit stands for each such place."""
-    n = F.length("word")
-    many = F.transform(
-        F.filter(edges, lambda e: e["end"] - e["start"] > 1),
-        lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), _bit(e["start"]).bitwiseOR(_bit(e["end"])).alias("outer"), (_bit(e["end"] + 1) - _bit(e["start"])).alias("all")),
-    )
-
-    def join(at, e):
-        # two symbols: both outer places are set, and one between them
-        two = (at.bitwiseAND(e["outer"]) == e["outer"]) & (F.bit_count(at.bitwiseAND(e["all"])) == 3)
-        return F.when(two, at.bitwiseAND(F.bitwise_not(e["all"])).bitwiseOR(e["outer"])).otherwise(at)
-
-    def places(at):
-        return F.filter(F.sequence(F.lit(1), n + 1), lambda i: at.bitwiseAND(_bit(i)) != 0)
-
-    return F.aggregate(F.sort_array(many), _bit(n + 2) - 1, join, places)
-
-
-def _merge_cuts(edges: DataFrame) -> DataFrame:
-    """``edges`` with cuts: the model's own merges."""
-    n = F.length("word")
-    first = F.transform(F.sequence(F.lit(1), n), lambda i: i + 1)
-    many = F.sort_array(F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
-
-    def places(ends):
-        starts = F.filter(F.transform(ends, lambda e, i: F.when(e > 0, i + 1).otherwise(0)), lambda i: i > 0)
-        return F.concat(starts, F.array(n + 1))
-
-    one_pass = F.aggregate(many, first, lambda ends, e: F.when(_open(ends, e), _merged(ends, e)).otherwise(ends), places)
-
-    def anew(edges):
-        def step(ends, _):
-            best = F.array_min(F.filter(edges, lambda e: _open(ends, e)))
-            return F.when(best.isNull(), ends).otherwise(F.transform(F.array(best), lambda e: _merged(ends, e))[0])
-
-        return F.aggregate(F.sequence(F.lit(1), n), first, step, places)
-
-    ordered = F.forall("edges", lambda e: e["ordered"])
-    found = F.when(ordered & (n <= BITS), _merged_bits(F.col("edges"))).when(ordered, one_pass).otherwise(F.transform(F.array(many), anew)[0])
-    pairs = F.transform(F.array(found), lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
-    return edges.withColumn("cuts", pairs[0])
-
-
-def _best_cuts(edges: DataFrame) -> DataFrame:
-    """``edges`` with cuts: those of least cost. Ties go to the longest last piece."""
-    n = F.length("word")
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-    def extend(best, e):
-        # best[p]: cost of the characters before place p, and the start of the last piece.
-        # Edges of one end come longest first, so an equal cost changes nothing
-        cost = F.element_at(best, e["start"])["cost"] + e["cost"]
-        new = F.array(F.struct(cost.alias("cost"), e["start"].alias("start")))
-        better = cost < F.element_at(best, -1)["cost"]
-        return F.when(F.size(best) < e["end"], F.concat(best, new)).when(better, F.concat(F.slice(best, 1, F.size(best) - 1), new)).otherwise(best)
-
-    def cuts_of(best):
-        def back(cuts, _):
-            at = F.when(F.size(cuts) > 0, F.get(cuts, F.lit(0))["start"]).otherwise(n + 1)
-            cut = F.struct(F.element_at(best, at)["start"].alias("start"), at.alias("end"))
-            return F.when(at < 2, cuts).otherwise(F.concat(F.array(cut), cuts))
-
-        return F.aggregate(F.sequence(F.lit(1), n), none, back)
-
-    # the way back is the fold's last step: as a column of its own it would fold anew for each cut
-    return edges.withColumn("cuts", F.aggregate("edges", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start"))), extend, cuts_of))
+SHORT = 60
+"""Longer words are cut where two neighbours stand together in no piece: no edge of the
+lattice crosses such a place, so a word's ids are those of its parts, one after another."""
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in ascending ``keys``, -1 for what is not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+class Pieces:
+    """A piece table as arrays. Symbols are the normal pieces and the single characters in
+    them; beginnings of pieces are numbered by length, keyed by what they extend."""
+
+    def __init__(self, rows: list):
+        normal = [r for r in rows if r["kind"] == "normal" and r["piece"]]
+        byte = [r["id"] for r in rows if r["kind"] == "byte" and r["piece"] == "<0x00>"]
+        self.base = byte[0] if byte else None
+        self.unknown = next((r["id"] for r in rows if r["kind"] == "unknown"), 0)
+        names = {r["piece"]: k for k, r in enumerate(normal)}
+        score = [r["score"] for r in normal]
+        self.ids = [r["id"] for r in normal]
+        for c in sorted({c for r in normal for c in r["piece"]} - names.keys()):
+            names[c] = len(names)
+            score.append(-UNKNOWN_COST)
+            self.ids.append(-1)
+        self.ids = np.array([*self.ids, -1], dtype=np.int64)  # the last: a character in no piece
+        self.cost = -np.array([*score, -UNKNOWN_COST])
+        self.order = np.unique(self.cost, return_inverse=True)[1].astype(np.int64)
+        # beginnings: level by level, (beginning before) * 2**21 + next character
+        level, self.levels = {"": 0}, []
+        for n in range(1, max(map(len, names), default=0) + 1):
+            made = sorted((level[x[:-1]] << 21 | ord(x[-1]), x) for x in {x[:n] for x in names if len(x) >= n})
+            level = {x: k for k, (_, x) in enumerate(made)}
+            self.levels.append((np.array([k for k, _ in made], dtype=np.int64), np.array([names.get(x, -1) for _, x in made], dtype=np.int64)))
+        pairs = sorted((names[x[:k]] << 32 | names[x[k:]], names[x]) for x in names for k in range(1, len(x)) if x[:k] in names and x[k:] in names)
+        self.pairs, self.joined = np.array([k for k, _ in pairs], dtype=np.int64), np.array([x for _, x in pairs], dtype=np.int64)
+        self.together = np.array(sorted({ord(a) << 21 | ord(b) for x in names for a, b in zip(x, x[1:])}), dtype=np.int64)
+
+    def encode(self, words: pa.Array, objectives: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each objective (ids of all ``words``, one after another; where each word's
+        begin, and their end)."""
+        text = "".join(words.to_pylist())
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(size) - size
+        cut = np.zeros(len(chars) + 1, dtype=bool)
+        cut[first] = cut[-1] = True
+        inner = np.flatnonzero(np.repeat(size > SHORT, size) & ~cut[:-1])
+        cut[inner] |= _find(self.together, chars[inner - 1] << 21 | chars[inner]) < 0
+        parts = np.flatnonzero(cut)
+        single = _find(self.levels[0][0], chars) if self.levels else np.full(len(chars), -1)
+        symbol = np.where(single >= 0, self.levels[0][1][single], -1) if self.levels else single
+        out = []
+        for objective in objectives:
+            starts, found = OBJECTIVES[objective](self, chars, single, symbol, parts)
+            out.append(self._ids_of(chars, starts, found, np.append(first, len(chars))))
+        return out
+
+    def _ids_of(self, chars, starts, found, bounds):
+        ids = self.ids[found]
+        lost = np.flatnonzero(ids < 0)
+        n = np.ones(len(ids), dtype=np.int64)
+        if self.base is None:
+            ids[lost] = self.unknown
+        else:
+            c = chars[starts[lost]]
+            n[lost] = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        at = np.append(0, np.cumsum(n))
+        out = np.repeat(ids, n)
+        if self.base is not None:
+            for x in np.unique(c).tolist():
+                for k, b in enumerate(chr(x).encode()):
+                    out[at[lost[c == x]] + k] = self.base + b
+        return out.astype(np.int32), at[np.searchsorted(starts, bounds)]
+
+
+def _edges(pieces: Pieces, chars: np.ndarray, single: np.ndarray, symbol: np.ndarray, parts: np.ndarray):
+    """All pieces in the parts: (start, length, symbol). A character in no piece is an edge
+    of its own."""
+    end = np.repeat(parts[1:], np.diff(parts))
+    found = [(np.arange(len(chars)), np.ones(len(chars), np.int64), symbol)]
+    start, node = np.flatnonzero(single >= 0), single[single >= 0]
+    for n, (keys, names) in enumerate(pieces.levels[1:], 2):
+        inside = start + n <= end[start]
+        start, node = start[inside], node[inside]
+        node = _find(keys, node << 21 | chars[start + n - 1])
+        start, node = start[node >= 0], node[node >= 0]
+        whole = names[node] >= 0
+        found.append((start[whole], np.full(int(whole.sum()), n), names[node[whole]]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _best_cuts(pieces: Pieces, chars: np.ndarray, single: np.ndarray, symbol: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, symbols) of the segmentation of least cost. Ties go to the longest last piece."""
+    start, size, name = _edges(pieces, chars, single, symbol, parts)
+    of = np.repeat(np.arange(len(parts) - 1), np.diff(parts))
+    longest = len(pieces.levels) + 1
+    # by their ends, for all parts at once; of one end, longest first
+    key = (start + size - parts[of[start]]) * (longest + 1) + longest - size
+    order = np.argsort(key, kind="stable")
+    start, size, name, key = start[order], size[order], name[order], key[order]
+    slot = start + of[start]  # a part of n characters has n + 1 places
+    cost = pieces.cost[name]
+    best = np.full(len(chars) + len(parts), np.inf)
+    best[parts[:-1] + np.arange(len(parts) - 1)] = 0
+    last = np.zeros(len(best), dtype=np.int64)
+    steps = np.flatnonzero(np.diff(key, prepend=-1)).tolist()
+    for a, b in zip(steps, [*steps[1:], len(key)]):
+        new, to = best[slot[a:b]] + cost[a:b], slot[a:b] + size[a:b]
+        better = np.flatnonzero(new < best[to])
+        best[to[better]] = new[better]
+        last[to[better]] = a + better
+    begins, found = np.zeros(len(chars), dtype=bool), np.zeros(len(chars), dtype=np.int64)
+    at = parts[1:] + np.arange(len(parts) - 1)
+    floor = parts[:-1] + np.arange(len(parts) - 1)
+    while len(at):
+        edge = last[at]
+        begins[start[edge]], found[start[edge]] = True, name[edge]
+        at = at - size[edge]
+        at, floor = at[at > floor], floor[at > floor]
+    starts = np.flatnonzero(begins)
+    return starts, found[starts]
+
+
+def _merge_cuts(pieces: Pieces, chars: np.ndarray, single: np.ndarray, symbol: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, symbols) of the model's own merges."""
+    begins, found = np.ones(len(chars), dtype=bool), symbol.copy()
+    at, name, of = np.arange(len(chars)), symbol, np.repeat(np.arange(len(parts) - 1), np.diff(parts))
+
+    def made(k):
+        """What symbols k and the next one make, -1 for nothing."""
+        out = np.full(len(k), -1)
+        fits = np.flatnonzero(k + 1 < len(name))
+        fits = fits[(of[k[fits]] == of[k[fits] + 1]) & (name[k[fits]] >= 0) & (name[k[fits] + 1] >= 0)]
+        pair = _find(pieces.pairs, name[k[fits]] << 32 | name[k[fits] + 1])
+        out[fits] = np.where(pair >= 0, pieces.joined[pair], -1) if len(pieces.joined) else -1
+        return out
+
+    pair = made(np.arange(len(name)))
+    none = np.int64(1) << 62
+    while len(name):
+        rank = np.where(pair >= 0, pieces.order[pair] << 32 | np.arange(len(pair)), none)
+        head = np.flatnonzero(np.diff(of, prepend=-1))
+        best = np.minimum.reduceat(rank, head)
+        going = best < none
+        k = best[going] & 0xFFFFFFFF
+        if not len(k):
+            break
+        name[k] = pair[k]
+        found[at[k]] = pair[k]
+        begins[at[k + 1]] = False
+        keep = np.repeat(going, np.diff(head, append=len(of)))  # words without a pair are done
+        keep[k + 1] = False
+        moved = (np.cumsum(keep) - 1)[k]
+        at, name, of, pair = at[keep], name[keep], of[keep], pair[keep]
+        before = moved[moved > 0] - 1
+        for again in (moved, before):
+            pair[again] = made(again)
+    starts = np.flatnonzero(begins)
+    return starts, found[starts]
 
 
 OBJECTIVES = {"viterbi": _best_cuts, "merges": _merge_cuts}
 
 
-def cut_long(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(key, k, part): the distinct ``words`` (word) of more than BITS characters, cut between
-    all neighbouring characters that stand together in no piece. No edge of the lattice
-    crosses such a place, so a word's ids are those of its parts, one after another.
-
-    Rows of characters carry the word's digest as their key, not the word.
-    """
-    pair = F.zip_with(F.slice("chars", 1, F.size("chars") - 1), F.slice("chars", 2, F.size("chars") - 1), lambda a, b: F.concat(a, b))
+def _shared(pieces: DataFrame, objectives: tuple[str, ...]):
+    if not objectives or set(objectives) - set(OBJECTIVES):
+        raise ValueError("objectives: viterbi, merges")
+    return pieces.sparkSession.sparkContext.broadcast(Pieces(pieces.select("piece", "id", "score", "kind").orderBy("id").collect()))  # bounded by the vocabulary
 
-    def chars(c):
-        return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
 
-    joined = pieces.filter("kind = 'normal' and length(piece) > 1").select(chars(F.col("piece")).alias("chars")).select(F.explode(pair).alias("pair")).distinct()
-    long = words.filter(F.length("word") > BITS).select(word_key(F.col("word")).alias("key"), chars(F.col("word")).alias("chars"))
-    places = long.select("key", F.posexplode(pair).alias("pos", "pair")).join(F.broadcast(joined), "pair", "left_anti")  # bounded by the vocabulary
-    cuts = places.groupBy("key").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("cuts"))
-    met = long.join(cuts, "key", "left").withColumn("cuts", F.coalesce("cuts", F.expr("cast(array() as array<int>)")))
-    first, end = F.concat(F.array(F.lit(0)), F.col("cuts")), F.concat(F.col("cuts"), F.array(F.size("chars")))
-    parts = F.zip_with(first, end, lambda a, b: F.array_join(F.slice("chars", a + 1, b - a), ""))
-    return met.select("key", F.posexplode(parts).alias("k", "part"))
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def word_key(word: Column) -> Column:
-    return F.unhex(F.sha2(word.cast("binary"), 256))
+def _schema(key: str, objectives: tuple[str, ...]) -> T.StructType:
+    out = T.StructType().add(key, "string" if key == "word" else "long")
+    for name in ("ids", *objectives[1:]):
+        out = out.add(name, T.ArrayType(T.IntegerType()))
+    return out
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("viterbi",)) -> DataFrame:
-    """(word, ids) of distinct ``words``, by the first objective; those of further ones
-    are columns of their names. Characters in no piece give their UTF-8 bytes' pieces, or
-    the unknown one where the model has none. Long words are encoded by their parts
-    (``cut_long``)."""
-    short = words.filter(F.length("word") <= BITS)
-    parts = common.stored(cut_long(words, pieces), "parts")
-    coded = common.stored(_encode_parts(short.unionByName(parts.select(F.col("part").alias("word"))).distinct(), pieces, objectives), "parts-coded")
-    names = [c for c in coded.columns if c != "word"]
-    whole = parts.join(coded, F.col("part") == F.col("word")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", *names))).alias("parts"))
-    whole = whole.select("key", *[F.flatten(F.transform("parts", lambda p: p[c])).alias(c) for c in names])  # noqa: B023
-    long = words.filter(F.length("word") > BITS).withColumn("key", word_key(F.col("word"))).join(whole, "key")
-    return coded.join(short, "word", "left_semi").unionByName(long.select("word", *names))
-
-
-def _encode_parts(words: DataFrame, pieces: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
-    """``encode_words`` without cuts."""
-    if not objectives or set(objectives) - set(OBJECTIVES):
-        raise ValueError("objectives: viterbi, merges")
-    special = pieces.filter("kind in ('byte', 'unknown')").select("piece", "id", "kind").collect()  # 257 rows at most
-    base = next((r["id"] for r in special if r["piece"] == "<0x00>" and r["kind"] == "byte"), None)
-    unknown = next((r["id"] for r in special if r["kind"] == "unknown"), 0)
-    met = F.filter("edges", lambda e: e["id"] >= 0)
-    folded = lattice(words, pieces).withColumn("known", F.map_from_arrays(F.transform(met, lambda e: e["start"].cast("long") * 65536 + (e["end"] - e["start"])), F.transform(met, lambda e: e["id"])))
+    """(word, ids) of ``words``, by the first objective; those of further ones are columns
+    of their names. Characters in no piece give their UTF-8 bytes' pieces, or the unknown
+    one where the model has none."""
+    shared = _shared(pieces, objectives)
+
+    def code(batches):
+        for b in batches:
+            word = pc.fill_null(b.column(0), "")
+            yield pa.RecordBatch.from_arrays([word, *(_lists(*x) for x in shared.value.encode(word, objectives))], ["word", "ids", *objectives[1:]])
+
+    return words.select("word").mapInArrow(code, _schema("word", objectives))
 
-    def bytes_of(c):
-        code = F.hex(F.encode(F.substring(F.col("word"), c["start"], c["end"] - c["start"]), "UTF-8"))
-        if base is None:
-            return F.array(F.lit(unknown))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.lit(base) + F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int"))
 
-    def ids_of(known):
-        def of(c):
-            found = F.try_element_at(known, c["start"].cast("long") * 65536 + (c["end"] - c["start"]))
-            return F.when(found.isNotNull(), F.array(found)).otherwise(bytes_of(c))
+def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, each with its marks in front; how many each text has). An
+    empty text has none."""
+    texts = texts.cast(pa.large_string())
+    marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), pc.replace_substring(texts, " ", MARK), pa.scalar("", pa.large_string()))).cast(pa.large_string())
+    size = pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = b"".join(x.as_py() for x in marked.cast(pa.large_binary()))
+    data = np.frombuffer(raw, np.uint8)
+    a, b, c = MARK.encode()
+    mark = np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)) if len(data) else np.zeros(0, np.int64)
+    begins = np.cumsum(size) - size
+    start = mark[np.diff(mark, prepend=-4) != 3]
+    start = np.union1d(start, begins[size > 0])  # also behind a text that ends with a mark
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw)).astype(np.int64)), pa.py_buffer(raw))
+    return words, np.searchsorted(start, begins + size) - np.searchsorted(start, begins)
 
-        return F.flatten(F.transform("cuts", of))
 
-    names = ["ids", *objectives[1:]]
-    for name, objective in zip(names, objectives):
-        folded = OBJECTIVES[objective](folded).withColumn(name, F.transform(F.array("known"), ids_of)[0]).drop("cuts")
-    return folded.select("word", *names)
+BLOCK = 1 << 23
+"""Bytes of texts encoded at once, about."""
 
 
 def encode(docs: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("viterbi",)) -> DataFrame:
@@ -251,15 +268,31 @@ def encode(docs: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("v
     (doc_id, text; others are ignored).
 
     A null or empty text has no ids; rows that repeat a doc_id give a row each; an empty
-    table gives none. A word is encoded once, however often it comes, and is joined to
-    its places; Spark splits the places of a hot word.
+    table gives none. A word is encoded once in a batch, however often it comes.
     """
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked_words(F.col("text")).alias("words"))
-    coded = common.stored(encode_words(split.select(F.explode("words").alias("word")).distinct(), pieces, objectives), "coded")
-    names = [c for c in coded.columns if c != "word"]
-    places = split.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode_outer("words").alias("pos", "word"))
-    met = places.join(coded, "word", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", *names)))).alias("parts"))
-    return met.select("doc_id", *[F.flatten(F.transform("parts", lambda p: p[c])).alias(c) for c in names])  # noqa: B023
+    common.small_batches(docs.sparkSession, 2000)
+    shared = _shared(pieces, objectives)
+
+    def code(doc_id, texts):
+        words, n = marked_words(texts)
+        coded = words.dictionary_encode()
+        place, docs_at = coded.indices.to_numpy().astype(np.int64), np.append(0, np.cumsum(n))
+        columns = []
+        for ids, bounds in shared.value.encode(coded.dictionary, objectives):
+            size = np.diff(bounds)[place]
+            at = np.append(0, np.cumsum(size))
+            columns.append(_lists(ids[np.arange(at[-1]) + np.repeat(bounds[:-1][place] - at[:-1], size)], at[docs_at]))
+        return pa.RecordBatch.from_arrays([doc_id, *columns], ["doc_id", "ids", *objectives[1:]])
+
+    def search(batches):
+        for b in batches:
+            texts = pa.array([x.decode("utf-8", "replace") for x in common.texts_of(b.column(1))], pa.large_string())
+            block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BLOCK
+            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+            for x, y in zip(cuts, cuts[1:]):
+                yield code(b.column(0).slice(x, y - x), texts.slice(x, y - x))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, _schema("doc_id", objectives))
 
 
 def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:

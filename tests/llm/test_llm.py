@@ -12,6 +12,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -584,6 +585,24 @@ def test_pieces(spark, docs, nothing):
         piece_lattice.encode(nothing, table, ("other",))
 
 
+def test_pieces_move_no_words(spark):
+    """Words are encoded where they stand: nothing is shuffled, also where batches are of
+    empty texts, end with blanks or hold one long word."""
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = piece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["", " ", "a  ", " b", "", "▁", "x▁ y▁", "c" * 200 + " d", "\x00 é\n\t", "日本 語の" * 50, None, "  ", "􏿿😀 z", "t h e", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    coded = piece_lattice.encode(docs, table, ("merges", "viterbi"))
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.ids for r in coded.collect()}
+    assert got == {i: m.encode(t or "") for i, t in enumerate(texts)}
+    pieces = piece_lattice.Pieces(table.collect())
+    for few in (texts[:1], [], texts[11:12]):
+        words, n = piece_lattice.marked_words(pa.array(few, pa.string()))
+        ids, bounds = pieces.encode(words, ("viterbi",))[0]
+        assert len(n) == len(few) and len(bounds) == len(words) + 1 and bounds[-1] == len(ids)
+
+
 def test_viterbi(spark):
     """The best sum of scores, against all segmentations of short words."""
     scores = {"a": -3.0, "b": -3.5, "c": -2.0, "ab": -4.0, "bc": -5.5, "abc": -8.0, "ca": -4.9}
