@@ -4,8 +4,8 @@ A text is marked as the model asks (a mark before it and for every blank) and cu
 words before each mark that follows another character; no piece crosses such a cut. The
 distinct words of a batch of texts are laid one after another; their substrings, ever
 longer, are joined to the piece table's beginnings, and those that are pieces are the
-lattice's edges, folded for all words of the batch at once by numpy. What a task holds is
-bounded by its batch, and no word leaves its task.
+lattice's edges, folded for many words at once by numpy. What a task holds is bounded by
+its batch, what a fold holds by a lot of its characters; no word leaves its task.
 
 Objective "viterbi" folds for the best sum of scores, as unigram models do: edges come by
 their end, and each extends the best segmentation up to its start. The scores of a
@@ -47,6 +47,18 @@ SHORT = 60
 lattice crosses such a place, so a word's ids are those of its parts, one after another."""
 
 
+LOT = 1 << 16
+"""Characters folded at once, and words whose ids are put in their places at once, about;
+a part that nothing cuts is folded whole, however long."""
+
+
+def _lots(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Runs (from, to) of neighbours whose sizes sum to ``limit``, about."""
+    lot = np.cumsum(sizes) // limit
+    cuts = [*np.flatnonzero(np.diff(lot, prepend=-1)).tolist(), len(lot)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of ``wanted`` in ascending ``keys``, -1 for what is not there."""
     if not len(keys):
@@ -88,21 +100,25 @@ class Pieces:
         """For each objective (ids of all ``words``, one after another; where each word's
         begin, and their end)."""
         text = "".join(words.to_pylist())
-        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
         size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(size) - size
         cut = np.zeros(len(chars) + 1, dtype=bool)
         cut[first] = cut[-1] = True
         inner = np.flatnonzero(np.repeat(size > SHORT, size) & ~cut[:-1])
-        cut[inner] |= _find(self.together, chars[inner - 1] << 21 | chars[inner]) < 0
+        for x in range(0, len(inner), LOT):
+            i = inner[x : x + LOT]
+            cut[i] = _find(self.together, chars[i - 1].astype(np.int64) << 21 | chars[i]) < 0
         parts = np.flatnonzero(cut)
-        single = _find(self.levels[0][0], chars) if self.levels else np.full(len(chars), -1)
-        symbol = np.where(single >= 0, self.levels[0][1][single], -1) if self.levels else single
-        out = []
-        for objective in objectives:
-            starts, found = OBJECTIVES[objective](self, chars, single, symbol, parts)
-            out.append(self._ids_of(chars, starts, found, np.append(first, len(chars))))
-        return out
+        got = [[(parts[:0], parts[:0])] for _ in objectives]
+        for x, y in _lots(np.diff(parts), LOT):
+            some = chars[parts[x] : parts[y]].astype(np.int64)
+            single = _find(self.levels[0][0], some) if self.levels else np.full(len(some), -1)
+            symbol = np.where(single >= 0, self.levels[0][1][single], -1) if self.levels else single
+            for objective, own in zip(objectives, got):
+                starts, found = OBJECTIVES[objective](self, some, single, symbol, parts[x : y + 1] - parts[x])
+                own.append((starts + parts[x], found))
+        return [self._ids_of(chars, *map(np.concatenate, zip(*own)), np.append(first, len(chars))) for own in got]
 
     def _ids_of(self, chars, starts, found, bounds):
         ids = self.ids[found]
@@ -173,7 +189,7 @@ def _best_cuts(pieces: Pieces, chars: np.ndarray, single: np.ndarray, symbol: np
 def _merge_cuts(pieces: Pieces, chars: np.ndarray, single: np.ndarray, symbol: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, symbols) of the model's own merges."""
     begins, found = np.ones(len(chars), dtype=bool), symbol.copy()
-    at, name, of = np.arange(len(chars)), symbol, np.repeat(np.arange(len(parts) - 1), np.diff(parts))
+    at, name, of = np.arange(len(chars)), symbol.copy(), np.repeat(np.arange(len(parts) - 1), np.diff(parts))
 
     def made(k):
         """What symbols k and the next one make, -1 for nothing."""
@@ -247,16 +263,31 @@ def marked_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     empty text has none."""
     texts = texts.cast(pa.large_string())
     marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), pc.replace_substring(texts, " ", MARK), pa.scalar("", pa.large_string()))).cast(pa.large_string())
-    size = pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = b"".join(x.as_py() for x in marked.cast(pa.large_binary()))
+    if not len(marked):
+        return marked, np.zeros(0, np.int64)
+    _, offsets, raw = marked.buffers()
+    at = np.frombuffer(offsets, np.int64)[marked.offset : marked.offset + len(marked) + 1]
+    raw = raw.slice(at[0], at[-1] - at[0]) if raw else pa.py_buffer(b"")
+    at = at - at[0]
     data = np.frombuffer(raw, np.uint8)
     a, b, c = MARK.encode()
-    mark = np.flatnonzero((data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)) if len(data) else np.zeros(0, np.int64)
-    begins = np.cumsum(size) - size
-    start = mark[np.diff(mark, prepend=-4) != 3]
-    start = np.union1d(start, begins[size > 0])  # also behind a text that ends with a mark
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw)).astype(np.int64)), pa.py_buffer(raw))
-    return words, np.searchsorted(start, begins + size) - np.searchsorted(start, begins)
+    mark = np.flatnonzero(data[:-2] == a)
+    mark = mark[(data[mark + 1] == b) & (data[mark + 2] == c)]
+    begins = np.zeros(len(data), dtype=bool)
+    begins[mark[np.diff(mark, prepend=-4) != 3]] = True
+    begins[at[:-1][np.diff(at) > 0]] = True  # also behind a text that ends with a mark
+    start = np.flatnonzero(begins)
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data))), raw)
+    return words, np.diff(np.searchsorted(start, at))
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    """A string column as Spark gives it (null: empty); of what is no UTF-8 the characters
+    in place that Python gives it."""
+    try:
+        return pc.fill_null(column.cast(pa.binary()).cast(pa.string()), "").cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in common.texts_of(column)], pa.large_string())
 
 
 BLOCK = 1 << 23
@@ -276,21 +307,21 @@ def encode(docs: DataFrame, pieces: DataFrame, objectives: tuple[str, ...] = ("v
     def code(doc_id, texts):
         words, n = marked_words(texts)
         coded = words.dictionary_encode()
-        place, docs_at = coded.indices.to_numpy().astype(np.int64), np.append(0, np.cumsum(n))
-        columns = []
-        for ids, bounds in shared.value.encode(coded.dictionary, objectives):
-            size = np.diff(bounds)[place]
-            at = np.append(0, np.cumsum(size))
-            columns.append(_lists(ids[np.arange(at[-1]) + np.repeat(bounds[:-1][place] - at[:-1], size)], at[docs_at]))
-        return pa.RecordBatch.from_arrays([doc_id, *columns], ["doc_id", "ids", *objectives[1:]])
+        place, docs_at = coded.indices.to_numpy(), np.append(0, np.cumsum(n))
+        found = shared.value.encode(coded.dictionary, objectives)
+        for x, y in _lots(n, LOT):
+            own, columns = place[docs_at[x] : docs_at[y]], []
+            for ids, bounds in found:
+                size = bounds[own + 1] - bounds[own]
+                at = np.append(0, np.cumsum(size))
+                columns.append(_lists(ids[np.arange(at[-1]) + np.repeat(bounds[own] - at[:-1], size)], at[docs_at[x : y + 1] - docs_at[x]]))
+            yield pa.RecordBatch.from_arrays([doc_id.slice(x, y - x), *columns], ["doc_id", "ids", *objectives[1:]])
 
     def search(batches):
         for b in batches:
-            texts = pa.array([x.decode("utf-8", "replace") for x in common.texts_of(b.column(1))], pa.large_string())
-            block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // BLOCK
-            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
-            for x, y in zip(cuts, cuts[1:]):
-                yield code(b.column(0).slice(x, y - x), texts.slice(x, y - x))
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for x, y in _lots(size, BLOCK):
+                yield from code(b.column(0).slice(x, y - x), _texts(b.column(1).slice(x, y - x)))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, _schema("doc_id", objectives))
 

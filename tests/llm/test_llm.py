@@ -7,12 +7,14 @@ import math
 import re
 import string
 import time
+import tracemalloc
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 import xxhash
@@ -603,6 +605,37 @@ def test_pieces_move_no_words(spark):
         assert len(n) == len(few) and len(bounds) == len(words) + 1 and bounds[-1] == len(ids)
 
 
+def test_pieces_in_lots(spark, monkeypatch):
+    """What a fold holds follows the lot, not the batch, and no lot changes an id, whichever
+    objective comes first."""
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = piece_lattice.Pieces(piece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    rng = np.random.default_rng(3)
+    words = pa.array(["▁" + "".join(x) for x in rng.choice(list("etaoinshrdlu"), (100_000, 9))])
+    tracemalloc.start()
+    whole = pieces.encode(words, ("merges", "viterbi"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * pc.sum(pc.utf8_length(words)).as_py()  # bytes a character
+    few = words[:300].to_pylist() + ["", "▁", "▁" + "日x😀" * 50, "▁" + "c" * 200, ""]
+    monkeypatch.setattr(piece_lattice, "LOT", 7)
+    small = pieces.encode(pa.array(few), ("viterbi", "merges"))[::-1]
+    for (ids, at), (own, to) in zip(whole, small):
+        assert [ids[x:y].tolist() for x, y in zip(at[:300], at[1:])] == [own[x:y].tolist() for x, y in zip(to[:300], to[1:])]
+    own, to = small[0]
+    assert [own[x:y].tolist() for x, y in zip(to, to[1:])] == [m.encode(w[1:]) or [m.piece_to_id(x) for x in w] for w in few]
+
+
+def test_pieces_of_large_batches(spark):
+    """A batch of more words than a lot, in several batches out; characters that are no UTF-8."""
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = piece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [b"", b"the end of it " * 12_000, None, b"a\xffb \xed\xa0\x80", "é 日本".encode() * 9000, b"", b"one two " * 20_000, b" "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text").coalesce(1)
+    got = {r.doc_id: r.merges for r in piece_lattice.encode(docs, table, ("viterbi", "merges")).collect()}
+    assert got == {i: m.encode((t or b"").decode("utf-8", "replace")) for i, t in enumerate(texts)}
+
+
 def test_viterbi(spark):
     """The best sum of scores, against all segmentations of short words."""
     scores = {"a": -3.0, "b": -3.5, "c": -2.0, "ab": -4.0, "bc": -5.5, "abc": -8.0, "ca": -4.9}
