@@ -36,9 +36,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = common.stored(shingle_join.near_duplicates(docs, words=5), "groups")
     row = F.struct("doc_id", "tag")
     first = groups.groupBy("component_id").agg(F.min(row).alias("first"))
-    gone = groups.join(first, "component_id").filter(F.col("first") != row).select("doc_id", "tag").distinct()
+    gone = groups.join(common.merged(first), "component_id").filter(F.col("first") != row).select("doc_id", "tag").distinct()
     named = docs.withColumn("tag", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = named.filter("doc_id is not null").join(gone, ["doc_id", "tag"], "left_anti").dropDuplicates(["doc_id", "tag"])
+    kept = named.filter("doc_id is not null").join(common.merged(gone), ["doc_id", "tag"], "left_anti").dropDuplicates(["doc_id", "tag"])
     return _documents(kept.unionByName(named.filter("doc_id is null")))
 
 

@@ -17,6 +17,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df``, for joins by sort and merge only: for tables that grow with the input. Spark
+    guesses their size from compressed files, and an exploded row counts as one, so it would
+    broadcast some that fill the driver."""
+    return df.hint("merge")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI such as file:///x or hdfs://host/x."""
     from pyarrow import fs

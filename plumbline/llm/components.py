@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     all their neighbours, half of the ids at most, so the rounds together see few more
     edges than the first. Minima are combined
     before the shuffle, so an id with very many neighbours is no burden. No links or
-    labels reach the driver.
+    labels reach the driver, not for a broadcast either.
     """
     ends = edges.filter("a is not null and b is not null and a <> b")
     left = common.checkpoint(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -28,17 +28,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         point = common.checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")))
         moved = True
         while moved:
-            onward = point.select(F.col("id").alias("_i"), F.col("to").alias("_to"))
+            onward = common.merged(point.select(F.col("id").alias("_i"), F.col("to").alias("_to")))
             point = common.checkpoint(point.join(onward, point["to"] == onward["_i"]).select("id", F.col("to").alias("was"), F.col("_to").alias("to")))
             moved = point.filter("was <> to").limit(1).count() > 0
         point = point.select("id", "to")
         if labels is None:
             labels = point.select("id", F.col("to").alias("component"))
         else:
-            step = point.select(F.col("id").alias("_i"), F.col("to").alias("_to"))
+            step = common.merged(point.select(F.col("id").alias("_i"), F.col("to").alias("_to")))
             labels = common.checkpoint(labels.join(step, labels["component"] == step["_i"], "left").select("id", F.coalesce("_to", "component").alias("component")))
-        x = point.select(F.col("id").alias("a"), F.col("to").alias("x"))
-        y = point.select(F.col("id").alias("b"), F.col("to").alias("y"))
+        x = common.merged(point.select(F.col("id").alias("a"), F.col("to").alias("x")))
+        y = common.merged(point.select(F.col("id").alias("b"), F.col("to").alias("y")))
         drawn = left.join(x, "a").join(y, "b").filter("x <> y")
         left = common.checkpoint(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if not left.limit(1).count():

@@ -185,8 +185,8 @@ def whole_sets(ids: DataFrame, classes: DataFrame, texts: DataFrame, words: int)
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in common.texts_of(b.column(1))], pa.binary())], ["id", "hashes"])
 
-    wanted = classes.select("id", "doc_id", "tag").join(ids, "id")
-    sets = texts.join(wanted, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("id", "text").mapInArrow(whole, "id long, hashes binary")
+    wanted = classes.select("id", "doc_id", "tag").join(common.merged(ids), "id")
+    sets = texts.join(common.merged(wanted), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("id", "text").mapInArrow(whole, "id long, hashes binary")
     return common.stored(sets, "shingle-sets")
 
 
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
             ok = [bool(alike(x, [y], threshold)[0]) for x, y in zip(*pair)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    x, y = (common.merged(sets.select(F.col("id").alias(c), F.col("hashes").alias(h))) for c, h in (("a", "x"), ("b", "y")))
     return common.checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
@@ -207,14 +207,14 @@ def cluster_links(members: DataFrame, sets: DataFrame, threshold: Fraction, bloc
     """Verified links of rows (id, cluster, known) of a cluster, dealt by hash into blocks
     of about ``block``, within each block."""
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = members.join(sizes, "cluster").select("id", "cluster", "known", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).alias("own"))
+    dealt = members.join(common.merged(sizes), "cluster").select("id", "cluster", "known", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).alias("own"))
 
     def found(t):
         ids = t.column("id").to_numpy()
         hashes = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
         return [(int(ids[x]), int(ids[y])) for x, y in group_links(hashes, t.column("known").to_numpy(), threshold)]
 
-    dealt = dealt.join(sets, "id").repartition("cluster", "own").sortWithinPartitions("cluster", "own", "id")
+    dealt = dealt.join(common.merged(sets), "id").repartition("cluster", "own").sortWithinPartitions("cluster", "own", "id")
     return common.checkpoint(dealt.mapInArrow(bucket_runs(found, ("cluster", "own")), "a long, b long"))
 
 
@@ -228,7 +228,7 @@ def simhash_links(classes: DataFrame, texts: DataFrame, words: int, threshold: F
     rep = F.min("id").alias("rep")
     prints = common.stored(classes.filter("size > 0").groupBy("fp").agg(rep, F.count("*").alias("n")), "fingerprints")
     near = fingerprint_links(prints.select("rep", "fp"), radius, guaranteed_sets(8, 8 - radius, min(3, 8 - radius)), 8 - radius)
-    same = classes.filter("size > 0").join(prints.filter("n > 1"), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    same = classes.filter("size > 0").join(common.merged(prints.filter("n > 1")), "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     pairs = common.stored(near.union(same), "near")
     sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, texts, words)
     return verified(pairs, sets, threshold)
@@ -254,13 +254,13 @@ def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
     keyed = classes.select("id", F.explode("keys").alias("key"))
     members = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     busy = common.stored(members.filter("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "low"), "busy")
-    met = common.stored(keyed.join(busy, "key").select("id", "key", "n", "low"), "met")
-    maps = classes.select("id", "size", "map")
+    met = common.stored(keyed.join(common.merged(busy), "key").select("id", "key", "n", "low"), "met")
+    maps = common.merged(classes.select("id", "size", "map"))
     zero = F.lit(0)
     small = met.filter(F.col("n") <= SMALL).withColumn("known", F.col("id"))
     if first is not None:
         joined = connected_components(first).select(F.col("id").alias("_id"), F.col("component").alias("_known"))
-        small = small.join(joined, F.col("id") == F.col("_id"), "left").withColumn("known", F.coalesce("_known", "id"))
+        small = small.join(common.merged(joined), F.col("id") == F.col("_id"), "left").withColumn("known", F.coalesce("_known", "id"))
     small = small.select("id", "key", "known", zero.alias("own"), zero.alias("i"), zero.alias("j"))
     pairs = common.stored(candidates(small.join(maps, "id"), threshold), "pairs")
     large = met.filter(F.col("n") > SMALL)
@@ -274,7 +274,7 @@ def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
     def parts(edges: DataFrame) -> DataFrame:
         """(id, cluster, known) as the edges so far connect them."""
         joined = connected_components(edges).withColumnRenamed("id", "_id")
-        return common.checkpoint(clusters.join(joined, F.col("id") == F.col("_id"), "left").select("id", "cluster", F.coalesce("component", "id").alias("known")))
+        return common.checkpoint(clusters.join(common.merged(joined), F.col("id") == F.col("_id"), "left").select("id", "cluster", F.coalesce("component", "id").alias("known")))
 
     rows = members = clusters.withColumn("known", F.col("id"))
     was, seed = rows.count(), 0
@@ -288,10 +288,10 @@ def links(classes: DataFrame, texts: DataFrame, words: int, threshold: Fraction,
         was = now
     blocks = F.ceil(F.col("n") / (4 * block)).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
-    rest = large.join(members.select("id", "known"), "id").withColumn("blocks", blocks).withColumn("own", own)
+    rest = large.join(common.merged(members.select("id", "known")), "id").withColumn("blocks", blocks).withColumn("own", own)
     mixed = rest.groupBy("key").agg((F.min("known") < F.max("known")).alias("mixed")).filter("mixed").select("key")
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    rest = common.checkpoint(rest.join(mixed, "key")).select("id", "key", "known", "own", F.explode(both).alias("p")).select("id", "key", "known", "own", "p.i", "p.j")
+    rest = common.checkpoint(rest.join(common.merged(mixed), "key")).select("id", "key", "known", "own", F.explode(both).alias("p")).select("id", "key", "known", "own", "p.i", "p.j")
     pairs = common.stored(candidates(rest.join(maps, "id"), threshold), "pairs")
     return common.checkpoint(edges.union(verified(pairs, sets, threshold)))
 
@@ -321,5 +321,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     classes = common.stored(classes.select("cls", "rep.doc_id", "rep.tag", "size", "map", "fp", "keys", F.monotonically_increasing_id().alias("id")), "classes")
     first = simhash_links(classes, rows, words, threshold)
     components = connected_components(links(classes, rows, words, threshold, block, first))
-    known = classes.select("cls", F.col("id").alias("_id")).join(components, F.col("_id") == F.col("id"), "left").select("cls", F.coalesce("component", "_id").alias("component_id"))
-    return found.select("doc_id", "tag", "cls").join(known, "cls").select("doc_id", "tag", "component_id")
+    known = classes.select("cls", F.col("id").alias("_id")).join(common.merged(components), F.col("_id") == F.col("id"), "left").select("cls", F.coalesce("component", "_id").alias("component_id"))
+    return found.select("doc_id", "tag", "cls").join(common.merged(known), "cls").select("doc_id", "tag", "component_id")

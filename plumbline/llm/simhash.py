@@ -170,7 +170,7 @@ def links(classes: DataFrame, radius: int, sets: list[tuple[int, ...]], least: i
     keyed = classes.select("rep", index.alias("k")).select("rep", (F.conv(F.hex("k.bytes"), 16, 10).cast("long") + F.col("k.set") * F.lit(256**width)).alias("key"))
     # most buckets hold one class: fingerprints join only those that meet another
     busy = common.checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = keyed.join(busy, "key").join(classes, "rep")
+    met = keyed.join(common.merged(busy), "key").join(common.merged(classes), "rep")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))

@@ -833,6 +833,25 @@ def test_pipeline_keeps_what_is_no_near_copy(spark):
     assert collections.Counter((r.doc_id, r.text) for r in left) == collections.Counter(pairs[:-1] + [again[0], again[3]])
 
 
+def broadcasts(monkeypatch, run):
+    """The plans, of all tables stored by a run and of its result, in which something is broadcast."""
+    plans, kept = [], common.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(common, "stored", lambda df, name: (plan(df), kept(df, name))[1])
+    out = run()
+    plan(out)
+    rows = out.count()
+    assert rows and len(plans) > 5 and any("SortMergeJoin" in p for p in plans)
+    return [p for p in plans if "Broadcast" in p]
+
+
+def test_near_copies_broadcast_nothing(spark, docs, monkeypatch):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(shingle_join, "SMALL", 2)
+    assert not broadcasts(monkeypatch, lambda: cp.drop_near_copies(spark, docs, ""))
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_shingle_join(spark, docs, nothing, monkeypatch, block):
     monkeypatch.setattr(shingle_join, "HOT", 30)
