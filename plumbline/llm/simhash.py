@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, radius: int
     edges = links(classes, radius, sets, least)
     # a doc_id with several texts joins its classes
     several = found.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
-    same = found.join(several, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = found.join(common.merged(several), "doc_id").join(common.merged(classes), "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found_components = connected_components(edges.union(same))
-    known = classes.join(found_components, classes["rep"] == found_components["id"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    joined = found.join(known, found["fp"] == known["_fp"], "left")
+    known = classes.join(common.merged(found_components), classes["rep"] == found_components["id"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    joined = found.join(common.merged(known), found["fp"] == known["_fp"], "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

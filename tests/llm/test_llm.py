@@ -845,6 +845,10 @@ def broadcasts(monkeypatch, run):
     return [p for p in plans if "Broadcast" in p]
 
 
+def test_simhash_broadcasts_nothing(spark, docs, monkeypatch):
+    assert not broadcasts(monkeypatch, lambda: simhash.near_duplicates(docs, words=4, radius=4))
+
+
 def test_near_copies_broadcast_nothing(spark, docs, monkeypatch):
     import corpus_pipeline as cp
 
