@@ -591,6 +591,23 @@ def test_model_search_reads_stored_columns(spark, monkeypatch):
     assert read == [(["x", "y"], True)]
 
 
+def test_model_search_query_tries_every_point(spark, data, monkeypatch):
+    class Mean:
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(1.0))
+
+    tried = []
+    monkeypatch.setattr(models, "train_model", lambda d, features, y, model, params: tried.append((model, params)) or Mean())
+    found = analysis.QUERIES["model_search"](spark, data).collect()
+    assert sorted(r["params"] for r in found) == sorted(repr(sorted(p.items())) for _, p in tried) and [r["trial"] for r in found] == list(range(len(found)))
+    for m in ("linear", "boosted_trees"):
+        mine = [p for name, p in tried if name == m]
+        whole = math.prod(len({p[c] for p in mine}) for c in mine[0])
+        assert whole == len({tuple(sorted(p.items())) for p in mine}) == len(mine) >= 20
+        assert sum(r["round"] == 1 for r in found if r["model"] == m) == 20
+    assert max(p["maxIter"] for m, p in tried if m == "boosted_trees") >= 20
+
+
 @pytest.mark.parametrize("name", ["knn_weighted", "knn_predict"])
 def test_knn_of_vectors_close_together_as_sql(spark, tmp_path, name):
     rng = np.random.default_rng(3)
